@@ -128,7 +128,7 @@ def search(
             distinct = base[first]
             lift = lambda x: np.hstack([x, np.sqrt(np.maximum(0, longest - (x * x).sum(axis=1)))[:, None]])
             forest = Forest(lift(distinct), trees, bits)
-            enough = max(4 * k, int(np.ceil(share * len(distinct))))
+            enough = max(4 * k, int(np.ceil(share * len(distinct)))) + trees  # a query that is a row finds itself in each tree
             for q, found in enumerate(forest.candidates(np.hstack([ask, np.zeros((len(ask), 1))]), enough)):
                 score = np.einsum("ij,j->i", distinct[found], ask[q])
                 if len(found) > k + 1:
