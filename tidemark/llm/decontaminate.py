@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, slices
+from .common import slices, window_hashes
 
 #: Bytes of benchmark text that one broadcast may hold. A larger benchmark is scanned for in several parts, one pass each.
 MOST_ITEM_BYTES = 32 << 20
@@ -53,18 +53,6 @@ class WindowSet:
         return np.fromiter([get(w, 0) for w in tokens], np.int64, len(tokens))
 
 
-def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``size`` numbers: a polynomial over scrambled values, wrapping."""
-    if len(ids) < size:
-        return np.empty(0, np.uint64)
-    scrambled = mix64(ids.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    out = np.zeros(len(ids) - size + 1, np.uint64)
-    for k in range(size):
-        out *= np.uint64(0x5851F42D4C957F2D)
-        out += scrambled[k : k + len(out)]
-    return out
-
-
 def find(ids: np.ndarray, doc_of: np.ndarray, found: WindowSet) -> tuple[np.ndarray, dict[int, set]]:
     """Which words any occurrence of a window covers, and the items found in each document (by its number)."""
     edges = np.zeros(len(ids) + 1, np.int64)

@@ -85,7 +85,7 @@ def search(
     vec_col: str = "embedding",
     trees: int = 96,
     bits: int = 16,
-    share: float = 0.45,
+    share: float = 0.65,
     shard_rows: int = 8192,
     block_rows: int = 2048,
 ) -> DataFrame:

@@ -20,6 +20,12 @@ def op1_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)[0]
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(spark, table(spark, sf_dir, "documents"), 3, (90, 100))
+
+
 #: Fixed by the query's definition.
 URL_RULES = [("net/", False), ("example.net/en/", True), ("example.com/de/", False), ("org/fr/", True)]
 
@@ -44,6 +50,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_planes": op1_token_planes,
+    "op2_ngram_join": op2_ngram_join,
     "op5_url_filter": op5_url_filter,
     "op6_hash_forest": op6_hash_forest,
     "op7_decontamination": op7_decontamination,
@@ -51,6 +58,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {}
 
+ORACLE_SQL["op2_ngram_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{20}\x{09}-\x{0D}]+') AS ws FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, k, k + 2), ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 2, 1))) AS k FROM words WHERE len(ws) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+       JOIN sizes m ON m.doc_id = a.doc_id JOIN sizes n ON n.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, m.n, n.n
+  HAVING 100 * count(*) >= 90 * (m.n + n.n - count(*))),
+reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least_of AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.y, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least_of l ON l.x = d.doc_id
+"""
+
 ORACLE_SQL["op5_url_filter"] = r"""
 WITH split AS (
   SELECT page_id,
