@@ -26,6 +26,14 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark, table(spark, sf_dir, "documents"), 3, (90, 100))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, how many went, and the digest of the text that is left."""
+    from .line_dedup import line_dedup
+
+    out = line_dedup(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 #: Fixed by the query's definition.
 URL_RULES = [("net/", False), ("example.net/en/", True), ("example.com/de/", False), ("org/fr/", True)]
 
@@ -51,6 +59,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_planes": op1_token_planes,
     "op2_ngram_join": op2_ngram_join,
+    "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_hash_forest": op6_hash_forest,
     "op7_decontamination": op7_decontamination,
