@@ -56,6 +56,18 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
+#: A document is selected if its probability of the top grade is at least this. On held-out ratings: see README.
+LEAST_TOP = 0.65
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import graded, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(spark, docs, graded(table(spark, sf_dir, "labels")))
+    return score(spark, docs, model, LEAST_TOP).select("doc_id", "expected_grade", "p_top", "selected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_planes": op1_token_planes,
     "op2_ngram_join": op2_ngram_join,
@@ -63,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_hash_forest": op6_hash_forest,
     "op7_decontamination": op7_decontamination,
+    "op8_quality_classifier": op8_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
