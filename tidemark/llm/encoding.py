@@ -28,7 +28,7 @@ _LINE = 0
 class UnitEncoder:
     """Encodes texts; remembers up to ``most_units`` distinct units, then starts anew (memory stays bounded)."""
 
-    def __init__(self, path: str, most_units: int = 800_000):
+    def __init__(self, path: str, most_units: int = 1_400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
