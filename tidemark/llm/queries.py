@@ -26,6 +26,14 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(spark, table(spark, sf_dir, "documents"), 3, (90, 100))
 
 
+def op3_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against the well-rated ones."""
+    from .cross_entropy import cross_entropy_difference
+
+    good = table(spark, sf_dir, "labels").where("quality = 1 AND toxic = 0")
+    return cross_entropy_difference(spark, table(spark, sf_dir, "documents"), good.select("doc_id"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many went, and the digest of the text that is left."""
     from .line_dedup import line_dedup
@@ -68,14 +76,24 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(spark, docs, model, LEAST_TOP).select("doc_id", "expected_grade", "p_top", "selected")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_planes": op1_token_planes,
     "op2_ngram_join": op2_ngram_join,
+    "op3_cross_entropy": op3_cross_entropy,
     "op4_line_dedup": op4_line_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_hash_forest": op6_hash_forest,
     "op7_decontamination": op7_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
