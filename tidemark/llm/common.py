@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,11 @@ class Scratch:
             p = jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.scratch_path)
             p.getFileSystem(conf).delete(p, True)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished stages now, not when the driver next collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def slices(texts, most_bytes: int):
     """Cut an Arrow string array into (from, to) runs of about ``most_bytes`` of text, one row at least."""
@@ -66,9 +72,6 @@ def slices(texts, most_bytes: int):
         at = min(to, n)
 
 
-M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (two xor-shift-multiply rounds)."""
     h = h.astype(np.uint64, copy=True)
@@ -90,8 +93,3 @@ def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
         out *= np.uint64(0x5851F42D4C957F2D)
         out += scrambled[k : k + len(out)]
     return out
-
-
-def partition_bytes(df: DataFrame, spark: SparkSession) -> int:
-    """Spark's own estimate of the bytes of ``df``, without running it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

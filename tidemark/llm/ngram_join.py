@@ -367,3 +367,16 @@ def ngram_join(spark: SparkSession, docs: DataFrame, n: int = 5, similarity: tup
     final = scratch.table(components(every, scratch), "components")
     scratch.drop(sets, members, need)
     return rows.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def near_duplicates_out(spark: SparkSession, docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
+    """``docs`` with one document of each component: the one of the smallest doc_id (of repeated rows, one).
+
+    Documents without words and rows without a doc_id are in no component and stay.
+    """
+    judged = Scratch(spark, "near-duplicates").table(ngram_join(spark, docs, n, similarity), "components")
+    first = judged.where("doc_id = component_id").groupBy("doc_id").count()
+    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi")
+    if not first.where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])

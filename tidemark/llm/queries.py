@@ -84,6 +84,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(spark, table(spark, sf_dir, "documents"), 50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_planes": op1_token_planes,
     "op2_ngram_join": op2_ngram_join,
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontamination": op7_decontamination,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
+    "op10_suffix_array": op10_suffix_array,
 }
 
 ORACLE_SQL: dict[str, str] = {}
