@@ -1,10 +1,599 @@
-"""Queries by name, with the SQL that each must agree with."""
+"""Queries by name over the provided tables, each with the SQL that it must agree with.
+
+Fixtures: a project is a ``source``, a chunk is a document or a conversation's turn, vectors are ``embeddings``, the work queue is
+``labels`` (toxic: failed, else good: done, else pending), file events are ``events``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import chunking, comments, markup, paths, text
+from ..operators import export, fusion, hierarchical, keyword, upkeep
+from ..operators import vectors as V
+from ..session import prepare
+from ..streaming import watch
+from .search import Collection, SearchRequest, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+QUERY = "the tion and wh"
+#: A term of one document or none: most rows of its result are padding.
+RARE = "ouwheonti atanonth"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+class Tables:
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = prepare(spark), sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    @property
+    def chunks(self) -> DataFrame:
+        return self.documents.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"), F.col("source").alias("project_id"), F.col("lang"))
+
+    @property
+    def turns(self) -> DataFrame:
+        return self.conversations.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), F.col("text").alias("content"), "role")
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.embeddings.select(F.col("vec_id").alias("vector_id"), F.col("label").alias("document_id"), "label", "embedding")
+
+    @property
+    def linked(self) -> DataFrame:
+        """Chunks with the vector that bears their number, if there is one."""
+        have = self.embeddings.select(F.col("vec_id").alias("vector_id"))
+        docs = self.chunks
+        return docs.join(have, docs.chunk_id == have.vector_id, "left")
+
+    @property
+    def queue(self) -> DataFrame:
+        status = F.when(F.col("toxic") == 1, "failed").when(F.col("quality") == 1, "done").otherwise("pending")
+        return self.labels.select(F.col("doc_id").alias("chunk_id"), status.alias("status"), F.pmod("doc_id", F.lit(5)).cast("int").alias("retry_count"))
+
+    def ask(self) -> list[float]:
+        """A fixed query vector of the table's width."""
+        return [((7 * i) % 13 - 6) / 10 for i in range(64)]
+
+
+_ASK = "[" + ", ".join(f"{((7 * i) % 13 - 6) / 10}::DOUBLE" for i in range(64)) + "]"
+_TOKENS = "[x for x in regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') if length(x) > 1]"
+_QUEUE = "(SELECT doc_id AS chunk_id, CASE WHEN toxic = 1 THEN 'failed' WHEN quality = 1 THEN 'done' ELSE 'pending' END AS status, CAST(doc_id % 5 AS INTEGER) AS retry_count FROM labels)"
+_LINKED = "(SELECT d.doc_id AS chunk_id, d.source AS project_id, d.text AS content, e.vec_id AS vector_id FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"
+
+
+def _bm25(words: str) -> str:
+    terms = ", ".join(f"('{w}')" for w in text.tokenize_literal(words))
+    return f"""
+tokens AS (SELECT doc_id AS chunk_id, {_TOKENS} AS ts FROM documents),
+len AS (SELECT chunk_id, len(ts) AS dl FROM tokens),
+stats AS (SELECT count(*) AS n, sum(dl) * 1.0e0 / count(*) AS avgdl FROM len),
+tf AS (SELECT chunk_id, t AS term, count(*) AS tf FROM (SELECT chunk_id, unnest(ts) AS t FROM tokens) GROUP BY 1, 2),
+raw AS (SELECT term, count(*) AS df, ln(max(n) - count(*) + 0.5e0) - ln(count(*) + 0.5e0) AS idf0 FROM tf, stats GROUP BY term),
+idf AS (SELECT term, df, CASE WHEN idf0 >= 0 THEN idf0 ELSE 0.25e0 * (SELECT avg(idf0) FROM raw) END AS idf FROM raw),
+q(term) AS (VALUES {terms}),
+part AS (SELECT tf.chunk_id, sum(idf.idf * tf.tf * 2.5e0 / (tf.tf + 1.5e0 * (0.25e0 + 0.75e0 * len.dl / stats.avgdl))) AS s
+         FROM q JOIN tf USING (term) JOIN idf USING (term) JOIN len USING (chunk_id), stats GROUP BY tf.chunk_id),
+scored AS (SELECT d.doc_id AS chunk_id, round(coalesce(part.s, 0e0), 6) AS score FROM documents d LEFT JOIN part ON part.chunk_id = d.doc_id)"""
+
+
+_COSINE = f"""
+sem AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], {_ASK}), 6) AS score FROM embeddings)"""
+_RRF = """
+kw AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS r FROM (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 20)),
+sm AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY score DESC, vec_id) AS r FROM (SELECT * FROM sem ORDER BY score DESC, vec_id LIMIT 20)),
+fused AS (SELECT chunk_id, round(sum(1e0 / (60 + r)), 6) AS score, min(l * 1000 + r) AS seen
+          FROM (SELECT chunk_id, r, 1 AS l FROM sm UNION ALL SELECT chunk_id, r, 2 AS l FROM kw) GROUP BY chunk_id)"""
+
+
+# --- text ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT t AS term, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS t FROM documents) GROUP BY t HAVING count(*) >= 20")
+def token_counts(t: Tables) -> DataFrame:
+    terms = t.documents.select(F.explode(text.tokenize(F.col("text"))).alias("term"))
+    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+
+
+@query(r"""
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(html, chr(13) || chr(10), chr(10)), chr(13), chr(10)),
+  '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS content FROM pages""")
+def preprocess_text(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", text.preprocess(F.col("html")).alias("content"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN length(text) <= 60 THEN text ELSE left(text, 57) || '...' END AS short,
+  CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS snippet, left(text, 4000) AS cut FROM documents""")
+def truncate_content(t: Tables) -> DataFrame:
+    c = F.col("text")
+    return t.documents.select("doc_id", text.shorten(c, 60).alias("short"), text.snippet(c, 200).alias("snippet"), F.left(c, F.lit(4000)).alias("cut"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.1f B', n_chars * 1e0) WHEN n_chars < 1048576 THEN printf('%.1f KB', n_chars / 1024e0) ELSE printf('%.1f MB', n_chars / 1048576e0) END AS size
+FROM documents""")
+def size_labels(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", text.size_label(F.col("n_chars")).alias("size"))
+
+
+@query("""
+SELECT doc_id, strpos(text, 'the') AS position,
+  CAST(length(left(text, strpos(text, 'the') - 1)) - length(replace(left(text, strpos(text, 'the') - 1), chr(10), '')) + 1 AS BIGINT) AS line
+FROM documents WHERE strpos(text, 'the') > 0""")
+def char_to_line(t: Tables) -> DataFrame:
+    at = F.instr("text", "the")
+    return t.documents.where(at > 0).select("doc_id", at.cast("long").alias("position"), text.line_of(F.col("text"), at - 1).cast("long").alias("line"))
+
+
+@query("""
+SELECT event_id, json_extract_string(props, '$.page') AS page, json_extract_string(props, '$.missing') AS missing FROM events""")
+def json_fields(t: Tables) -> DataFrame:
+    m = text.json_map(F.col("props"))
+    return t.events.select("event_id", F.get(F.map_values(F.map_filter(m, lambda k, v: k == "page")), F.lit(0)).alias("page"), F.get(F.map_values(F.map_filter(m, lambda k, v: k == "missing")), F.lit(0)).alias("missing"))
+
+
+@query("""
+SELECT vec_id, list_bool_and([x = 0 for x in embedding]) AS zero, CAST(len(embedding) AS BIGINT) AS width FROM embeddings""")
+def zero_vectors(t: Tables) -> DataFrame:
+    return t.embeddings.select("vec_id", V.is_zero(F.col("embedding")).alias("zero"), F.size("embedding").cast("long").alias("width"))
+
+
+@query("""
+SELECT vec_id, CASE WHEN score >= 0.8 THEN 'green' WHEN score >= 0.6 THEN 'yellow' ELSE 'red' END AS band, round(score, 3) + 0e0 AS score
+FROM (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) AS score FROM embeddings)""")
+def score_bands(t: Tables) -> DataFrame:
+    first = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("ask"))
+    scored = t.embeddings.crossJoin(F.broadcast(first)).select("vec_id", V.cosine(F.col("embedding"), F.col("ask")).alias("score"))
+    return scored.select("vec_id", text.score_band(F.col("score")).alias("band"), (F.round("score", 3) + 0.0).alias("score"))
+
+
+# --- keyword search -----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH tokens AS (SELECT {_TOKENS} AS ts FROM documents) SELECT count(*) AS n, CAST(sum(len(ts)) AS BIGINT) AS total, sum(len(ts)) * 1e0 / count(*) AS avgdl FROM tokens")
+def bm25_corpus_stats(t: Tables) -> DataFrame:
+    return keyword.corpus_stats(t.chunks)
+
+
+@query(f"WITH {_bm25('the').strip()} SELECT term, df, round(idf, 6) AS idf FROM idf WHERE df >= 3")
+def bm25_term_idf(t: Tables) -> DataFrame:
+    return keyword.term_idf(t.chunks).where("df >= 3").select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {_bm25(QUERY).strip()} SELECT chunk_id, score FROM scored ORDER BY score DESC, chunk_id LIMIT 40")
+def keyword_search(t: Tables) -> DataFrame:
+    return keyword.search(t.chunks, QUERY, 40).select("chunk_id", "score")
+
+
+@query(f"WITH {_bm25(RARE).strip()} SELECT chunk_id, score FROM scored ORDER BY score DESC, chunk_id LIMIT 40")
+def keyword_search_zero_padded(t: Tables) -> DataFrame:
+    return keyword.search(t.chunks, RARE, 40).select("chunk_id", "score")
+
+
+@query(f"""
+WITH {_bm25(QUERY).strip()}, top AS (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 20)
+SELECT top.chunk_id, top.score, d.lang, d.source, l.quality FROM top JOIN documents d ON d.doc_id = top.chunk_id LEFT JOIN labels l ON l.doc_id = top.chunk_id""")
+def keyword_search_hydrated(t: Tables) -> DataFrame:
+    hits = keyword.search(t.chunks, QUERY, 20).select("chunk_id", "score")
+    labels = t.labels.select(F.col("doc_id").alias("chunk_id"), "quality")
+    return hits.join(t.chunks.select("chunk_id", "lang", F.col("project_id").alias("source")), "chunk_id").join(labels, "chunk_id", "left")
+
+
+# --- vector search ------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_COSINE.strip()} SELECT vec_id AS vector_id, score FROM sem ORDER BY score DESC, vec_id LIMIT 20")
+def semantic_search(t: Tables) -> DataFrame:
+    return V.search(t.vectors, t.ask(), 20).select("vector_id", "score")
+
+
+@query(f"WITH {_COSINE.strip()} SELECT vec_id AS vector_id, label, score FROM sem WHERE label IN (1, 3, 5) ORDER BY score DESC, vec_id LIMIT 20")
+def semantic_search_filtered(t: Tables) -> DataFrame:
+    return V.search(t.vectors, t.ask(), 20, filters={"label": [1, 3, 5]}).select("vector_id", "label", "score")
+
+
+@query(f"WITH {_COSINE.strip()} SELECT vec_id AS vector_id, score FROM sem WHERE score >= 0.1 ORDER BY score DESC, vec_id LIMIT 100")
+def semantic_threshold(t: Tables) -> DataFrame:
+    return V.search(t.vectors, t.ask(), 100, threshold=0.1).select("vector_id", "score")
+
+
+@query("""
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vector_id, score FROM (
+  SELECT query_id, vector_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, v.vec_id AS vector_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score
+    FROM embeddings q JOIN embeddings v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id))
+WHERE rank <= 10""")
+def batch_knn(t: Tables) -> DataFrame:
+    return V.batch_search(t.vectors, t.vectors.where("vector_id % 100 = 0"), 10)
+
+
+# --- fusion -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_bm25(QUERY).strip()}, {_COSINE.strip()}, {_RRF.strip()} SELECT chunk_id, score FROM fused")
+def rrf_hybrid(t: Tables) -> DataFrame:
+    c = Collection(t.chunks, t.vectors)
+    return fusion.rrf(c.semantic(t.ask(), 20).unionByName(c.keyword(QUERY, 20))).select("chunk_id", "score")
+
+
+@query(f"WITH {_bm25(QUERY).strip()}, {_COSINE.strip()}, {_RRF.strip()} SELECT chunk_id, score FROM fused ORDER BY score DESC, seen, chunk_id LIMIT 10")
+def hybrid_search(t: Tables) -> DataFrame:
+    return search(Collection(t.chunks, t.vectors), SearchRequest(QUERY, 10, rerank=False), t.ask()).select("chunk_id", "score")
+
+
+@query(f"WITH {_bm25(QUERY).strip()}, {_COSINE.strip()}, {_RRF.strip()} SELECT chunk_id, score FROM fused WHERE score >= 0.7")
+def hybrid_threshold_empty(t: Tables) -> DataFrame:
+    return search(Collection(t.chunks, t.vectors), SearchRequest(QUERY, 10, score_threshold=0.7, rerank=False), t.ask()).select("chunk_id", "score")
+
+
+@query(f"""
+WITH {_bm25(QUERY).strip()}, top AS (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 40), tokens2 AS (SELECT chunk_id, list_distinct(ts) AS ts FROM tokens)
+SELECT top.chunk_id, round(len(list_intersect(ts, ['and', 'the', 'tion', 'wh'])) / 4e0, 6) AS score
+FROM top JOIN tokens2 USING (chunk_id) ORDER BY 2 DESC, top.score DESC, chunk_id LIMIT 20""")
+def rerank_lexical(t: Tables) -> DataFrame:
+    return fusion.rerank(Collection(t.chunks, t.vectors).keyword(QUERY, 40), fusion.lexical_scorer(QUERY), 20).select("chunk_id", "score")
+
+
+_HIER = f"""
+{_COSINE.strip()},
+mean AS (SELECT label, list(x ORDER BY i) AS v FROM (
+  SELECT label, i, round(avg(x), 9) AS x FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label),
+five AS (SELECT label, round(list_cosine_similarity(v, {_ASK}), 6) AS score FROM mean ORDER BY 2 DESC, 1 LIMIT 5),
+best AS (SELECT vec_id, label, score FROM (SELECT vec_id, label, score, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS n FROM sem WHERE label IN (SELECT label FROM five)) WHERE n <= 3)"""
+
+
+@query(f"WITH {_HIER.strip()} SELECT vec_id AS vector_id, label AS document_id, score FROM best ORDER BY score DESC, vec_id LIMIT 10")
+def hierarchical_search(t: Tables) -> DataFrame:
+    _, best = hierarchical.search(hierarchical.centroids(t.vectors), t.vectors, t.ask(), 10)
+    return best.select("vector_id", "document_id", "score")
+
+
+@query(f"""
+WITH {_HIER.strip()}, s AS (SELECT conv_id, left(arg_min(text, turn), 200) || '...' AS summary FROM conversations GROUP BY conv_id)
+SELECT vec_id AS vector_id, label AS document_id, score, summary FROM (SELECT * FROM best ORDER BY score DESC, vec_id LIMIT 10) b LEFT JOIN s ON s.conv_id = b.label""")
+def hierarchical_with_summary(t: Tables) -> DataFrame:
+    _, best = hierarchical.search(hierarchical.centroids(t.vectors), t.vectors, t.ask(), 10)
+    return hierarchical.with_summaries(best.select("vector_id", "document_id", "score"), hierarchical.fallback_summary(t.turns))
+
+
+@query("SELECT conv_id AS document_id, left(arg_min(text, turn), 200) || '...' AS summary, count(*) AS chunk_count FROM conversations GROUP BY conv_id")
+def summary_fallback(t: Tables) -> DataFrame:
+    return hierarchical.fallback_summary(t.turns)
+
+
+@query("""
+SELECT conv_id AS document_id, CASE WHEN length(p) > 4000 THEN left(p, 4000) || '...' ELSE p END AS prompt
+FROM (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS p FROM conversations WHERE turn < 10 GROUP BY conv_id)""")
+def summary_prompts(t: Tables) -> DataFrame:
+    return hierarchical.summary_prompt(t.turns)
+
+
+# --- projects and documents ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT source AS project_id, 'Project ' || source AS name FROM (SELECT DISTINCT source FROM documents) WHERE source = 'src3' OR 'Project ' || source = 'src3' ORDER BY 1 LIMIT 1")
+def project_lookup(t: Tables) -> DataFrame:
+    projects = t.documents.select(F.col("source").alias("project_id"), F.concat(F.lit("Project "), "source").alias("name")).distinct()
+    return export.find_project(projects, "src3")
+
+
+_EXTS = ["pdf", "doc", "xls", "ppt", "png", "md", "rst", "txt", "py", "rs", "sh", "yaml", "xml", "zip"]
+
+
+@query(f"""
+WITH f AS (SELECT page_id, '.' || [{", ".join(f"'{e}'" for e in _EXTS)}][CAST(page_id % {len(_EXTS)} AS INTEGER) + 1] AS ext FROM pages)
+SELECT page_id, ext,
+  CASE WHEN ext = '.pdf' THEN 'pdf' WHEN ext = '.doc' THEN 'docx' WHEN ext = '.xls' THEN 'xlsx' WHEN ext = '.ppt' THEN 'pptx' WHEN ext = '.png' THEN 'image' WHEN ext = '.md' THEN 'md' WHEN ext = '.txt' THEN 'txt' WHEN ext IN ('.py', '.rs') THEN 'code' ELSE 'other' END AS upload_type,
+  CASE WHEN ext = '.pdf' THEN 'pdf' WHEN ext = '.doc' THEN 'docx' WHEN ext = '.xls' THEN 'xlsx' WHEN ext = '.ppt' THEN 'pptx' WHEN ext = '.png' THEN 'image' WHEN ext = '.md' THEN 'md' WHEN ext IN ('.txt', '.rst') THEN 'txt' ELSE 'other' END AS watch_type,
+  CASE WHEN ext IN ('.pdf', '.doc', '.xls', '.ppt', '.md', '.txt', '.rst') THEN 'doc' WHEN ext IN ('.py', '.rs', '.sh') THEN 'code' WHEN ext IN ('.yaml', '.xml') THEN 'config' WHEN ext = '.png' THEN 'image' ELSE 'unknown' END AS category
+FROM f""")
+def doc_type_mapping(t: Tables) -> DataFrame:
+    name = F.concat(F.lit("a/b.c/file"), F.col("page_id").cast("string"), F.lit("."), F.get(F.array(*[F.lit(e) for e in _EXTS]), F.pmod("page_id", F.lit(len(_EXTS))).cast("int")))
+    ext = t.pages.select("page_id", paths.suffix(name).alias("ext"))
+    e = F.col("ext")
+    return ext.select("page_id", "ext", paths.upload_type(e).alias("upload_type"), paths.watch_type(e).alias("watch_type"), paths.category(e).alias("category"))
+
+
+@query("SELECT doc_id, source, left(text, 40) AS head FROM documents WHERE text ILIKE '%THE T%' ORDER BY doc_id OFFSET 10 LIMIT 25")
+def list_documents_page(t: Tables) -> DataFrame:
+    found = t.documents.where(F.col("text").ilike(text.like_literal("THE T")))
+    return export.page(found.select("doc_id", "source", F.left("text", F.lit(40)).alias("head")), ["doc_id"], 10, 25)
+
+
+@query("SELECT source AS project_id, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS size, CAST(max(n_chars) AS BIGINT) AS largest FROM documents GROUP BY source")
+def project_stats(t: Tables) -> DataFrame:
+    return t.documents.groupBy(F.col("source").alias("project_id")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("size"), F.max("n_chars").alias("largest"))
+
+
+@query("SELECT DISTINCT source AS project_id FROM documents")
+def distinct_projects(t: Tables) -> DataFrame:
+    return t.documents.select(F.col("source").alias("project_id")).distinct()
+
+
+@query("""
+SELECT d.source AS project_id, count(*) AS documents, CAST(coalesce(sum(c.n), 0) AS BIGINT) AS chunks
+FROM documents d LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) c ON c.conv_id = d.doc_id
+WHERE d.source NOT IN ('src0', 'src1', 'src2') GROUP BY d.source""")
+def orphan_projects(t: Tables) -> DataFrame:
+    folders = t.spark.createDataFrame([("src0",), ("src1",), ("src2",)], "source string")
+    counts = t.conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    gone = t.documents.join(folders, "source", "left_anti").join(counts, "doc_id", "left")
+    return gone.groupBy(F.col("source").alias("project_id")).agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
+
+
+# --- coverage and consistency -------------------------------------------------------------------------------------------
+
+
+@query(f"""
+SELECT count(*) AS total, count(vector_id) AS with_vector, count(*) - count(vector_id) AS without_vector, round(count(vector_id) * 100e0 / count(*), 2) AS coverage FROM {_LINKED}""")
+def vector_coverage(t: Tables) -> DataFrame:
+    return upkeep.coverage(t.linked)
+
+
+@query(f"""
+SELECT project_id, count(*) AS total, count(vector_id) AS with_vector, count(*) - count(vector_id) AS without_vector, round(count(vector_id) * 100e0 / count(*), 2) AS coverage FROM {_LINKED} GROUP BY project_id""")
+def coverage_by_project(t: Tables) -> DataFrame:
+    return upkeep.coverage(t.linked, "project_id")
+
+
+@query("SELECT doc_id AS vector_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def missing_vectors(t: Tables) -> DataFrame:
+    return upkeep.missing(t.documents.select(F.col("doc_id").alias("vector_id")), t.vectors)
+
+
+@query("SELECT vec_id AS vector_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+def orphan_vectors(t: Tables) -> DataFrame:
+    return upkeep.orphans(t.vectors, t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("vector_id"))).select("vector_id", "label")
+
+
+@query("SELECT vec_id AS vector_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+def valid_vectors(t: Tables) -> DataFrame:
+    return upkeep.valid(t.vectors, t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("vector_id"))).select("vector_id")
+
+
+_VERDICT = """
+db AS (SELECT 'p' || (doc_id % 10) AS project_id, count(*) AS n FROM documents GROUP BY 1),
+vec AS (SELECT 'p' || label AS project_id, count(*) * 2 AS n FROM embeddings WHERE label < 9 GROUP BY 1),
+counts AS (SELECT coalesce(db.project_id, vec.project_id) AS project_id, coalesce(db.n, 0) AS db_count, coalesce(vec.n, 0) AS vector_count FROM db FULL JOIN vec USING (project_id)),
+verdicts AS (SELECT project_id, db_count, vector_count, greatest(db_count - vector_count, 0) AS missing, greatest(vector_count - db_count, 0) AS orphan,
+  CASE WHEN db_count > vector_count THEN 'sync_missing' WHEN vector_count > db_count THEN 'clean_orphans' ELSE 'none' END AS action,
+  abs(db_count - vector_count) > 0.05e0 * greatest(db_count, vector_count) AS drift FROM counts)"""
+
+
+def _verdicts(t: Tables) -> DataFrame:
+    chunks = t.documents.select(F.concat(F.lit("p"), F.pmod("doc_id", F.lit(10)).cast("string")).alias("project_id"))
+    vectors = t.embeddings.where("label < 9").select(F.concat(F.lit("p"), F.col("label").cast("string")).alias("project_id"))
+    return upkeep.verdict(chunks, vectors.unionAll(vectors))
+
+
+@query(f"WITH {_VERDICT.strip()} SELECT * FROM verdicts")
+def consistency_verdict(t: Tables) -> DataFrame:
+    return _verdicts(t)
+
+
+@query(f"""
+WITH {_VERDICT.strip()} SELECT project_id, count(*) AS projects, CAST(sum(CASE WHEN action <> 'none' THEN 1 ELSE 0 END) AS BIGINT) AS with_issues,
+  CAST(sum(missing) AS BIGINT) AS missing, CAST(sum(orphan) AS BIGINT) AS orphan FROM verdicts GROUP BY ROLLUP (project_id)""")
+def consistency_rollup(t: Tables) -> DataFrame:
+    return upkeep.verdict_rollup(_verdicts(t))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def orphaned_documents(t: Tables) -> DataFrame:
+    return t.documents.join(t.labels, "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE source IN ('src1', 'src2') INTERSECT SELECT vec_id FROM embeddings")
+def id_intersection(t: Tables) -> DataFrame:
+    return t.documents.where(F.col("source").isin("src1", "src2")).select("doc_id").intersect(t.embeddings.select(F.col("vec_id").alias("doc_id")))
+
+
+@query("SELECT doc_id FROM documents WHERE source IN ('src1', 'src2') EXCEPT SELECT vec_id FROM embeddings")
+def id_difference(t: Tables) -> DataFrame:
+    return t.documents.where(F.col("source").isin("src1", "src2")).select("doc_id").subtract(t.embeddings.select(F.col("vec_id").alias("doc_id")))
+
+
+# --- queue --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT s.status, count(q.status) AS count FROM (VALUES ('pending'), ('processing'), ('done'), ('failed')) s(status) LEFT JOIN {_QUEUE} q USING (status) GROUP BY s.status")
+def queue_status(t: Tables) -> DataFrame:
+    return upkeep.status_counts(t.queue)
+
+
+@query(f"SELECT chunk_id FROM {_LINKED} WHERE vector_id IS NULL AND chunk_id NOT IN (SELECT chunk_id FROM {_QUEUE} WHERE status <> 'failed')")
+def queue_populate(t: Tables) -> DataFrame:
+    return upkeep.populate(t.linked, t.queue).select("chunk_id")
+
+
+@query(f"SELECT chunk_id, status, retry_count FROM {_QUEUE} WHERE status = 'pending' ORDER BY chunk_id LIMIT 50")
+def queue_head(t: Tables) -> DataFrame:
+    return t.queue.where("status = 'pending'").orderBy("chunk_id").limit(50)
+
+
+@query(f"SELECT chunk_id, status, retry_count, CASE WHEN status = 'failed' AND retry_count < 3 THEN 'pending' ELSE status END AS next_status FROM {_QUEUE}")
+def queue_next_state(t: Tables) -> DataFrame:
+    return upkeep.next_state(t.queue)
+
+
+@query(f"""
+WITH c AS (SELECT count(*) AS total FROM documents), q AS (SELECT count(*) AS queued FROM documents WHERE doc_id NOT IN (SELECT chunk_id FROM {_QUEUE}))
+SELECT queued, total - queued AS skipped, total FROM c, q""")
+def queue_insert_counts(t: Tables) -> DataFrame:
+    return upkeep.enqueue(t.queue, t.chunks.select("chunk_id", "content"))[1]
+
+
+@query(f"SELECT count(*) AS retryable FROM {_QUEUE} WHERE status = 'failed' AND retry_count < 3")
+def retryable_count(t: Tables) -> DataFrame:
+    return t.queue.where((F.col("status") == "failed") & (F.col("retry_count") < upkeep.MAX_RETRY)).agg(F.count(F.lit(1)).alias("retryable"))
+
+
+@query(f"SELECT d.source AS project_id, count(*) AS failed FROM {_QUEUE} q JOIN documents d ON d.doc_id = q.chunk_id WHERE q.status = 'failed' GROUP BY d.source ORDER BY 2 DESC, 1")
+def failed_by_project(t: Tables) -> DataFrame:
+    failed = t.queue.where("status = 'failed'").join(t.chunks.select("chunk_id", "project_id"), "chunk_id")
+    return failed.groupBy("project_id").agg(F.count(F.lit(1)).alias("failed")).orderBy(F.desc("failed"), "project_id")
+
+
+@query(f"SELECT q.chunk_id, q.retry_count, coalesce(d.source, 'unknown') AS filename FROM {_QUEUE} q LEFT JOIN documents d ON d.doc_id = q.chunk_id AND d.doc_id % 2 = 0 WHERE q.status = 'failed' ORDER BY q.retry_count DESC, q.chunk_id LIMIT 30")
+def failed_list(t: Tables) -> DataFrame:
+    names = t.chunks.where("chunk_id % 2 = 0").select("chunk_id", F.col("project_id").alias("filename"))
+    joined = t.queue.where("status = 'failed'").join(names, "chunk_id", "left").select("chunk_id", "retry_count", F.coalesce("filename", F.lit("unknown")).alias("filename"))
+    return joined.orderBy(F.desc("retry_count"), "chunk_id").limit(30)
+
+
+@query("SELECT event_id FROM events WHERE NOT (event_type = 'view' AND ts < (SELECT max(ts) FROM events) - INTERVAL 7 DAY)")
+def purge_done(t: Tables) -> DataFrame:
+    last = t.events.agg(F.max("ts").alias("last"))
+    old = (F.col("event_type") == "view") & (F.col("ts") < F.col("last") - F.expr("INTERVAL 7 DAYS"))
+    return t.events.crossJoin(F.broadcast(last)).where(~old).select("event_id")
+
+
+# --- chunks -------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (length(text) > 4000) AS overlong, CAST(max(length(text)) AS BIGINT) AS longest, count(*) FILTER (length(text) > 4000) = 0 AS passed FROM documents")
+def overlong_audit(t: Tables) -> DataFrame:
+    return upkeep.overlong(t.chunks, 4000)
+
+
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS length FROM documents WHERE length(text) > 4000 ORDER BY 2 DESC, 1 LIMIT 20")
+def overlong_list(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.length("text").cast("long").alias("length")).where("length > 4000").orderBy(F.desc("length"), "doc_id").limit(20)
+
+
+@query("""
+SELECT doc_id, CAST(i AS BIGINT) AS chunk_index, trim(substr(text, 4000 * i + 1, 4000), ' ' || chr(9) || chr(10) || chr(13)) AS content
+FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 4000e0) AS BIGINT))) AS i FROM documents)
+WHERE trim(substr(text, 4000 * i + 1, 4000), ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
+def fixed_window_chunks(t: Tables) -> DataFrame:
+    return chunking.fixed_windows(t.documents, "doc_id", "text", 4000)
+
+
+@query("SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS chunk_index FROM conversations")
+def chunk_index_assign(t: Tables) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    return t.conversations.select("conv_id", "turn", n.cast("long").alias("chunk_index"))
+
+
+@query("SELECT conv_id, turn, coalesce(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 100), '') || text AS content FROM conversations")
+def chunk_overlap_lag(t: Tables) -> DataFrame:
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return t.conversations.select("conv_id", "turn", F.concat(F.coalesce(F.right(before, F.lit(100)), F.lit("")), F.col("text")).alias("content"))
+
+
+@query("SELECT doc_id, CAST((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 10 AS BIGINT) AS batch FROM documents")
+def batch_assignment(t: Tables) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    return t.documents.select("doc_id", F.floor(n / 10).cast("long").alias("batch"))
+
+
+@query("SELECT conv_id AS document_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+def export_document(t: Tables) -> DataFrame:
+    return export.documents_text(t.turns)
+
+
+@query("""
+WITH each AS (SELECT 'p' || (conv_id % 5) AS project_id, conv_id, lpad(CAST(conv_id AS VARCHAR), 8, '0') AS filename,
+    string_agg('[片段 ' || (turn + 1) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations WHERE conv_id % 7 <> 0 GROUP BY conv_id)
+SELECT project_id, string_agg('# ' || filename || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY filename) AS text FROM each GROUP BY project_id""")
+def export_project(t: Tables) -> DataFrame:
+    ids = t.conversations.select("conv_id").distinct()
+    status = F.when(F.pmod("conv_id", F.lit(7)) != 0, "completed").otherwise("failed")
+    documents = ids.select(F.col("conv_id").alias("document_id"), F.concat(F.lit("p"), F.pmod("conv_id", F.lit(5)).cast("string")).alias("project_id"), F.lpad(F.col("conv_id").cast("string"), 8, "0").alias("filename"), status.alias("status"))
+    return export.project_text(t.turns, documents)
+
+
+# --- events -------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM (
+  SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM (
+    SELECT user_id, ts, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > ts - INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events))
+GROUP BY user_id, session""")
+def debounce_sessions(t: Tables) -> DataFrame:
+    return watch.sessions(t.events.select(F.col("user_id"), "ts"), "user_id", "30 minutes")
+
+
+_FILE_EVENTS = "(SELECT event_id, user_id, ts, CASE event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted' WHEN 'purchase' THEN 'moved' ELSE 'modified' END AS kind FROM events)"
+
+
+def _file_events(t: Tables) -> DataFrame:
+    kind = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "error", "deleted").when(F.col("event_type") == "purchase", "moved").otherwise("modified")
+    return t.events.select(F.col("user_id").cast("string").alias("src_path"), "ts", kind.alias("event_type"))
+
+
+@query()
+def debounce_coalesced(t: Tables) -> DataFrame:
+    """The fold over each session is procedural; tests hold it against a plain loop."""
+    return watch.coalesce(_file_events(t), "1 day")
+
+
+@query("""
+WITH f AS (SELECT doc_id AS path, doc_id % 11 AS modified_at FROM documents WHERE doc_id % 4 <> 0), d AS (SELECT doc_id AS path, doc_id % 7 AS updated_at FROM labels)
+SELECT coalesce(f.path, d.path) AS path, CASE WHEN d.path IS NULL THEN 'created' WHEN f.path IS NULL THEN 'deleted' WHEN f.modified_at > d.updated_at THEN 'updated' ELSE 'unchanged' END AS change
+FROM f FULL JOIN d ON f.path = d.path""")
+def sync_classify(t: Tables) -> DataFrame:
+    files = t.documents.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("path"), (F.col("doc_id") % 11).alias("modified_at"))
+    return upkeep.classify(files, t.labels.select(F.col("doc_id").alias("path"), (F.col("doc_id") % 7).alias("updated_at")))
+
+
+@query(f"""
+WITH e AS (SELECT 'p' || (user_id % 10) AS project_id, CASE kind WHEN 'modified' THEN 'updated' WHEN 'moved' THEN 'renamed' ELSE kind END AS change FROM {_FILE_EVENTS})
+SELECT project_id, count(*) FILTER (change = 'created') AS created, count(*) FILTER (change = 'updated') AS updated, count(*) FILTER (change = 'deleted') AS deleted,
+  count(*) FILTER (change = 'renamed') AS renamed, count(*) FILTER (change = 'skipped') AS skipped, count(*) FILTER (change = 'errors') AS errors FROM e GROUP BY ROLLUP (project_id)""")
+def sync_counters_rollup(t: Tables) -> DataFrame:
+    e = _file_events(t)
+    change = F.when(F.col("event_type") == "modified", "updated").when(F.col("event_type") == "moved", "renamed").otherwise(F.col("event_type"))
+    return upkeep.counters(e.select(F.concat(F.lit("p"), F.pmod(F.col("src_path").cast("long"), F.lit(10)).cast("string")).alias("project_id"), change.alias("change")))
+
+
+# --- procedural operators (tests hold them against plain loops) ---------------------------------------------------------
+
+
+@query()
+def semantic_chunks(t: Tables) -> DataFrame:
+    return chunking.chunk(t.documents, "doc_id", "text", chunking.SemanticChunker())
+
+
+@query()
+def legacy_chunks(t: Tables) -> DataFrame:
+    return chunking.chunk(t.documents, "doc_id", "text", chunking.LineChunker())
+
+
+@query()
+def code_chunks(t: Tables) -> DataFrame:
+    return chunking.chunk(t.pages, "page_id", "html", chunking.CodeChunker("javascript"))
+
+
+@query()
+def markdown_sections(t: Tables) -> DataFrame:
+    titled = t.conversations.groupBy("conv_id").agg(F.array_join(export.ordered(F.concat(F.lit("## "), F.col("role"), F.lit("\n"), F.col("text")), "turn"), "\n").alias("text"))
+    return chunking.markdown_sections(titled, "conv_id", "text")
+
+
+@query()
+def html_text(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", markup.html_text(F.col("html")).alias("text"))
+
+
+@query()
+def comment_extract(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", comments.extract(F.col("html"), F.lit("javascript")).alias("comments"))
