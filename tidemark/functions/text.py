@@ -44,12 +44,12 @@ def snippet(text: Column, n: int) -> Column:
 
 
 def size_label(size: Column) -> Column:
-    """1536 -> 1.5 KB."""
+    """1536 -> 1.5 KB; exact halves go to the even digit."""
     units = ["B", "KB", "MB", "GB", "TB"]
     value = size.cast("double")
-    out = F.format_string("%.1f TB", value / 1024.0**4)
+    out = F.format_string("%.1f TB", F.bround(value / 1024.0**4, 1))
     for k in range(3, -1, -1):
-        out = F.when(value < 1024.0 ** (k + 1), F.format_string(f"%.1f {units[k]}", value / 1024.0**k)).otherwise(out)
+        out = F.when(value < 1024.0 ** (k + 1), F.format_string(f"%.1f {units[k]}", F.bround(value / 1024.0**k, 1))).otherwise(out)
     return out
 
 
