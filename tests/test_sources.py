@@ -97,7 +97,7 @@ def test_search_and_upkeep_by_hand(spark):
     got = V.search(vectors, [1.0, 0.0], 5).collect()
     assert [(r.vector_id, r.score) for r in got] == [(1, 1.0), (3, 0.707107)]
     assert V.search(vectors, [1.0, 0.0], 5, filters={"document_id": [2]}).count() == 1
-    c = Collection(chunks, vectors)
+    c = Collection(chunks.withColumn("chunk_index", F.lit(0)), vectors)
     fused = search(c, SearchRequest("aa", 2, rerank=False), [1.0, 0.0]).collect()
     assert fused[0].chunk_id == 1 and abs(fused[0].score - 2 / 61) < 1e-6
     assert search(c, SearchRequest("aa", 2), [1.0, 0.0], fusion.lexical_scorer("aa")).first().search_type == "reranked"
