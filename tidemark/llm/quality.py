@@ -76,9 +76,9 @@ class Model:
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, *, rounds: int = 100, rate: float = 0.3, decay: float = 1e-5) -> Model:
     """Full-batch Adam on the likelihood; thresholds stay ordered as a first one plus positive steps."""
-    sizes = np.asarray([len(r) for r in rows])
+    sizes = np.asarray([len(r) for r in rows], np.int64)
     flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    values = np.repeat(np.asarray([scale(n) for n in sizes]), sizes)
+    values = np.repeat(np.asarray([scale(n) for n in sizes], np.float64), sizes)
     starts = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(rows)), sizes)
     share = np.asarray([(grades > j).mean() if len(rows) else 0.5 for j in range(top)]).clip(0.01, 0.99)
