@@ -30,12 +30,11 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     a, b = edges.columns
     first = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = scratch.table(first, "edges")
-    before = None
     for _ in range(most_rounds):
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if seen == before:
+        # done once every node either has one edge, to its component's smallest, or is such a smallest node
+        ends = now.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("low")).unionByName(now.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("low")))
+        if ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("low").alias("low")).where("up > 1 OR up = 1 AND low = 1").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = seen
         after = scratch.table(_star(_star(now, True), False), "edges")
         scratch.drop(now)
         now = after
