@@ -15,6 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,11 +137,15 @@ def filter_bits(keys: DataFrame, bits: int) -> bytes:
 
 
 def _stretches(docs: DataFrame, window: int, shared) -> DataFrame:
-    """key, content (a hash of the bytes), doc_id, start and, once for each content and task, the bytes."""
+    """key, content (a hash of the bytes), doc_id, start, tells and bytes for every stretch.
+
+    ``tells``: the row says something new of its content in this task, namely that it occurs (with the bytes), in a
+    second document, or in a smaller one than before.  Copies of a stretch so make a few such rows, however many they are.
+    """
 
     def run(batches):
         have = np.frombuffer(shared.value, np.uint8)
-        seen: set = set()
+        seen: dict[int, list] = {}
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
             for raw, doc_of, heads, offsets, rows in parts(batch, window):
@@ -151,29 +156,37 @@ def _stretches(docs: DataFrame, window: int, shared) -> DataFrame:
                 if not len(first):
                     continue
                 text = raw.tobytes()
-                spans = [text[a:b] for a, b in zip(first.tolist(), (last + window).tolist())]
-                content = np.fromiter((int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True) for x in spans), np.int64, len(spans))
-                data = []
-                for c, x in zip(content.tolist(), spans):
-                    if c in seen:
-                        data.append(None)
-                    else:
-                        data.append(x)
-                        if len(seen) < 500_000:
-                            seen.add(c)
                 number = doc_of[first]
+                doc = ids[rows[number]]
+                content, data, tells = [], [], []
+                for a, b, d in zip(first.tolist(), (last + window).tolist(), doc.tolist()):
+                    x = text[a:b]
+                    c = xxhash.xxh3_64_intdigest(x) - (1 << 63)
+                    content.append(c)
+                    known = seen.get(c)
+                    if known is None:
+                        if len(seen) < 500_000:
+                            seen[c] = [d, False]
+                        tells.append(True)
+                        data.append(x)
+                        continue
+                    data.append(None)
+                    tells.append(d < known[0] or d != known[0] and not known[1])
+                    if tells[-1]:
+                        known[1] = True
+                        known[0] = min(d, known[0])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(content), pa.array(ids[rows[number]]), pa.array(first - heads[number] + offsets[number]), pa.array(data, pa.binary())],
-                    ["key", "content", "doc_id", "start", "bytes"],
+                    [pa.array(key.view(np.int64)), pa.array(content, pa.int64()), pa.array(doc), pa.array(first - heads[number] + offsets[number]), pa.array(tells, pa.bool_()), pa.array(data, pa.binary())],
+                    ["key", "content", "doc_id", "start", "tells", "bytes"],
                 )
 
-    return docs.mapInArrow(run, "key long, content long, doc_id long, start long, bytes binary")
+    return docs.mapInArrow(run, "key long, content long, doc_id long, start long, tells boolean, bytes binary")
 
 
-def shard_windows(key: np.ndarray, lo: np.ndarray, spans: list[bytes], window: int) -> tuple[np.ndarray, ...]:
+def shard_windows(lo: np.ndarray, spans: list[bytes], window: int) -> tuple[np.ndarray, ...]:
     """(stretch, from, to, smallest document) for runs of windows, found by one suffix array over the stretches."""
     sizes = np.asarray([len(x) for x in spans])
-    text = np.frombuffer(b"\0".join(spans) + b"\0", np.uint8).astype(np.int64)
+    text = np.frombuffer(b"\0".join(spans) + b"\0", np.uint8).astype(np.int16)
     ends = np.cumsum(sizes + 1) - 1
     inside = np.ones(len(text), bool)
     inside[ends] = False
@@ -195,20 +208,26 @@ def shard_windows(key: np.ndarray, lo: np.ndarray, spans: list[bytes], window: i
     return of[run], valid[run] - base, valid[stop] - base, low[run]
 
 
-def _windows(contents: DataFrame, window: int) -> DataFrame:
-    """key, content, a, b, least: the windows that start at a to b in a stretch occur first in document ``least``."""
+def _windows(told: DataFrame, window: int) -> DataFrame:
+    """content, a, b, least: the windows that start at a to b in a stretch occur first in document ``least``."""
 
     def found(t: pa.Table):
-        key, lo, hi = (np.asarray(t.column(c)) for c in ("key", "lo", "hi"))
+        key, content, doc = (np.asarray(t.column(c)) for c in ("key", "content", "doc_id"))
+        has = t.column("bytes").is_valid().to_numpy()
+        order = np.lexsort((~has, content, key))
+        key, content, doc = key[order], content[order], doc[order]
+        head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])]))
+        lo, hi = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)  # hi > lo if and only if there are two documents
+        source, key, content = order[head], key[head], content[head]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         several = np.minimum.reduceat(lo, edge) < np.maximum.reduceat(hi, edge)
         at = np.flatnonzero(np.repeat(several, np.diff(np.concatenate([edge, [len(key)]]))))
         if not len(at):
             return None
-        of, a, b, least = shard_windows(key[at], lo[at], [x.as_py() for x in t.column("bytes").take(pa.array(at))], window)
+        of, a, b, least = shard_windows(lo[at], t.column("bytes").take(pa.array(source[at])).to_pylist(), window)
         useful = least < hi[at][of]
         of, a, b, least = at[of[useful]], a[useful], b[useful], least[useful]
-        return pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(np.asarray(t.column("content"))[of]), pa.array(a), pa.array(b), pa.array(least)], ["key", "content", "a", "b", "least"])
+        return pa.RecordBatch.from_arrays([pa.array(content[of]), pa.array(a), pa.array(b), pa.array(least)], ["content", "a", "b", "least"])
 
     def run(batches):
         held, size = [], 0
@@ -230,7 +249,7 @@ def _windows(contents: DataFrame, window: int) -> DataFrame:
         if held and (out := found(pa.Table.from_batches(held))) is not None:
             yield out
 
-    return contents.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, content long, a long, b long, least long")
+    return told.repartition("key").sortWithinPartitions("key").mapInArrow(run, "content long, a long, b long, least long")
 
 
 def _cut(docs: DataFrame, with_cuts: bool, keep_text: bool) -> DataFrame:
@@ -279,10 +298,9 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, keep_
     shared = spark.sparkContext.broadcast(filter_bits(_count_anchors(named, window), ANCHOR_BITS))
     scratch.release()
     found = scratch.table(_stretches(named, window, shared), "stretches")
-    contents = found.groupBy("key", "content").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("bytes").alias("bytes"))
-    windows = scratch.table(_windows(contents, window), "windows")
+    windows = scratch.table(_windows(found.where("tells").select("key", "content", "doc_id", "bytes"), window), "windows")
     scratch.release()
-    covered = found.select("key", "content", "doc_id", "start").join(windows, ["key", "content"]).where(F.col("doc_id") > F.col("least"))
+    covered = found.select("content", "doc_id", "start").join(windows, "content").where(F.col("doc_id") > F.col("least"))
     places = covered.select("doc_id", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + window).alias("b"))
     cuts = scratch.table(places.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("cuts")), "cuts")
     scratch.release()
