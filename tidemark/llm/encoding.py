@@ -109,6 +109,9 @@ class UnitEncoder:
             if not s or s[-1] not in _SAFE or s[0] not in _SAFE:
                 odd.append(key)
                 continue
+            if s.isalpha() and len(s) <= _LONGEST and (s.isascii() or max(s) < "ɐ"):
+                plain[key] = None
+                continue
             of = word(key)
             if of is None:
                 whole.append(key)
