@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import prepare
+
 _LOCAL_ROOTS: dict[str, str] = {}
 
 
@@ -32,7 +34,7 @@ class Scratch:
     """Tables written to the shared folder: they cut lineage, and survive the loss of any executor."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark = prepare(spark)
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
