@@ -16,16 +16,19 @@ from tidemark.llm.ngram_join import near_duplicates_out
 from tidemark.llm.packing import pack
 from tidemark.llm.quality import graded, score, train
 from tidemark.llm.queries import LEAST_TOP
+from tidemark.session import prepare
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    prepare(spark)
     model = train(spark, docs, graded(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return score(spark, docs, model, LEAST_TOP, keep_only=True)
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One line of each group of similar lines stays; documents of which nothing is left go."""
+    prepare(spark)
     out = line_dedup(spark, docs, drop_emptied=True)
     columns = [F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*columns)
@@ -33,16 +36,19 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    prepare(spark)
     return near_duplicates_out(spark, docs, 5, (8, 10))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
+    prepare(spark)
     return decontaminate(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), 10, "document")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 2048 tokens, filled with related documents."""
+    prepare(spark)
     import public_tokenizers
 
     return pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"), 1)
