@@ -169,3 +169,16 @@ def test_streamed_events_are_coalesced(spark, tmp_path):
     listing = lambda rows: spark.createDataFrame(rows, "path string, modified_at long")
     got = watch.snapshot_changes(listing([("a", 1), ("b", 1), ("c", 1)]), listing([("a", 1), ("b", 2), ("d", 1)])).collect()
     assert {tuple(r) for r in got} == {("b", "modified"), ("c", "deleted"), ("d", "created")}
+
+
+def test_elements_fold_into_a_document(spark):
+    from tidemark.functions import structure
+
+    row = lambda kind, text=None, page=None, depth=None, html=None: (kind, text, page, depth, html)
+    elements = [row("Text", "intro"), row("Header", "skip"), row("Title", "SHORT", 1), row("ListItem", "a"), row("Table", "", html="<table><tr><td>x</td></tr><tr><td>1</td></tr></table>"), row("PageBreak", "-", 2), row("Image", ""), row("Formula", "e=mc"), row("Title", "a longer title in lower case", None, 2), row("Text", " ")]
+    schema = "id int, e array<struct<kind: string, text: string, page: int, depth: int, html: string>>"
+    df = spark.createDataFrame([(1, elements), (2, None)], schema).select("id", structure.structured(F.col("e")).alias("d")).orderBy("id")
+    full, none = (r.d for r in df.collect())
+    assert [(s.title, s.level, s.content) for s in full.sections] == [("正文", 0, ["intro"]), ("SHORT", 1, ["a", "e=mc"]), ("a longer title in lower case", 3, [])]
+    assert full.page_count == 2 and full.tables[0].headers == ["x"] and full.images[0].page == 2 and "• a" in full.text and "$$ e=mc $$" in full.markdown
+    assert none.text == "" and none.sections == []
