@@ -85,14 +85,14 @@ def search(
     vec_col: str = "embedding",
     trees: int = 96,
     bits: int = 16,
-    share: float = 0.65,
+    share: float = 0.55,
     shard_rows: int = 8192,
-    block_rows: int = 2048,
+    block_rows: int = 4096,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every query row, by inner product in double precision.
 
     ``is_query`` is a condition on vec_id.  Ascent stops once the trees' runs together hold ``share`` times as many entries as
-    the shard has distinct vectors (an entry counts in each tree that holds it).  Vectors are brought to one length first by an added component
+    the shard has distinct vectors (an entry counts in each tree that holds it), and 24 for each neighbour wanted.  Vectors are brought to one length first by an added component
     (sqrt(M^2 - |x|^2), M the largest length), which turns the largest inner product into the smallest angle.  A query is
     never its own neighbour; ties go to the smaller vec_id; fewer candidates give fewer rows.  Repeated ids are
     repeated candidates.  Vectors of another length than the most common one take no part.
@@ -128,7 +128,7 @@ def search(
             distinct = base[first]
             lift = lambda x: np.hstack([x, np.sqrt(np.maximum(0, longest - (x * x).sum(axis=1)))[:, None]])
             forest = Forest(lift(distinct), trees, bits)
-            enough = max(4 * k, int(np.ceil(share * len(distinct)))) + trees  # a query that is a row finds itself in each tree
+            enough = max(24 * k, int(np.ceil(share * len(distinct)))) + trees  # a query that is a row finds itself in each tree
             for q, found in enumerate(forest.candidates(np.hstack([ask, np.zeros((len(ask), 1))]), enough)):
                 score = np.einsum("ij,j->i", distinct[found], ask[q])
                 if len(found) > k + 1:
