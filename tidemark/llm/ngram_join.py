@@ -197,19 +197,19 @@ _SCAN = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64())
 
 
 def _scan(docs: DataFrame, n: int, levels: Levels) -> DataFrame:
-    """Per row its set's size and 128-bit hash; keys and bitmap for the first row of a set in each task."""
+    """Per row its set's size and 128-bit hash; keys and bitmap for the first row of a set with a doc_id in each task."""
 
     def run(batches):
         seen: set = set()
         for batch in batches:
-            texts = batch.column("text")
+            texts, named = batch.column("text"), batch.column("doc_id").is_valid().to_pylist()
             for a, b in slices(texts, 3_000_000):
                 sets = shingle_sets(texts.slice(a, b - a).to_pylist(), n)
                 digests = [xxhash.xxh3_128_digest(s) for s in sets]
                 fresh = []
-                for s, d in zip(sets, digests):
-                    fresh.append(len(s) > 0 and d not in seen)
-                    if len(seen) < 1_000_000:
+                for s, d, has_id in zip(sets, digests, named[a:b]):
+                    fresh.append(has_id and len(s) > 0 and d not in seen)
+                    if has_id and len(seen) < 1_000_000:
                         seen.add(d)
                 both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
@@ -338,28 +338,29 @@ def ngram_join(spark: SparkSession, docs: DataFrame, n: int = 5, similarity: tup
     classes = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     same = scratch.table(full.select("doc_id", "n", "h1", "h2").join(classes, ["h1", "h2"]).where("copies > 1").select("doc_id", "node"), "copies")
 
-    # the keys that several rows share, and their members; copies are told apart by task only and fall together below
-    entered = full.where(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "doc_id").repartition("key")
-    shared = entered.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
-    members = scratch.table(entered.join(shared, "key").select("key", "doc_id", "low"), "members")
-
-    # round one: each document and the first document of the key group it shares most of
-    node_of = lambda df, c, out: df.join(same.select(F.col("doc_id").alias(c), F.col("node").alias("_n")).distinct(), c, "left").withColumn(out, F.coalesce("_n", c)).drop("_n")
-    votes = members.where("doc_id <> low").groupBy("doc_id", "low").count()
-    best = votes.groupBy("doc_id").agg(F.max_by("low", F.struct("count", -F.col("low"))).alias("low"))
-    first = node_of(node_of(best, "doc_id", "x"), "low", "y").where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    needed = node_of(members.select("doc_id").distinct(), "doc_id", "node").select(F.col("node").alias("doc_id")).distinct()
-    need = scratch.table(needed, "needed")
-    # exact copies alone share keys only with themselves: no set is needed for them, but telling so costs more than a set
+    # sets go by their class's node from here on, whichever copy a task saw first
+    first_seen = full.where(F.col("keys").isNotNull()).join(classes.where("copies > 1").select("h1", "h2", "node"), ["h1", "h2"], "left")
+    first_seen = first_seen.withColumn("node", F.coalesce("node", "doc_id"))
+
+    # the keys that several nodes share, and their members
+    entered = first_seen.select(F.explode("keys").alias("key"), "node").repartition("key")
+    shared = entered.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
+    members = scratch.table(entered.join(shared, "key").select("key", "node", "low"), "members")
+
+    # round one: each node and the first node of the key group it shares most of
+    votes = members.where("node <> low").groupBy("node", "low").count()
+    best = votes.groupBy("node").agg(F.max_by("low", F.struct("count", -F.col("low"))).alias("low"))
+    first = best.select(F.greatest("node", "low").alias("x"), F.least("node", "low").alias("y")).distinct()
+    need = scratch.table(members.select(F.col("node").alias("doc_id")).distinct(), "needed")
     sets = scratch.table(_sets(docs, need, n).join(need, "doc_id", "left_semi"), "hashes")
     links = scratch.table(_verified(first, sets, num, den), "links")
     parts = scratch.table(components(links, scratch), "parts")
 
     # round two: trees over the keys that several components still share
-    placed = node_of(members.select("key", "doc_id"), "doc_id", "node").select("key", "node").distinct()
+    placed = members.select("key", "node").distinct()
     placed = placed.join(parts.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     open_ = placed.groupBy("key").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("key")
-    shapes = full.where(F.col("bits").isNotNull()).select(F.col("doc_id").alias("node"), "n", "bits").dropDuplicates(["node", "n"])
+    shapes = first_seen.select("node", "h1", "h2", "n", "bits").dropDuplicates(["node", "h1", "h2"])
     pairs = _blocks(placed.join(open_, "key", "left_semi").join(shapes, "node").select("key", "node", "part", "n", "bits"), scratch, num, den)
     more = scratch.table(_verified(scratch.table(pairs, "pairs"), sets, num, den), "links")
 
