@@ -176,6 +176,16 @@ def test_line_dedup_recall(spark):
     assert out.where("doc_id >= 1000 AND n_removed = 1").count() >= 0.97 * len(pairs) and out.where("doc_id < 1000 AND n_removed > 0").count() <= 2
 
 
+def test_line_dedup_without_spaces(spark):
+    """Lines of one long word, and of few long words, that differ at the start."""
+    rng = np.random.default_rng(32)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    lines = [word(int(rng.integers(60, 300))) for _ in range(60)] + [" ".join(word(40) for _ in range(3)) for _ in range(40)]
+    texts = [(n + 1000 * v, f"{v}{x}") for n, x in enumerate(lines) for v in range(2)]
+    out = line_dedup(spark, spark.createDataFrame(texts, "doc_id long, text string"))
+    assert out.where("doc_id >= 1000 AND n_removed = 1").count() >= 98 and out.where("doc_id < 1000 AND n_removed > 0").count() == 0
+
+
 def test_url_filter(spark):
     urls = ["http://a.net/x", "https://EXAMPLE.net/en/a?q#f", "http://example.net/de", "http://x.example.com/de/", "http://example.com/den", "nourl", None, "", "http://", "http://net/", "http://notnet/", "http://a.net", "http://é.org/fr/x", "x://y://a.net/b", "http://a.net:80/x"]
     df = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, rule string")

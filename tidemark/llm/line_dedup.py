@@ -1,14 +1,14 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 Each line (lower-cased, white space collapsed) has a 64-bit key of its text; copies of a line fall together before its
-text is shuffled.  Its signature: character shingles taken at each word start (a seventh or so of all shingles, and the same
-ones in any copy), hashed in a few ways, and for each way and band the least ``hash XOR point``: which hash lies nearest to
-a point is as random a choice as a permutation's first.  Lines that agree in a whole band are
+text is shuffled.  Its signature: the hashes of all its character shingles in order, as a circle; each band has a point
+on it and takes the few distinct hashes that come next.  Two lines agree in a band if those next of both lines are shared,
+as by the minima of a random order, and a shingle is hashed once for all bands.  Lines that agree in a whole band are
 candidates; candidates are compared by the Jaccard similarity of *all* their character shingles; links are joined to
 components by distributed union-find, and of each component the first line (by doc_id, then place) stays.
 
-Every step's work is linear in the rows of a band: each line first meets one line of the bands it shares; then, in bands whose lines
-are not one component yet, the others meet a few members of the band, chosen by hash.
+Two rounds whose work is linear in the rows of a band unite most of a crowded band: each line first meets one line of the bands it
+shares; then, in bands whose lines are not one component yet, the others meet a few members of the band, chosen by hash.
 """
 
 from __future__ import annotations
@@ -70,15 +70,17 @@ def line_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, k: i
     # copies of a line meet as one row; map-side, before any text is sent
     distinct = lines.groupBy("key").agg(F.first("line").alias("line"), F.min(F.struct("doc", "place")).alias("at"), F.count(F.lit(1)).alias("n"))
 
-    # a line's shingle hashes as one array, a stretch of the line at a time; then the least of each rearrangement
-    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.length("line") - 1) / _STRETCH).cast("int")), lambda i: F.substring("line", i * _STRETCH + 1, F.lit(_STRETCH + 2 * k)))
-    shingles = F.flatten(F.transform(stretches, lambda s: F.transform(F.regexp_extract_all(s, F.lit(f"(?s)(?:^|(?<= ))(?=(.{{1,{k}}}))"), F.lit(1)), lambda g: F.xxhash64(g))))
-    # each row of a band has hashes of its own, and each band a point of its own that they are nearest to
-    hashed = distinct.select("key", "at", "n", shingles.alias("h0"))
-    hashed = hashed.select("*", *[F.transform("h0", lambda x, r=r: F.xxhash64(x, F.lit(r))).alias(f"h{r}") for r in range(1, rows)])
-    least = lambda r, c: F.array_min(F.transform(f"h{r}", lambda x: x.bitwiseXOR(F.lit(c))))
-    band = F.array(*[F.xxhash64(F.lit(b), *[least(r, c) for r in range(rows)]) for b, c in enumerate(_constants(bands))])
-    signatures = scratch.table(hashed.select("key", F.col("at.doc").alias("doc"), F.col("at.place").alias("place"), "n", band.alias("bands")), "signatures")
+    # a line's shingle hashes as one sorted array, cut a stretch of the line at a time
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.length("line") - 1) / _STRETCH).cast("int")), lambda i: F.substring("line", i * _STRETCH + 1, F.lit(_STRETCH + k - 1)))
+    cut = F.when(F.length("line") <= k, F.array("line")).otherwise(F.flatten(F.transform(stretches, lambda s: F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))))
+    points = sorted(_constants(bands))
+    hashed = distinct.select("key", "at", "n", F.array_distinct(F.transform(cut, lambda g: F.xxhash64(g))).alias("h"))
+    hashed = hashed.select("key", "at", "n", F.sort_array("h").alias("h"), F.sort_array(F.concat("h", F.array(*[F.lit(c) for c in points]))).alias("marked"))
+    # the circle: after the last hash comes the first; a line of fewer shingles than a band has rows comes round again
+    hashed = hashed.select("key", "at", "n", "marked", F.size("h").alias("size"), F.concat("h", F.slice(F.flatten(F.array_repeat(F.slice("h", 1, rows), rows)), 1, rows)).alias("h"))
+    after = lambda b, c: F.array_position("marked", F.lit(c)).cast("int") - b
+    band = F.array(*[F.xxhash64(F.lit(b), F.slice("h", after(b, c), rows)) for b, c in enumerate(points)])
+    signatures = scratch.table(hashed.select("key", F.col("at.doc").alias("doc"), F.col("at.place").alias("place"), "n", "size", band.alias("bands")), "signatures")
     scratch.release()
 
     # a band's lines meet in one exchange, which both the count and the join use
