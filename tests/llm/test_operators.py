@@ -176,6 +176,17 @@ def test_line_dedup_recall(spark):
     assert out.where("doc_id >= 1000 AND n_removed = 1").count() >= 0.97 * len(pairs) and out.where("doc_id < 1000 AND n_removed > 0").count() <= 2
 
 
+def test_line_dedup_several_families_in_one_band(spark):
+    """Families that share bands but not the least key or a centre: every member still meets its own."""
+    rng = np.random.default_rng(31)
+    head = sentence(rng, 40)
+    families = [f"{head} {sentence(rng, 18)}" for _ in range(60)]
+    texts = [(n + 1000 * v, f"{x}{' ' + 'xyz'[v] * 3 if v else ''}") for n, x in enumerate(families) for v in range(3)]
+    assert max(shingle_jaccard(a, b) for n, a in enumerate(families) for b in families[:n]) < 0.8
+    out = line_dedup(spark, spark.createDataFrame(texts, "doc_id long, text string"), bands=2, rows=1, rounds=2)
+    assert {r.doc_id for r in out.where("n_removed = 0").collect()} == set(range(60))
+
+
 def test_line_dedup_without_spaces(spark):
     """Lines of one long word, and of few long words, that differ at the start."""
     rng = np.random.default_rng(32)

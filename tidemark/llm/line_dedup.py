@@ -8,7 +8,8 @@ candidates; candidates are compared by the Jaccard similarity of *all* their cha
 components by distributed union-find, and of each component the first line (by doc_id, then place) stays.
 
 Two rounds whose work is linear in the rows of a band unite most of a crowded band: each line first meets one line of the bands it
-shares; then, in bands whose lines are not one component yet, the others meet a few members of the band, chosen by hash.
+shares; then, in bands whose lines are not one component yet, the others meet a few members of the band, chosen by hash.  In
+bands that hold several components even then, all members of different components meet, in bounded blocks: no candidate is left out.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .components import components
 _LAST = (1 << 63) - 1
 #: Characters of a line that are cut into shingles at once, so that a line of any length needs little memory.
 _STRETCH = 1 << 14
+#: Members of a band that meet others of it in one block.
+_BLOCK = 1024
 
 
 def normal(line: Column) -> Column:
@@ -64,6 +67,18 @@ def _similar(a: str, b: str, k: int, similarity: float) -> Column:
     return F.exists(F.array(F.struct(shingles(a).alias("a"), shingles(b).alias("b"))), enough)
 
 
+def _across(held: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (u > v) of one band and different components; a hot band's members meet in blocks of two cuts of it."""
+    placed = held.select("band", "key", "size").join(parts.select(F.col("node").alias("key"), F.col("component").alias("part")), "key", "left").withColumn("part", F.coalesce("part", "key"))
+    bands = placed.groupBy("band").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("cuts")).where("p0 < p1").select("band", "cuts")
+    dealt = placed.join(bands, "band").withColumn("own", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    a = dealt.select("band", F.col("own").alias("i"), F.col("other").alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("key", "size", "part")])
+    b = dealt.select("band", F.col("other").alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("key", "size", "part")])
+    fit = F.least("size_a", "size_b") + 1e-6 >= F.lit(similarity) * F.greatest("size_a", "size_b")
+    met = a.join(b, ["band", "i", "j"]).where((F.col("key_a") > F.col("key_b")) & (F.col("part_a") != F.col("part_b")) & fit)
+    return met.select(F.col("key_a").alias("u"), F.col("key_b").alias("v")).distinct()
+
+
 def line_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, k: int, similarity: float, bands: int, rows: int, rounds: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
     """(lines: key, component) of linked lines, and (key, doc, place, n): the first place and the count of every line."""
     lines = _lines(docs, min_chars)
@@ -84,9 +99,9 @@ def line_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, k: i
     scratch.release()
 
     # a band's lines meet in one exchange, which both the count and the join use
-    members = signatures.select("key", F.explode("bands").alias("band")).repartition("band")
+    members = signatures.select("key", "size", F.explode("bands").alias("band")).repartition("band")
     crowded = members.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("band", "lo")
-    held = scratch.table(members.join(crowded, "band").select("band", "key", "lo"), "members")
+    held = scratch.table(members.join(crowded, "band").select("band", "key", "size", "lo"), "members")
     scratch.release()
 
     # the texts of candidates. A set of at most 2^20 key prefixes (16 MB) spares most other lines the exchange.
@@ -113,6 +128,9 @@ def line_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, k: i
     pairs = across.select(F.greatest("key", "c.key").alias("u"), F.least("key", "c.key").alias("v")).distinct()
     links = links.unionByName(similar_pairs(scratch.table(pairs, "pairs")))
     parts = scratch.table(components(links, scratch), "parts")
+    # at last, in bands that hold several components even now, all members of different ones whose sizes can fit
+    links = links.unionByName(similar_pairs(scratch.table(_across(held, parts, similarity), "pairs")))
+    parts = scratch.table(components(links, scratch), "parts")
     scratch.release()
     return parts, signatures.select("key", "doc", "place", "n")
 
