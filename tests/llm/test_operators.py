@@ -214,6 +214,19 @@ def test_url_filter(spark):
     assert url_filter(df.limit(0), rules).count() == 0 and url_filter(df, []).where("verdict = 'block'").count() == 0
 
 
+def test_url_filter_in_several_passes(spark, monkeypatch):
+    from tidemark.llm import url_filter as U
+
+    urls = ["http://a.net/x", "http://example.net/en/a", "http://example.net/de", "http://x.example.com/de/", "http://a.org/fr/x", "nourl", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("example.net/en/", True), ("net/", False), ("org/fr/", True), ("org/", True), ("example.com/de/", False), ("example.net/", True), ("org/fr/", False), ("example.com/de/", True)]
+    want = sorted(map(str, url_filter(df, rules).collect()))
+    monkeypatch.setattr(U, "MOST_RULE_BYTES", 20)
+    got = url_filter(df, rules)
+    assert len(U.rule_parts(rules, 20)) > 3 and sorted(map(str, got.collect())) == want
+    assert [r.verdict for r in got.orderBy("page_id").collect()] == ["block", "allow", "allow", "block", "block", "allow", "allow"]
+
+
 def test_hash_forest(spark):
     rng = np.random.default_rng(4)
     v = rng.standard_normal((700, 16)) * rng.uniform(0.5, 2, (700, 1))

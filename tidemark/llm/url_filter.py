@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 #: Rules may be broadcast up to this many bytes of strings; a longer list is split over several passes of this size.
 MOST_RULE_BYTES = 64 << 20
@@ -73,21 +73,41 @@ def split_url(column):
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(column, after, 2), F.lit(""))
 
 
+def rule_parts(rules: list[tuple[str, bool]], most: int) -> list[list[tuple[str, bool]]]:
+    """The rules in runs of up to ``most`` bytes of strings, one rule at least; no rules: one empty run."""
+    parts: list[list[tuple[str, bool]]] = [[]]
+    size = 0
+    for rule in rules:
+        n = len(rule[0].encode())
+        if parts[-1] and size + n > most:
+            parts.append([])
+            size = 0
+        parts[-1].append(rule)
+        size += n
+    return parts
+
+
 def url_filter(pages: DataFrame, rules: list[tuple[str, bool]], url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule and verdict columns (columns of those names are replaced).
 
     rules: (``host/path``, allow).  The longest rule that fits decides; a URL that no rule fits is in no block list, so
     it is allowed.  Null URLs and URLs without ``://`` have an empty host and path: no rule fits, they are allowed.
     """
-    size = sum(len(r) for r, _ in rules)
-    if size > MOST_RULE_BYTES:
-        raise ValueError(f"{size} bytes of rules: pass them in parts of up to {MOST_RULE_BYTES} and keep each URL's longest rule")
-    keyed = [("\n".join(parse_rule(r)).encode(), allow) for r, allow in rules]
-    image = DigestArray.build(keyed)
-    lengths = sorted({len(parse_rule(r)[1]) for r, _ in rules})
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = split_url(F.col(f"`{url}`"))
     fields = pages.select(*[F.col(f"`{c}`") for c in keep], host.alias("host"), path.alias("path"))
+    out = fields
+    for part in rule_parts(rules, MOST_RULE_BYTES):
+        out = _judged(out, part, first=out is fields)
+    return out.select(*[F.col(f"`{c}`") for c in fields.columns], "rule", "verdict")
+
+
+def _judged(fields: DataFrame, rules: list[tuple[str, bool]], first: bool) -> DataFrame:
+    """One pass: ``fields`` with the longest rule of these and of the passes before, its verdict and rank (_bytes, _host)."""
+    keyed = [("\n".join(parse_rule(r)).encode(), allow) for r, allow in rules]
+    image = DigestArray.build(keyed)
+    lengths = sorted({len(parse_rule(r)[1]) for r, _ in rules})
+    columns = fields.columns if first else fields.columns[:-4]
 
     def judge(batches):
         with tempfile.NamedTemporaryFile(prefix="digests-", delete=False) as f:  # each task maps its own copy
@@ -114,11 +134,20 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, bool]], url: str = "url"
                 rank = (len(key), key.index(b"\n"), int(found[j]))
                 if rank > best.get(owner[j], (0, 0, 0)):
                     best[owner[j]] = rank
-            rule, verdict = [None] * len(hosts), ["allow"] * len(hosts)
-            for i, (_, _, p) in best.items():
+            if first:
+                rule, verdict = [None] * len(hosts), ["allow"] * len(hosts)
+                sizes, cuts = [0] * len(hosts), [0] * len(hosts)
+            else:
+                rule, verdict, sizes, cuts = (batch.column(c).to_pylist() for c in ("rule", "verdict", "_bytes", "_host"))
+            for i, (n, cut, p) in best.items():
+                if (n, cut) < (sizes[i], cuts[i]):
+                    continue
+                stricter = (n, cut) == (sizes[i], cuts[i]) and verdict[i] == "block"  # the same rule in two parts
                 rule[i] = table.text[table.offsets[p] : table.offsets[p + 1]].tobytes().decode().replace("\n", "")
-                verdict[i] = "allow" if table.allow[p] else "block"
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [*batch.schema.names, "rule", "verdict"])
+                verdict[i] = "allow" if table.allow[p] and not stricter else "block"
+                sizes[i], cuts[i] = n, cut
+            judged = [pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(sizes, pa.int64()), pa.array(cuts, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], *judged], [*columns, "rule", "verdict", "_bytes", "_host"])
 
-    schema = StructType([*fields.schema, StructField("rule", StringType()), StructField("verdict", StringType())])
-    return fields.mapInArrow(judge, schema)
+    added = [StructField("rule", StringType()), StructField("verdict", StringType()), StructField("_bytes", LongType()), StructField("_host", LongType())]
+    return fields.mapInArrow(judge, StructType([*[fields.schema[c] for c in columns], *added]))
