@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -140,20 +141,22 @@ def test_token_store(spark, docs, rows, empty, tmp_path):
 def test_line_dedup(spark, docs, rows, empty):
     out = line_dedup(spark, docs, k=5, min_chars=4)
     assert out.columns == [*docs.columns, "n_lines", "n_removed"]
-    lines = sorted((2**63 - 1 if i is None else i, p, " ".join(x.lower().split())) for i, t in rows if t is not None for p, x in enumerate(t.split("\n")) if len(" ".join(x.split())) >= 4)
-    distinct = sorted({x for _, _, x in lines})
+    # rows that share a doc_id (or have none) are told apart by their texts, in the order of the texts' hashes
+    name = lambda i, t: (2**63 - 1 if i is None else i, (xxhash.xxh64_intdigest(t.encode(), 42) ^ 1 << 63) - (1 << 63))
+    lines = sorted((*name(i, t), p, " ".join(x.lower().split())) for i, t in rows if t is not None for p, x in enumerate(t.split("\n")) if len(" ".join(x.split())) >= 4)
+    distinct = sorted({x for *_, x in lines})
     links = [(a, b) for k, a in enumerate(distinct) for b in distinct[k + 1 :] if 0.8 * len(b) <= 1.3 * len(a) and 0.8 * len(a) <= 1.3 * len(b) and shingle_jaccard(a, b, 5) >= 0.8]
     part = brute_components(links, distinct)
     first: dict = {}
-    for i, p, x in lines:
-        first.setdefault(part[x], (i, p))
+    for i, tag, p, x in lines:
+        first.setdefault(part[x], (i, tag, p))
     gone: dict = {}
-    for i, p, x in lines:
-        if first[part[x]] != (i, p):
-            gone.setdefault(i, set()).add(p)
+    for i, tag, p, x in lines:
+        if first[part[x]] != (i, tag, p):
+            gone.setdefault((i, tag), set()).add(p)
     want = []
     for i, t in rows:
-        cut = gone.get(2**63 - 1 if i is None else i, set())
+        cut = set() if t is None else gone.get(name(i, t), set())
         kept = None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in cut)
         want.append((i, kept, 0 if t is None else t.count("\n") + 1, len(cut)))
     key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
@@ -162,6 +165,34 @@ def test_line_dedup(spark, docs, rows, empty):
     assert line_dedup(spark, empty).count() == 0
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark):
+    rows = [(1, "a line that both rows hold here", 1), (2, "a line that both rows hold here\nand another one after it", 2), (2, "totally other content of this row\nthat nothing else repeats", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _doc long").withColumn("_cut", F.lit(5)).withColumn("bucket", F.lit(6))
+    out = line_dedup(spark, docs)
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert sorted((r.doc_id, r.text, r._doc) for r in out.collect()) == [(1, rows[0][1], 1), (2, "and another one after it", 2), (2, rows[2][1], 3)]
+
+
+def test_line_dedup_of_a_template(spark):
+    """Many lines of one template: copies with a small change go, lines of the template that are less similar stay."""
+    rng = np.random.default_rng(31)
+    words = [sentence(rng, 1) for _ in range(4000)]
+    fixed = " ".join(rng.choice(words, 24))
+    lines, near = [], []
+    for f in range(120):
+        own = f"{fixed} {' '.join(rng.choice(words, 9))}"
+        lines.append(own)
+        at = int(rng.integers(0, len(own) - 4))
+        near.append(own[:at] + "#" + own[at + 1 :])
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(lines + near)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in line_dedup(spark, docs).collect()}
+    distinct = [x.lower() for x in lines]
+    links = [(a, b) for a in range(120) for b in range(a) if shingle_jaccard(distinct[a], distinct[b]) >= 0.8]
+    part = brute_components(links, set(range(120)))
+    assert sum(got[i] for i in range(120)) == 120 - len(set(part.values()))
+    assert sum(got[120 + i] for i in range(120)) >= 0.95 * 120
+
+
 def test_line_dedup_recall(spark):
     rng = np.random.default_rng(11)
     lines = [sentence(rng, int(rng.integers(6, 40))) for _ in range(150)]

@@ -63,6 +63,15 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = f"_{name}"
+    while out in taken:
+        out = f"_{out}"
+    return out
+
+
 def slices(texts, most_bytes: int):
     """Cut an Arrow string array into (from, to) runs of about ``most_bytes`` of text, one row at least."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))

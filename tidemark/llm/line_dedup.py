@@ -1,14 +1,16 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-Each line (lower-cased, white space collapsed) has a 64-bit key of its text; copies of a line fall together before its
-text is shuffled.  Its signature: the hashes of all its character shingles in order, as a circle; each band has a point
-on it and takes the few distinct hashes that come next.  Two lines agree in a band if those next of both lines are shared,
-as by the minima of a random order, and a shingle is hashed once for all bands.  Lines that agree in a whole band are
-candidates; candidates are compared by the Jaccard similarity of *all* their character shingles; links are joined to
-components by distributed union-find, and of each component the first line (by doc_id, then place) stays.
-
-Two rounds whose work is linear in the rows of a band unite most of a crowded band: each line first meets one line of the bands it
-shares; then, in bands whose lines are not one component yet, the others meet a few members of the band, chosen by hash.  In
+Lines (lower-cased, white space collapsed) are cut into stretches of a fixed number of shingle starts, one row each, whose
+shingles are hashed by generated code.  The hash circle is cut into ``bands * rows`` buckets; a line's min-hash of a bucket is the
+smallest of its hashes there (of the next bucket that has one, if there is none), so the stretches of a line, and all copies
+of a line, meet in one map-side combined aggregation of fixed-size minima: no text is shuffled for signatures.  A band packs
+16 bits of each of its min-hashes; lines that agree in a whole band are candidates.  Candidates that agree in too few of all
+min-hashes are dropped (four standard deviations below what the least similarity gives), the others are compared by the
+Jaccard similarity of *all* their character shingles; links are joined to components by distributed union-find, and of each
+component the first line (by doc_id, then text, then place) stays.
+
+Rounds whose work is linear in the rows of a band unite most of a crowded band: each line first meets the first line of each of its
+bands; then, in bands whose lines are not one component yet, the others meet a few members of the band, chosen by hash.  In
 bands that hold several components even then, all members of different components meet, in bounded blocks: no candidate is left out.
 """
 
@@ -19,120 +21,202 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 from .components import components
 
 #: A row without doc_id comes last.
 _LAST = (1 << 63) - 1
-#: Characters of a line that are cut into shingles at once, so that a line of any length needs little memory.
-_STRETCH = 1 << 14
-#: Members of a band that meet others of it in one block.
-_BLOCK = 1024
+#: Shingle starts of a stretch; members of a band that meet others of it in one block.
+_STRETCH, _BLOCK = 64, 1024
+#: Bits of the largest filter (16 MB): past some 10^8 keys it lets through ever more, never too little.
+_MOST_BITS = 27
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"\s+", " "))
+    """Lower-cased, runs of white space as one space, none at the ends."""
 
+    def tidy(low: Column) -> Column:
+        odd = reduce(lambda a, b: a | b, [F.contains(low, F.lit(s)) for s in ("  ", "\t", "\r", "\f", "\x0b")])
+        return F.trim(F.when(odd, F.regexp_replace(low, r"\s+", " ")).otherwise(low))
 
-def _constants(n: int) -> list[int]:
-    """``n`` points spread evenly over the signed 64-bit numbers, each moved a little by a linear congruential rule."""
-    out, x, step = [], 0x2545F4914F6CDD1D, (1 << 64) // n
-    for i in range(n):
-        x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 64)
-        out.append(i * step + x % step - (1 << 63))
-    return out
+    return _once(F.lower(line), tidy)
+
+
+def _rows(docs: DataFrame) -> list[Column]:
+    """What names a row: its doc_id, and a hash of its text for rows that share one."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tag")]
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    split = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode(F.split("text", "\n")).alias("place", "raw"))
-    line = split.select("doc", "place", normal(F.col("raw")).alias("line")).where(F.length("line") >= min_chars)
-    return line.withColumn("key", F.xxhash64("line"))
+    split = F.transform(F.split("text", "\n"), normal)
+    return docs.select(*_rows(docs), F.posexplode(split).alias("place", "line")).where(F.length("line") >= min_chars)
+
+
+def _keyed(lines: DataFrame) -> DataFrame:
+    """With 128 bits that stand for the line's text."""
+    return lines.withColumns({"k1": F.xxhash64("line"), "k2": F.xxhash64(F.lit(7), "line")})
+
+
+def _apart(value: Column | str) -> Column:
+    """``value`` by way of a lambda, which keeps a projection of many expressions out of whole-stage code: there they would make
+    one method, too long for the compiler; by itself a projection is split into short ones."""
+    return _once(F.col(value) if isinstance(value, str) else value, lambda x: x)
+
+
+def _signatures(lines: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
+    """k1, k2, n (occurrences) and sketch (a packed long for each band) of every distinct line."""
+    buckets = bands * rows
+    points = [i * (1 << 32) // buckets - (1 << 31) for i in range(buckets)]
+    width = 4 * k
+    starts = lambda u: F.sequence(F.lit(1), F.greatest(F.octet_length(u) - width + 1, F.lit(1)), F.lit(4 * _STRETCH))
+    cut = _once(F.encode("line", "UTF-32"), lambda u: F.transform(starts(u), lambda i: F.substring(u, i, F.lit(4 * _STRETCH + width - 4))))
+    stretches = _keyed(lines).select("k1", "k2", F.posexplode(cut).alias("turn", "part"))
+    hashes = F.array(*[F.hash(F.substring("part", 4 * j + 1, width)) for j in range(_STRETCH)])
+    hashed = stretches.select("k1", "k2", "turn", F.slice(hashes, 1, F.greatest((F.octet_length("part") / 4).cast("int") - k + 1, F.lit(1))).alias("h"))
+    ends = F.array(*[F.lit(p) for p in points])
+    # (a stretch always has hashes; that ``h`` is read twice keeps Spark from moving it into the next, uncompiled projection)
+    counted = ((F.col("turn") == 0) & (F.size("h") > 0)).cast("long")
+    marked = hashed.select("k1", "k2", counted.alias("n"), F.sort_array(F.concat("h", ends)).alias("m"))
+    # what follows a bucket's first point in order is its smallest hash, or the next bucket's point, larger than any, if it has none
+    least = [F.get("m", F.array_position("m", F.lit(p)).cast("int")) for p in points]
+    met = marked.select("k1", "k2", _apart("n").alias("n"), *[x.alias(f"m{i}") for i, x in enumerate(least)])
+    met = met.groupBy("k1", "k2").agg(F.sum("n").alias("n"), *[F.min(f"m{i}").alias(f"m{i}") for i in range(buckets)])
+    # an empty bucket takes what the next one on the circle has
+    some = met.select("k1", "k2", _apart("n").alias("n"), F.array_except(F.array_compact(F.array(*[F.col(f"m{i}") for i in range(buckets)])), ends).alias("h"))
+    some = some.select("k1", "k2", _apart("n").alias("n"), F.concat("h", F.slice("h", 1, 1)).alias("h"), F.sort_array(F.concat("h", ends)).alias("m"))
+    low = [F.element_at("h", (F.array_position("m", F.lit(p)) - i).cast("int")).cast("long").bitwiseAND(F.lit(0xFFFF)) for i, p in enumerate(points)]
+
+    def packed(b: int) -> Column:
+        return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(low[b + bands * r], 16 * r) for r in range(rows)])
+
+    return some.select("k1", "k2", _apart("n").alias("n"), F.array(*[packed(b) for b in range(bands)]).alias("sketch"))
+
+
+def _agreement(a: str, b: str, bands: int, rows: int) -> Column:
+    """In how many min-hashes two sketches agree."""
+
+    def differing(i: int) -> Column:
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        for shift in (8, 4, 2, 1):  # any set bit of a field ends in its lowest bit
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(int(f"{(1 << 16 - shift) - 1:04x}" * rows, 16))))
+        return F.bit_count(x.bitwiseAND(F.lit(int("0001" * rows, 16))))
+
+    return F.lit(bands * rows) - reduce(lambda x, y: x + y, [differing(i) for i in range(bands)])
 
 
-def _similar(a: str, b: str, k: int, similarity: float) -> Column:
-    """Whether the sets of all k-character shingles (as 64-bit hashes) of two lines are similar enough.
+def _similar(pairs: DataFrame, a: str, b: str, k: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose lines ``a`` and ``b`` have similar enough sets of all k-character shingles (as 64-bit hashes).
 
-    A line of up to k characters is one shingle.  The sets stand in a one-element array, so that each is made once.
+    A line of up to k characters is one shingle.  Each set is a column that is read twice, so Spark makes it once.
     """
+    width = 4 * k
+    starts = lambda u: F.sequence(F.lit(1), F.greatest(F.octet_length(u) - width + 1, F.lit(1)), F.lit(4))
 
     def shingles(c: str) -> Column:
-        cut = F.when(F.length(c) <= k, F.array(F.col(c))).otherwise(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
-        return F.array_distinct(F.transform(cut, lambda g: F.xxhash64(g)))
-
-    def enough(s: Column) -> Column:
-        sizes = F.size(s["a"]) + F.size(s["b"])
-        # |both| >= t * |either|, with |either| = sizes - |both|; what is added is less than a shingle and more than rounding
-        return F.size(F.array_intersect(s["a"], s["b"])).cast("double") * (1 + similarity) + 1e-6 >= F.lit(similarity) * sizes
-
-    return F.exists(F.array(F.struct(shingles(a).alias("a"), shingles(b).alias("b"))), enough)
-
-
-def _across(held: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (u > v) of one band and different components; a hot band's members meet in blocks of two cuts of it."""
-    placed = held.select("band", "key", "size").join(parts.select(F.col("node").alias("key"), F.col("component").alias("part")), "key", "left").withColumn("part", F.coalesce("part", "key"))
-    bands = placed.groupBy("band").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("cuts")).where("p0 < p1").select("band", "cuts")
-    dealt = placed.join(bands, "band").withColumn("own", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    a = dealt.select("band", F.col("own").alias("i"), F.col("other").alias("j"), *[F.col(c).alias(f"{c}_a") for c in ("key", "size", "part")])
-    b = dealt.select("band", F.col("other").alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"{c}_b") for c in ("key", "size", "part")])
-    fit = F.least("size_a", "size_b") + 1e-6 >= F.lit(similarity) * F.greatest("size_a", "size_b")
-    met = a.join(b, ["band", "i", "j"]).where((F.col("key_a") > F.col("key_b")) & (F.col("part_a") != F.col("part_b")) & fit)
-    return met.select(F.col("key_a").alias("u"), F.col("key_b").alias("v")).distinct()
-
-
-def line_components(spark: SparkSession, docs: DataFrame, scratch: Scratch, k: int, similarity: float, bands: int, rows: int, rounds: int, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """(lines: key, component) of linked lines, and (key, doc, place, n): the first place and the count of every line."""
-    lines = _lines(docs, min_chars)
-    # copies of a line meet as one row; map-side, before any text is sent
-    distinct = lines.groupBy("key").agg(F.first("line").alias("line"), F.min(F.struct("doc", "place")).alias("at"), F.count(F.lit(1)).alias("n"))
-
-    # a line's shingle hashes as one sorted array, cut a stretch of the line at a time
-    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.length("line") - 1) / _STRETCH).cast("int")), lambda i: F.substring("line", i * _STRETCH + 1, F.lit(_STRETCH + k - 1)))
-    cut = F.when(F.length("line") <= k, F.array("line")).otherwise(F.flatten(F.transform(stretches, lambda s: F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))))
-    points = sorted(_constants(bands))
-    hashed = distinct.select("key", "at", "n", F.array_distinct(F.transform(cut, lambda g: F.xxhash64(g))).alias("h"))
-    hashed = hashed.select("key", "at", "n", F.sort_array("h").alias("h"), F.sort_array(F.concat("h", F.array(*[F.lit(c) for c in points]))).alias("marked"))
-    # the circle: after the last hash comes the first; a line of fewer shingles than a band has rows comes round again
-    hashed = hashed.select("key", "at", "n", "marked", F.size("h").alias("size"), F.concat("h", F.slice(F.flatten(F.array_repeat(F.slice("h", 1, rows), rows)), 1, rows)).alias("h"))
-    after = lambda b, c: F.array_position("marked", F.lit(c)).cast("int") - b
-    band = F.array(*[F.xxhash64(F.lit(b), F.slice("h", after(b, c), rows)) for b, c in enumerate(points)])
-    signatures = scratch.table(hashed.select("key", F.col("at.doc").alias("doc"), F.col("at.place").alias("place"), "n", "size", band.alias("bands")), "signatures")
+        return F.array_distinct(_once(F.encode(F.col(c), "UTF-32"), lambda u: F.transform(starts(u), lambda i: F.xxhash64(F.substring(u, i, F.lit(width))))))
+
+    sets = pairs.select("u", "v", shingles(a).alias("a"), shingles(b).alias("b"))
+    counts = sets.select("u", "v", F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("sizes"))
+    # |both| >= t * |either|, with |either| = sizes - |both|; what is added is less than a shingle and more than rounding
+    return counts.where(F.col("both") * (1 + similarity) + 1e-6 >= F.col("sizes") * similarity).select("u", "v")
+
+
+class Filter:
+    """A bitmap of hashed keys, sized from their number, that tells rows of other keys before they are sent anywhere."""
+
+    def __init__(self, keys: DataFrame, *names: str):
+        n = keys.count()
+        self.bits = min(_MOST_BITS, max(16, int(16 * n).bit_length()))
+        place = F.shiftrightunsigned(F.xxhash64(*names), 64 - self.bits)
+        # at most 2^27 / 2^15 rows of 4 KB
+        self.map = keys.select(place.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("_bits"))
+
+    def mark(self, df: DataFrame, name: str, *names: str) -> DataFrame:
+        """``df`` with a column that is false for rows whose key is surely none of the filter's."""
+        place = F.shiftrightunsigned(F.xxhash64(*names), 64 - self.bits)
+        bucket, bits, spot = fresh(df, "bucket"), fresh(df, "bits"), fresh(df, "spot")
+        small = self.map.select(F.col("_bucket").alias(bucket), F.col("_bits").alias(bits))
+        placed = df.withColumn(spot, F.bitmap_bit_position(place)).withColumn(bucket, F.bitmap_bucket_number(place))
+        octet = F.conv(F.hex(F.substring(F.col(bits), (F.col(spot) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.coalesce(F.call_function("getbit", octet, (F.col(spot) % 8).cast("int")) == 1, F.lit(False))
+        return placed.join(F.broadcast(small), bucket, "left").withColumn(name, hit).drop(bucket, bits, spot)
+
+
+def _across(open_: DataFrame, fit) -> DataFrame:
+    """All fitting pairs (u > v) of one band and different components; a hot band's members meet in blocks of two cuts of it."""
+    cuts = open_.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("cuts"))
+    dealt = open_.join(cuts, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    a = dealt.select("band", F.col("own").alias("i"), F.col("other").alias("j"), *[F.col(c).alias(f"{c}_u") for c in ("id", "part", "sketch")])
+    b = dealt.select("band", F.col("other").alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"{c}_v") for c in ("id", "part", "sketch")])
+    met = a.join(b, ["band", "i", "j"]).where((F.col("id_u") > F.col("id_v")) & (F.col("part_u") != F.col("part_v"))).where(fit("sketch_u", "sketch_v"))
+    return met.select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
+
+
+def line_components(scratch: Scratch, lines: DataFrame, k: int, similarity: float, bands: int, rows: int, rounds: int) -> DataFrame:
+    """k1, k2, part of every line that occurs twice or is linked: ``part`` is one for all lines of a component."""
+    signatures = scratch.table(_signatures(lines, k, bands, rows).withColumn("id", F.monotonically_increasing_id()), "signatures")
     scratch.release()
+    sketches = signatures.select("id", "sketch")
 
     # a band's lines meet in one exchange, which both the count and the join use
-    members = signatures.select("key", "size", F.explode("bands").alias("band")).repartition("band")
-    crowded = members.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("band", "lo")
-    held = scratch.table(members.join(crowded, "band").select("band", "key", "size", "lo"), "members")
+    members = signatures.select("id", F.explode(F.array_distinct("sketch")).alias("band")).repartition("band")
+    crowded = members.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band", "lo")
+    held = scratch.table(members.join(crowded, "band").select("band", "id", "lo"), "members")
     scratch.release()
 
-    # the texts of candidates. A set of at most 2^20 key prefixes (16 MB) spares most other lines the exchange.
-    wanted = held.select("key").distinct()
-    prefix = wanted.select(F.shiftrightunsigned("key", 44).alias("prefix")).distinct()
-    likely = lines.select("key", "line").withColumn("prefix", F.shiftrightunsigned("key", 44)).join(F.broadcast(prefix), "prefix", "left_semi")
-    texts = scratch.table(likely.groupBy("key").agg(F.first("line").alias("line")).join(wanted, "key", "left_semi"), "texts")
-
-    def similar_pairs(pairs: DataFrame) -> DataFrame:
-        with_u = pairs.join(texts.select(F.col("key").alias("u"), F.col("line").alias("lu")), "u")
-        with_v = with_u.join(texts.select(F.col("key").alias("v"), F.col("line").alias("lv")), "v")
-        return scratch.table(with_v.where(_similar("lu", "lv", k, similarity)).select("u", "v"), "links")
-
-    # first each line meets the first line of the band group that it shares most of
-    votes = held.where("key <> lo").groupBy("key", "lo").count()
-    best = votes.groupBy("key").agg(F.max_by("lo", F.struct("count", "lo")).alias("lo"))
-    links = similar_pairs(best.select(F.greatest("key", "lo").alias("u"), F.least("key", "lo").alias("v")).distinct())
+    # texts of candidates, by the first of a line's copies that comes
+    wanted = signatures.select("k1", "k2", "id").join(held.select("id").distinct(), "id")
+    likely = Filter(wanted, "k1").mark(_keyed(lines.select("line")), "likely", "k1").where("likely").drop("likely")
+    texts = scratch.table(likely.groupBy("k1", "k2").agg(F.first("line").alias("line")).join(wanted, ["k1", "k2"]).select("id", "line"), "texts")
+
+    total = bands * rows
+    least = int(total * similarity - 4 * (total * similarity * (1 - similarity)) ** 0.5)
+    # (the second term, always true, keeps this long condition out of whole-stage code; see _apart)
+    fit = lambda a, b: (_agreement(a, b, bands, rows) >= least) & F.exists(F.array(F.col(a)), lambda x: x.isNotNull())
+
+    def fitting(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sketches.select(F.col("id").alias("u"), F.col("sketch").alias("su")), "u").join(sketches.select(F.col("id").alias("v"), F.col("sketch").alias("sv")), "v")
+        return both.where(fit("su", "sv")).select("u", "v")
+
+    tried: list[DataFrame] = []
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Of fitting pairs that were not compared before those that are similar, all shingles compared."""
+        for old in tried:
+            pairs = pairs.join(old, ["u", "v"], "left_anti")
+        tried.append(scratch.table(pairs, "tried"))
+        with_u = tried[-1].join(texts.select(F.col("id").alias("u"), F.col("line").alias("lu")), "u")
+        with_v = with_u.join(texts.select(F.col("id").alias("v"), F.col("line").alias("lv")), "v")
+        return scratch.table(_similar(with_v, "lu", "lv", k, similarity), "links")
+
+    def opened(parts: DataFrame) -> DataFrame:
+        """band, id, part of the bands that hold several components."""
+        placed = held.select("band", "id").join(parts.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
+        several = placed.groupBy("band").agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("band")
+        return scratch.table(placed.join(several, "band"), "open")
+
+    # first each line meets the first line of each of its bands
+    links = similar(fitting(held.where("id <> lo").select(F.greatest("id", "lo").alias("u"), F.least("id", "lo").alias("v")).distinct()))
     parts = scratch.table(components(links, scratch), "parts")
     # then, in bands that hold several components still, the lines of the others meet some members chosen by hash
-    placed = held.select("band", "key").join(parts.select(F.col("node").alias("key"), F.col("component").alias("part")), "key", "left").withColumn("part", F.coalesce("part", "key"))
-    chosen = [F.min_by(F.struct("key", "part"), F.xxhash64("key", F.lit(turn))) for turn in range(rounds)]
-    centres = placed.groupBy("band").agg(F.array_distinct(F.array(*chosen)).alias("c"), F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1")
-    across = placed.join(centres.select("band", F.explode("c").alias("c")), "band").where(F.col("part") != F.col("c.part"))
-    pairs = across.select(F.greatest("key", "c.key").alias("u"), F.least("key", "c.key").alias("v")).distinct()
-    links = links.unionByName(similar_pairs(scratch.table(pairs, "pairs")))
+    open_ = opened(parts)
+    chosen = [F.min_by(F.struct("id", "part"), F.xxhash64("id", F.lit(turn))) for turn in range(rounds)]
+    centres = open_.groupBy("band").agg(F.array_distinct(F.array(*chosen)).alias("c"))
+    met = open_.join(centres.select("band", F.explode("c").alias("c")), "band").where(F.col("part") != F.col("c.part"))
+    links = links.unionByName(similar(fitting(met.select(F.greatest("id", "c.id").alias("u"), F.least("id", "c.id").alias("v")).distinct())))
     parts = scratch.table(components(links, scratch), "parts")
-    # at last, in bands that hold several components even now, all members of different ones whose sizes can fit
-    links = links.unionByName(similar_pairs(scratch.table(_across(held, parts, similarity), "pairs")))
+    # at last, in bands that hold several components even now, all members of different ones that can fit
+    links = links.unionByName(similar(_across(opened(parts).join(sketches, "id"), fit)))
     parts = scratch.table(components(links, scratch), "parts")
+    scratch.drop(held, texts)
     scratch.release()
-    return parts, signatures.select("key", "doc", "place", "n")
+    grouped = signatures.select("k1", "k2", "id", "n").join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
+    return grouped.where("n > 1 OR component IS NOT NULL").select("k1", "k2", F.coalesce("component", "id").alias("part"))
 
 
 def line_dedup(
@@ -149,29 +233,38 @@ def line_dedup(
 ) -> DataFrame:
     """``docs`` with its own columns and new texts, plus n_lines and n_removed (replaced if there).
 
-    Of each component of similar lines the first (by doc_id, then place in the text) stays, every other line goes with
-    its line end.  Lines of fewer than ``min_chars`` characters (blank ones too) are left alone.  Null texts stay null and have
-    0 lines; empty texts have one blank line.  Rows that share a doc_id share their decisions; null doc_ids come last.
-    ``drop_emptied``: leave out documents that lost lines and keep none but blank ones.
+    Of each component of similar lines the first (by doc_id, then text, then place in the text) stays, every other line goes
+    with its line end.  Lines of fewer than ``min_chars`` characters (blank ones too) are left alone.  Null texts stay null
+    and have 0 lines; empty texts have one blank line.  Rows that share doc_id and text share their decisions; rows that share
+    only the doc_id are told apart; null doc_ids come last.  An empty table gives no rows; other columns pass through,
+    whatever their names.  A line of any length is compared whole (in memory of some ten times its size).
+    ``drop_emptied``: leave out documents that lost lines and keep none but blank ones.  ``rows``: 4 at most.
     """
+    if not 1 <= rows <= 4:
+        raise ValueError("rows: 1 to 4 min-hashes in a band")
     scratch = Scratch(spark, "line-dedup")
-    parts, lines = line_components(spark, docs, scratch, k, similarity, bands, rows, rounds, min_chars)
-    placed = lines.join(parts.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("part", F.coalesce("component", "key"))
-    kept = placed.groupBy("part").agg(F.min(F.struct("doc", "place", "key")).alias("first"), F.sum("n").alias("n")).where("n > 1")
-    # a line that has no second occurrence and no link is in no group of several: only the others need a look
+    lines = scratch.table(_lines(docs, min_chars), "lines")
+    grouped = scratch.table(line_components(scratch, lines, k, similarity, bands, rows, rounds), "groups")
+    # the occurrences of lines that are in a group of several
+    found = scratch.table(_keyed(lines).select("doc", "tag", "place", "k1", "k2").join(grouped, ["k1", "k2"]).select("doc", "tag", "place", "part"), "occurrences")
+    first = found.groupBy("part").agg(F.min(F.struct("doc", "tag", "place")).alias("first"))
+    gone = found.join(first, "part").where(F.struct("doc", "tag", "place") != F.col("first"))
+    cuts = scratch.table(gone.groupBy("doc", "tag").agg(F.collect_set("place").alias("cut")), "cuts")
+    scratch.drop(lines, grouped, found)
     scratch.release()
-    repeated = scratch.table(placed.join(kept, "part").select("key", F.col("first.doc").alias("fd"), F.col("first.place").alias("fp")), "repeated")
-    prefix = repeated.select(F.shiftrightunsigned("key", 44).alias("prefix")).distinct()
-    every = _lines(docs, min_chars).select("doc", "place", "key", F.shiftrightunsigned("key", 44).alias("prefix")).join(F.broadcast(prefix), "prefix", "left_semi")
-    gone = every.join(repeated, "key").where((F.col("doc") != F.col("fd")) | (F.col("place") != F.col("fp")))
-    cuts = scratch.table(gone.groupBy("doc").agg(F.collect_set("place").alias("_cut")), "cuts")
 
-    out = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).join(cuts.withColumnRenamed("doc", "_doc"), "_doc", "left")
+    # texts that lose nothing are not sent anywhere
+    doc, tag, cut, touched = (fresh(docs, c) for c in ("doc", "tag", "cut", "touched"))
+    name_doc, name_tag = _rows(docs)
+    named = docs.withColumn(doc, name_doc).withColumn(tag, name_tag)
+    marked = Filter(cuts, "doc", "tag").mark(named, touched, doc, tag)
+    other = cuts.select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("cut").alias(cut))
+    out = marked.where(F.col(touched)).join(other, [doc, tag], "left").unionByName(marked.where(~F.col(touched)).withColumn(cut, F.lit(None).cast("array<int>")))
     old = F.split("text", "\n")
-    new = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.filter(old, lambda x, i: ~F.array_contains("_cut", i)), "\n"))
+    new = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.filter(old, lambda x, i: ~F.array_contains(F.col(cut), i)), "\n"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     columns = [(new if c == "text" else F.col(f"`{c}`")).alias(c) for c in names]
-    out = out.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(F.size(old)).cast("long").alias("n_lines"), F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("n_removed"))
+    out = out.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(F.size(old)).cast("long").alias("n_lines"), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_removed"))
     if drop_emptied:
         out = out.where((F.col("n_removed") == 0) | (F.length(F.trim(F.regexp_replace("text", r"\s+", " "))) > 0))
     return out
