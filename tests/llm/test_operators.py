@@ -386,8 +386,7 @@ def test_packing(spark, docs, rows, empty):
     assert pack(spark, empty, public_tokenizers.path("word_bpe_49k.json"), 1).count() == 0
 
 
-def test_repeats(spark, docs, rows, empty):
-    got = remove_repeats(spark, docs, 50, keep_text=True).collect()
+def brute_repeats(rows):
     seen: dict = {}
     for i, t in rows:
         if i is not None:
@@ -404,11 +403,30 @@ def test_repeats(spark, docs, rows, empty):
                 gone[k : k + 50] = True
         kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
         want.append((i, len(data), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept))
-    key = lambda r: tuple((x is not None, x or 0) for x in (r[0], r[1]))
-    assert sorted(((r[0], r[1], r[2], r[3], r[4], bytes(r[5])) for r in got), key=key) == sorted(want, key=key)
+    return sorted(want, key=repeat_key)
+
+
+def repeat_key(r):
+    return tuple((x is not None, x or 0) for x in (r[0], r[1], r[4]))
+
+
+def test_repeats(spark, docs, rows, empty):
+    got = remove_repeats(spark, docs, 50, keep_text=True).collect()
+    assert sorted(((r[0], r[1], r[2], r[3], r[4], bytes(r[5])) for r in got), key=repeat_key) == brute_repeats(rows)
     assert remove_repeats(spark, empty).count() == 0
 
 
+def test_repeats_of_rows_with_one_id_and_of_a_hot_passage(spark, monkeypatch):
+    """Rows that share a doc_id are cut each by itself; a passage of many rows, in other surroundings each, goes from all but one."""
+    monkeypatch.setattr("tidemark.llm.repeats.CHUNK", 2000)
+    rng = np.random.default_rng(11)
+    passage, common = sentence(rng, 20), sentence(rng, 4)[:24]
+    rows = [(1, passage), (2, passage + " with a tail of its own"), (2, sentence(rng, 40)), (2, sentence(rng, 5) + passage)]
+    rows += [(i, f"{sentence(rng, 6)} {passage if i % 3 else common} {sentence(rng, 6)}") for i in range(300, 3, -1)]
+    got = remove_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 50, keep_text=True).collect()
+    assert sorted(((r[0], r[1], r[2], r[3], r[4], bytes(r[5])) for r in got), key=repeat_key) == brute_repeats(rows)
+
+
 def test_every_query_is_registered():
     import __spark_entry__ as e
 

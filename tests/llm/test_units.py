@@ -73,7 +73,7 @@ def test_suffix_arrays():
 def test_anchors_belong_to_windows():
     raw = np.frombuffer(bytes(random.Random(5).choices(b"ab ", k=3000)), np.uint8)
     doc_of = np.repeat([0, 1, 2], [1000, 40, 1960])
-    first, last, key = repeats.anchors(raw, doc_of, 50)
+    first, last, key, *_ = repeats.anchors(raw, doc_of, 50)
     seen: dict = {}
     for a, b, h in zip(first, last, key):
         for w in range(a, b + 1):

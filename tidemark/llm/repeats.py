@@ -2,11 +2,13 @@
 
 Every window of 50 bytes belongs to the hashed 16-gram of smallest order in it (its anchor; the leftmost one if equal), so
 equal windows have equal anchors wherever they stand.  Neighbouring windows with one anchor form a stretch of at most
-84 bytes.  Anchors that occur in one document only can't hold a repeat: the first scan counts anchors, the second keeps
-the stretches of the others.  Stretches are dealt out by anchor, each distinct stretch once, however often it occurs;
-each shard sorts the suffixes of its stretches by induced sorting, groups them by permuted common prefixes of 50 bytes
-or more, and finds for every window the smallest document that has it.  Occurrences join these results, and the
-covered bytes of each document are removed.
+84 bytes.  A window reaches 17 bytes or more beyond its anchor on one side at least, so equal windows also share the 33 bytes
+that the anchor makes with that side.  Texts are dealt to chunks of some megabytes, which are written once.  Each chunk sends its
+distinct hashed 33-grams, in sorted and compressed runs, one to each range of hash space; the ranges answer which of
+them occur in several documents, and a chunk keeps the stretches, or halves of them, that can hold a repeat.  These
+are dealt out by anchor, each distinct one once from each chunk, however often it occurs; each shard sorts their suffixes by
+induced sorting, groups them by permuted common prefixes of 50 bytes or more, and finds for every window the smallest
+document that has it.  Occurrences join these results, and each chunk removes the covered bytes of its rows.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +29,8 @@ from .suffix_array import permuted_lcp, suffix_array
 #: Bytes of text looked at together; a longer text is looked at in overlapping parts. Positions take 20 bits.
 PART = 1 << 20
 GRAM = 16
-#: Bits of the filter of shared anchors: a fixed 16 MB. It may let through too much, never too little.
-ANCHOR_BITS = 27
-#: Bytes of distinct stretches in one suffix array.
-SHARD = 1_500_000
+#: Bytes of text in a chunk (one text at least), of text whose 33-grams one range of hash space holds, of stretches in one suffix array.
+CHUNK, RANGE, SHARD = 8 << 20, 18 << 20, 1_500_000
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -39,12 +41,16 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return mix64(h)
 
 
-def anchors(raw: np.ndarray, doc_of: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, anchor hash) of each stretch; windows that cross documents don't count."""
+def anchors(raw: np.ndarray, doc_of: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Of each stretch: first window, last window, the anchor's hash, the hashes of the anchor with its left and with its right
+    side, and the anchor's place.
+
+    Windows that cross documents don't count.  A side that no window of the stretch reaches far into has the hash 0.
+    """
     n = len(raw) - window + 1
     none = np.empty(0, np.int64)
     if n <= 0:
-        return none, none, np.empty(0, np.uint64)
+        return none, none, *[np.empty(0, np.uint64)] * 3, none
     hashes = gram_hashes(raw)
     span = window - GRAM + 1
     place = np.arange(len(hashes), dtype=np.uint64)
@@ -54,7 +60,7 @@ def anchors(raw: np.ndarray, doc_of: np.ndarray, window: int) -> tuple[np.ndarra
         low = np.minimum(low[:-done], low[done:])
         done *= 2
     if done < span:
-        low = np.minimum(low[: n], low[span - done :][:n])
+        low = np.minimum(low[:n], low[span - done :][:n])
     at = (low[:n] & np.uint64((1 << 20) - 1)).astype(np.int64)
     whole = doc_of[:n] == doc_of[window - 1 :]
     at[~whole] = -1
@@ -62,22 +68,29 @@ def anchors(raw: np.ndarray, doc_of: np.ndarray, window: int) -> tuple[np.ndarra
     ends = np.concatenate([edge[1:], [n]]) - 1
     real = at[edge] >= 0
     first, last = edge[real], ends[real]
-    return first, last, hashes[at[first]]
-
-
-def parts(batch, window: int):
-    """(bytes, document number of each byte, offset of each document's bytes in its text, batch row of each number)."""
+    p = at[first]
+    reach = (window - GRAM) // 2  # a window has so many bytes beyond its anchor on one side at least
+    sides = []
+    for sign, fine in ((1, first <= p - reach), (-1, last > p - reach)):
+        here, key = p[fine], np.zeros(len(p), np.uint64)
+        # grams that overlap, so that together they are the side and the anchor
+        for g in [*[here - sign * (reach - GRAM * k) for k in range(-(-reach // GRAM))], here]:
+            key[fine] = mix64(key[fine] * np.uint64(0x9E3779B97F4A7C15) + hashes[g] + np.uint64(1))
+        sides.append(key)
+    return first, last, hashes[p], *sides, p
+
+
+def parts(texts: list[bytes], window: int):
+    """(bytes, row of each byte, place of each row's bytes in the part, offset of them in its text, by row number in the part)."""
     held: list[tuple[int, int, bytes]] = []
     size = 0
-    texts = batch.column("text").to_pylist()
 
     def flush():
         raw = np.frombuffer(b"".join(x for _, _, x in held), np.uint8)
         lens = np.asarray([len(x) for _, _, x in held])
         return raw, np.repeat(np.arange(len(held)), lens), np.cumsum(lens) - lens, np.asarray([o for _, o, _ in held]), np.asarray([r for r, _, _ in held])
 
-    for row, text in enumerate(texts):
-        data = text.encode("utf-8", "surrogatepass") if text else b""
+    for row, data in enumerate(texts):
         if len(data) < window:
             continue
         at = 0
@@ -95,92 +108,172 @@ def parts(batch, window: int):
         yield flush()
 
 
-def _count_anchors(docs: DataFrame, window: int) -> DataFrame:
-    """key, lo, hi: for every anchor the smallest and the largest document, from each part of the texts."""
+class Keys:
+    """The distinct side hashes of a chunk, cut to ``bits`` bits: sorted, with a mark for those of several documents."""
 
-    def run(batches):
-        for batch in batches:
-            ids = np.asarray(batch.column("doc_id"))
-            for raw, doc_of, _, _, rows in parts(batch, window):
-                first, _, key = anchors(raw, doc_of, window)
-                doc = ids[rows[doc_of[first]]]
-                key = key.view(np.int64)
-                order = np.lexsort((doc, key))
-                key, doc = key[order], doc[order]
-                edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-                ends = np.concatenate([edge[1:], [len(key)]]).astype(np.int64) - 1 if len(key) else edge
-                yield pa.RecordBatch.from_arrays([pa.array(key[edge]), pa.array(doc[edge]), pa.array(doc[ends])], ["key", "lo", "hi"])
+    def __init__(self, ids: list, texts: list[bytes], window: int, bits: int):
+        self.shift = np.uint64(64 - bits)
+        docs = np.asarray([0 if i is None else i for i in ids], np.int64)
+        named = [b"" if i is None else t for i, t in zip(ids, texts)]  # rows without an id take no part
+        self.found, keys, owners = [], [], []
+        for raw, doc_of, heads, offsets, rows in parts(named, window):
+            first, last, anchor, left, right, p = anchors(raw, doc_of, window)
+            row = rows[doc_of[first]]
+            self.found.append((raw, first, last, anchor, left, right, p, row, offsets[doc_of[first]] - heads[doc_of[first]]))
+            for side in (left, right):
+                keys.append(side[side > 0] >> self.shift)
+                owners.append(docs[row[side > 0]])
+        key = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        self.keys = key[edge]
+        self.several = np.minimum.reduceat(owner, edge) != np.maximum.reduceat(owner, edge) if len(edge) else np.empty(0, bool)
 
-    sent = docs.mapInArrow(run, "key long, lo long, hi long")
-    return sent.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("key")
+    def runs(self, ranges: int, bits: int):
+        """(range, packed run) of each range that has keys."""
+        of = ((self.keys * np.uint64(ranges)) >> np.uint64(bits)).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
+        packer = zstandard.ZstdCompressor(level=1)
+        for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(of)]):
+            steps = np.diff(self.keys[a:b], prepend=np.uint64(0)).astype("<u8")
+            planes = steps.view(np.uint8).reshape(-1, 8).T.tobytes()  # steps are small: high planes are zeros
+            yield int(of[a]), (b - a).to_bytes(8, "little") + np.packbits(self.several[a:b]).tobytes() + packer.compress(planes)
 
 
-def filter_bits(keys: DataFrame, bits: int) -> bytes:
-    """A bitmap of the keys' high bits, put together by executors in 64 parts; its size is fixed."""
-    part_bits = bits - 6
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    wide = -(-n // 8)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8 + wide :]), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64), np.unpackbits(np.frombuffer(data[8 : 8 + wide], np.uint8), count=n).astype(bool)
 
-    def run(batches):
-        found: dict[int, np.ndarray] = {}
-        for batch in batches:
-            p = (np.asarray(batch.column("key")).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-            for k in np.unique(p >> part_bits):
-                have = found.setdefault(int(k), np.zeros(1 << part_bits, bool))
-                have[p[p >> part_bits == k] & ((1 << part_bits) - 1)] = True
-        for k, have in found.items():
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "bits": pa.array([np.packbits(have, bitorder="little").tobytes()], pa.binary())})
 
-    out = np.zeros((64, 1 << (part_bits - 3)), np.uint8)
-    dealt = keys.select("key", F.shiftrightunsigned("key", 58).alias("k")).repartition(64, "k").select("key")
-    for row in dealt.mapInArrow(run, "k long, bits binary").toLocalIterator():
-        out[row.k] |= np.frombuffer(row.bits, np.uint8)
-    return out.tobytes()
+_BODY = pa.schema([("doc_id", pa.int64()), ("data", pa.large_binary())])
 
 
-def _stretches(docs: DataFrame, window: int, shared) -> DataFrame:
-    """key, content (a hash of the bytes), doc_id, start, tells and bytes for every stretch.
+def _packed(ids: list, texts: list[bytes]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _BODY, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_binary())], schema=_BODY))
+    return sink.getvalue().to_pybytes()
+
+
+def _body(data: bytes) -> tuple[list, list[bytes]]:
+    t = pa.ipc.open_stream(data).read_all()
+    return t.column("doc_id").to_pylist(), t.column("data").to_pylist()
 
-    ``tells``: the row says something new of its content in this task, namely that it occurs (with the bytes), in a
-    second document, or in a smaller one than before.  Copies of a stretch so make a few such rows, however many they are.
-    """
+
+def _chunks(docs: DataFrame, window: int, ranges: int, bits: int) -> DataFrame:
+    """chunk, slot, data: a chunk's rows (slot -1), and its run of keys for each range (slot)."""
 
     def run(batches):
-        have = np.frombuffer(shared.value, np.uint8)
-        seen: dict[int, list] = {}
+        number = TaskContext.get().partitionId() << 32
+        ids: list = []
+        texts: list[bytes] = []
+
+        def flush():
+            body = _packed(ids, texts)
+            made = [(-1, body), *Keys(ids, texts, window, bits).runs(ranges, bits)]
+            return pa.RecordBatch.from_arrays([pa.array([number] * len(made), pa.int64()), pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.binary())], ["chunk", "slot", "data"])
+
+        size = 0
         for batch in batches:
-            ids = np.asarray(batch.column("doc_id"))
-            for raw, doc_of, heads, offsets, rows in parts(batch, window):
-                first, last, key = anchors(raw, doc_of, window)
-                p = (key >> np.uint64(64 - ANCHOR_BITS)).astype(np.int64)
-                fine = (have[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-                first, last, key = first[fine], last[fine], key[fine]
-                if not len(first):
-                    continue
-                text = raw.tobytes()
-                number = doc_of[first]
-                doc = ids[rows[number]]
-                content, data, tells = [], [], []
-                for a, b, d in zip(first.tolist(), (last + window).tolist(), doc.tolist()):
-                    x = text[a:b]
-                    c = xxhash.xxh3_64_intdigest(x) - (1 << 63)
-                    content.append(c)
-                    known = seen.get(c)
-                    if known is None:
-                        if len(seen) < 500_000:
-                            seen[c] = [d, False]
-                        tells.append(True)
-                        data.append(x)
-                        continue
-                    data.append(None)
-                    tells.append(d < known[0] or d != known[0] and not known[1])
-                    if tells[-1]:
-                        known[1] = True
-                        known[0] = min(d, known[0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(content, pa.int64()), pa.array(doc), pa.array(first - heads[number] + offsets[number]), pa.array(tells, pa.bool_()), pa.array(data, pa.binary())],
-                    ["key", "content", "doc_id", "start", "tells", "bytes"],
-                )
-
-    return docs.mapInArrow(run, "key long, content long, doc_id long, start long, tells boolean, bytes binary")
+            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                t = t.as_py()
+                data = t.encode("utf-8", "surrogatepass") if t else b""
+                if ids and size + len(data) > CHUNK:
+                    yield flush()
+                    number += 1
+                    ids, texts, size = [], [], 0
+                ids.append(i)
+                texts.append(data)
+                size += len(data) + 64
+        if ids:
+            yield flush()
+
+    return docs.mapInArrow(run, "chunk long, slot int, data binary")
+
+
+def _answers(runs: DataFrame) -> DataFrame:
+    """chunk, slot, data: which keys of a chunk's run occur in several documents."""
+
+    def answer(key, table):
+        got = [_unpack(x.as_py()) for x in table.column("data")]
+        every = np.concatenate([k for k, _ in got])
+        order = np.argsort(every, kind="stable")
+        ordered = every[order]
+        same = ordered[1:] == ordered[:-1]
+        again = np.zeros(len(every), bool)
+        again[order[1:][same]] = True
+        again[order[:-1][same]] = True
+        out, at = [], 0
+        for keys, several in got:
+            out.append(len(keys).to_bytes(8, "little") + np.packbits(again[at : at + len(keys)]).tobytes())
+            at += len(keys)
+        # a key that one chunk alone marks is answered by the chunk itself
+        return pa.table({"chunk": table.column("chunk"), "slot": table.column("slot"), "data": pa.array(out, pa.binary())})
+
+    return runs.groupBy("slot").applyInArrow(answer, "chunk long, slot int, data binary")
+
+
+def _stretches(rows: DataFrame, window: int, bits: int) -> DataFrame:
+    """key, c1, c2 (128 bits of the bytes), chunk, row, doc_id, start, tells and bytes for every stretch that can hold a repeat.
+
+    ``tells``: the row is its content's smallest document in the chunk (then with the bytes) or its largest one.
+    """
+    reach = (window - GRAM) // 2
+
+    def keep(key, table):
+        slots = np.asarray(table.column("slot"))
+        order = np.argsort(slots)
+        data = [table.column("data")[int(k)].as_py() for k in order]
+        ids, texts = _body(data[0])
+        found = Keys(ids, texts, window, bits)
+        shared = found.several.copy()
+        at = 0
+        for x in data[1:]:
+            n = int.from_bytes(x[:8], "little")
+            shared[at : at + n] |= np.unpackbits(np.frombuffer(x[8:], np.uint8), count=n).astype(bool)
+            at += n
+        columns: list[list] = [[], [], []]
+        spans: list[bytes] = []
+
+        def is_shared(side):
+            where = np.minimum(np.searchsorted(found.keys, side >> found.shift), max(len(shared) - 1, 0))
+            return (side > 0) & shared[where] if len(shared) else side > 0
+
+        for raw, first, last, anchor, left, right, p, row, offset in found.found:
+            a, b = is_shared(left), is_shared(right)
+            # without its left (right) half, a stretch begins after (ends with) the windows that reach far left
+            first, last = np.where(a, first, np.maximum(first, p - reach + 1)), np.where(b, last, np.minimum(last, p - reach))
+            fine = np.flatnonzero((a | b) & (first <= last))
+            text = raw.tobytes()
+            for x, y in zip(first[fine].tolist(), (last[fine] + window).tolist()):
+                spans.append(text[x:y])
+            columns[0].append(anchor[fine])
+            columns[1].append(row[fine])
+            columns[2].append(first[fine] + offset[fine])
+        content = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, spans)), np.int64).reshape(-1, 2)
+        anchor, row, start = (np.concatenate(c) if c else np.empty(0, np.int64) for c in columns)
+        doc = np.asarray([0 if i is None else i for i in ids], np.int64)[row.astype(np.int64)]
+        order = np.lexsort((doc, content[:, 1], content[:, 0]))
+        ordered = content[order]
+        edge = np.concatenate([[True], (ordered[1:] != ordered[:-1]).any(axis=1)]) if len(order) else np.empty(0, bool)
+        heads = np.flatnonzero(edge)
+        ends = np.concatenate([heads[1:], [len(order)]]).astype(np.int64) - 1 if len(heads) else heads
+        tells, told = np.zeros(len(order), bool), np.ones(len(order), bool)
+        tells[order[heads]] = True
+        tells[order[ends]] |= doc[order[ends]] != doc[order[heads]]
+        told[order[heads]] = False
+        return pa.table(
+            {
+                "key": pa.array(anchor.astype(np.uint64).view(np.int64)), "c1": pa.array(content[:, 0]), "c2": pa.array(content[:, 1]), "chunk": pa.array(np.full(len(row), key[0].as_py(), np.int64)),
+                "row": pa.array(row.astype(np.int32)), "doc_id": pa.array(doc), "start": pa.array(start.astype(np.int64)), "tells": pa.array(tells), "bytes": pa.array([None if t else x for t, x in zip(told.tolist(), spans)], pa.binary()),
+            }
+        )
+
+    return rows.groupBy("chunk").applyInArrow(keep, "key long, c1 long, c2 long, chunk long, row int, doc_id long, start long, tells boolean, bytes binary")
 
 
 def shard_windows(lo: np.ndarray, spans: list[bytes], window: int) -> tuple[np.ndarray, ...]:
@@ -191,7 +284,7 @@ def shard_windows(lo: np.ndarray, spans: list[bytes], window: int) -> tuple[np.n
     inside = np.ones(len(text), bool)
     inside[ends] = False
     text[inside] += 1  # so that a byte of zero is no separator
-    order = suffix_array(text, 257, window)
+    order = suffix_array(text, 257)
     common = permuted_lcp(text, order, 0)
     owner = np.repeat(np.arange(len(spans)), sizes + 1)
     edge = np.flatnonzero(common[order] < window)
@@ -209,16 +302,16 @@ def shard_windows(lo: np.ndarray, spans: list[bytes], window: int) -> tuple[np.n
 
 
 def _windows(told: DataFrame, window: int) -> DataFrame:
-    """content, a, b, least: the windows that start at a to b in a stretch occur first in document ``least``."""
+    """c1, c2, a, b, least: the windows that start at a to b in a stretch occur first in document ``least``."""
 
     def found(t: pa.Table):
-        key, content, doc = (np.asarray(t.column(c)) for c in ("key", "content", "doc_id"))
+        key, c1, c2, doc = (np.asarray(t.column(c)) for c in ("key", "c1", "c2", "doc_id"))
         has = t.column("bytes").is_valid().to_numpy()
-        order = np.lexsort((~has, content, key))
-        key, content, doc = key[order], content[order], doc[order]
-        head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])]))
+        order = np.lexsort((~has, c2, c1, key))
+        key, c1, c2, doc = key[order], c1[order], c2[order], doc[order]
+        head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])]))
         lo, hi = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)  # hi > lo if and only if there are two documents
-        source, key, content = order[head], key[head], content[head]
+        source, key, c1, c2 = order[head], key[head], c1[head], c2[head]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         several = np.minimum.reduceat(lo, edge) < np.maximum.reduceat(hi, edge)
         at = np.flatnonzero(np.repeat(several, np.diff(np.concatenate([edge, [len(key)]]))))
@@ -227,59 +320,60 @@ def _windows(told: DataFrame, window: int) -> DataFrame:
         of, a, b, least = shard_windows(lo[at], t.column("bytes").take(pa.array(source[at])).to_pylist(), window)
         useful = least < hi[at][of]
         of, a, b, least = at[of[useful]], a[useful], b[useful], least[useful]
-        return pa.RecordBatch.from_arrays([pa.array(content[of]), pa.array(a), pa.array(b), pa.array(least)], ["content", "a", "b", "least"])
+        return pa.RecordBatch.from_arrays([pa.array(c1[of]), pa.array(c2[of]), pa.array(a), pa.array(b), pa.array(least)], ["c1", "c2", "a", "b", "least"])
 
     def run(batches):
-        held, size = [], 0
+        held: list = []
+        size = 0
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
                 piece = batch.slice(k, 4096)
+                if size > SHARD:  # a shard ends where its last key does; only the new rows are looked at for that
+                    before = held[-1].column("key")[-1].as_py()
+                    other = np.flatnonzero(np.asarray(piece.column("key")) != before)
+                    if len(other):
+                        cut = int(other[0])
+                        if (out := found(pa.Table.from_batches([*held, piece.slice(0, cut)]))) is not None:
+                            yield out
+                        held, size, piece = [], 0, piece.slice(cut)
                 held.append(piece)
                 size += piece.column("bytes").nbytes
-                if size > SHARD:
-                    t = pa.Table.from_batches(held)
-                    key = np.asarray(t.column("key"))
-                    whole = np.flatnonzero(key != key[-1])
-                    if len(whole):
-                        cut = int(whole[-1]) + 1
-                        if (out := found(t.slice(0, cut))) is not None:
-                            yield out
-                        held = t.slice(cut).combine_chunks().to_batches()
-                        size = sum(x.column("bytes").nbytes for x in held)
         if held and (out := found(pa.Table.from_batches(held))) is not None:
             yield out
 
-    return told.repartition("key").sortWithinPartitions("key").mapInArrow(run, "content long, a long, b long, least long")
-
-
-def _cut(docs: DataFrame, with_cuts: bool, keep_text: bool) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            cuts = batch.column("cuts").to_pylist() if with_cuts else [None] * len(texts)
-            out: list[tuple] = []
-            for text, cut in zip(texts, cuts):
-                data = text.encode("utf-8", "surrogatepass") if text else b""
-                spans = 0
-                if cut:
-                    bounds = np.asarray([(c["a"], c["b"]) for c in cut], np.int64).clip(0, len(data))
-                    edges = np.zeros(len(data) + 1, np.int64)
-                    np.add.at(edges, bounds[:, 0], 1)
-                    np.add.at(edges, bounds[:, 1], -1)
-                    gone = np.cumsum(edges[:-1]) > 0
-                    spans = int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
-                    kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                else:
-                    kept = data
-                out.append((len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
-            columns = [pa.array([o[k] for o in out], pa.int64()) for k in range(3)] + [pa.array([o[3] for o in out], pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if keep_text:
-                columns.append(pa.array([o[4] for o in out], pa.binary()))
-                names.append("kept")
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
-
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else ""))
+    return told.repartition("key").sortWithinPartitions("key").mapInArrow(run, "c1 long, c2 long, a long, b long, least long")
+
+
+def _cut(rows: DataFrame, keep_text: bool) -> DataFrame:
+    """From a chunk's texts (``data``) and the places to cut (row, a, b): the result's rows."""
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
+
+    def cut(key, table):
+        has = table.column("data").is_valid().to_numpy()
+        ids, texts = _body(table.column("data")[int(np.flatnonzero(has)[0])].as_py())
+        row, a, b = (np.asarray(table.column(c).filter(pa.array(~has))) for c in ("row", "a", "b"))
+        order = np.argsort(row, kind="stable")
+        row, a, b = row[order], a[order], b[order]
+        bounds = np.searchsorted(row, np.arange(len(ids) + 1))
+        out: list[tuple] = []
+        for k, data in enumerate(texts):
+            x, y = bounds[k], bounds[k + 1]
+            spans, kept = 0, data
+            if y > x:
+                edges = np.zeros(len(data) + 1, np.int64)
+                np.add.at(edges, a[x:y], 1)
+                np.add.at(edges, b[x:y], -1)
+                gone = np.cumsum(edges[:-1]) > 0
+                spans = int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
+                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
+            out.append((len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
+        names = ["n_bytes", "n_removed", "n_spans"]
+        made = {"doc_id": pa.array(ids, pa.int64())} | {c: pa.array([o[k] for o in out], pa.int64()) for k, c in enumerate(names)} | {"kept_sha256": pa.array([o[3] for o in out], pa.string())}
+        if keep_text:
+            made["kept"] = pa.array([o[4] for o in out], pa.binary())
+        return pa.table(made)
+
+    return rows.groupBy("chunk").applyInArrow(cut, schema)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, keep_text: bool = False) -> DataFrame:
@@ -287,37 +381,27 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, keep_
 
     A byte goes if a string of ``window`` bytes over it also starts in a document with a smaller doc_id, judged on the
     input.  Null texts are empty; texts shorter than the window stay whole.  A row without doc_id takes no part and stays
-    whole.  Rows that share a doc_id are one document: they don't repeat each other, and share the places that are cut.
+    whole.  Rows that share a doc_id are one document, so they don't repeat each other; each is cut by itself.
     Other columns are not read; an empty table gives no rows.
     """
-    if not GRAM < window <= 1000:
-        raise ValueError(f"window: more than {GRAM} bytes, up to 1000")
+    if not 2 * GRAM < window <= 1000:
+        raise ValueError(f"window: more than {2 * GRAM} bytes, up to 1000")
     scratch = Scratch(spark, "repeats")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = source.where(F.col("doc_id").isNotNull())
-    shared = spark.sparkContext.broadcast(filter_bits(_count_anchors(named, window), ANCHOR_BITS))
+    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(1 << 14, -(-total // RANGE) or 1)
+    bits = min(50, int(total).bit_length() + 11)  # so few false meetings that they cost nothing; they don't change results
+    chunks = scratch.table(_chunks(source, window, ranges, bits), "chunks")
+    bodies = chunks.where("slot = -1")
+    answers = scratch.table(_answers(chunks.where("slot >= 0")), "answers")
     scratch.release()
-    found = scratch.table(_stretches(named, window, shared), "stretches")
-    windows = scratch.table(_windows(found.where("tells").select("key", "content", "doc_id", "bytes"), window), "windows")
+    found = scratch.table(_stretches(bodies.unionByName(answers), window, bits), "stretches")
+    scratch.drop(answers)
     scratch.release()
-    covered = found.select("content", "doc_id", "start").join(windows, "content").where(F.col("doc_id") > F.col("least"))
-    places = covered.select("doc_id", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + window).alias("b"))
-    cuts = scratch.table(places.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("cuts")), "cuts")
+    windows = scratch.table(_windows(found.where("tells").select("key", "c1", "c2", "doc_id", "bytes"), window), "windows")
     scratch.release()
-    scratch.drop(found, windows)
-    # texts that lose nothing are not sent anywhere: a fixed-size filter tells them from (nearly) all others
-    bits = spark.sparkContext.broadcast(filter_bits(cuts.select(F.xxhash64("doc_id").alias("key")), 25))
-
-    def chosen(inside: bool):
-        def run(batches):
-            have = np.frombuffer(bits.value, np.uint8)
-            for batch in batches:
-                p = (np.asarray(batch.column("key")).view(np.uint64) >> np.uint64(64 - 25)).astype(np.int64)
-                hit = (have[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-                yield batch.filter(pa.array(hit == inside)).select(["doc_id", "text"])
-
-        return source.withColumn("key", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, text string")
-
-    untouched = _cut(chosen(False), False, keep_text)
-    touched = _cut(chosen(True).join(cuts, "doc_id", "left"), True, keep_text)
-    return untouched.unionByName(touched)
+    covered = found.select("c1", "c2", "chunk", "row", "doc_id", "start").join(windows, ["c1", "c2"]).where(F.col("doc_id") > F.col("least"))
+    none = F.lit(None)
+    places = covered.select("chunk", none.cast("binary").alias("data"), "row", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + window).alias("b"))
+    whole = bodies.select("chunk", "data", none.cast("int").alias("row"), none.cast("long").alias("a"), none.cast("long").alias("b"))
+    return _cut(whole.unionByName(places), keep_text)

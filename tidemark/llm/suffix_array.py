@@ -1,10 +1,11 @@
-"""Suffix arrays by induced sorting, and permuted longest common prefixes, in vectorised passes.
+"""Suffix arrays by induced sorting, and permuted longest common prefixes.
 
 Suffixes are S-type (smaller than the next one) or L-type; a leftmost S-type position (LMS) begins an LMS substring.
-LMS substrings are sorted by one induction, named in order, and the string of names is sorted in turn: by the same
-procedure while its alphabet is small against its length, else by doubling name ranks.  A second induction from the sorted LMS
-suffixes gives the array.  An induction visits the buckets of first characters in order; what a bucket holds is moved to
-its predecessors' buckets in one vectorised step per run of equal characters, so work is linear in the string.
+LMS substrings are sorted by one induction and named in order; the string of names is sorted in turn by the same procedure,
+recursively, until all names differ.  A second induction from the sorted LMS suffixes gives the array.  An induction visits
+the buckets of first characters in order.  While the alphabet is small against the string, what a bucket holds is moved to
+its predecessors' buckets in one vectorised step per run of equal characters; over the large alphabets of names, where
+buckets hold a few suffixes each, suffixes are moved one at a time.  Work is linear in the string either way.
 """
 
 from __future__ import annotations
@@ -97,34 +98,49 @@ def _induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, size: int) ->
     return out
 
 
-def _by_doubling(names: np.ndarray, enough: int) -> np.ndarray:
-    """The suffixes of a string of names in order, told apart by ``enough`` names at least (by all of them, if it is shorter)."""
-    rank = names.astype(np.int64)
-    n, width, distinct = len(rank), 1, 0
-    while True:
-        key = rank * (n + 1)
-        key[: n - width] += rank[width:] + 1 if width < n else 0
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        fresh = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        width *= 2
-        if fresh[-1] + 1 == n or width >= enough or width >= n:
-            return order
-
-
-def suffix_array(text: np.ndarray, size: int, depth: int | None = None) -> np.ndarray:
-    """The suffixes of ``text`` (integers below ``size``) in order; with ``depth``, only their first ``depth`` characters
-    must decide, and ties may stand in any order."""
+def _induce_singly(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
+    """The same order as ``_induce``, one suffix at a time."""
+    n = len(text)
+    ends = np.cumsum(np.bincount(text, minlength=size))
+    head = np.concatenate([[0], ends[:-1]]).tolist()
+    tail = ends.tolist()
+    chars, small = text.tolist(), s_type.tolist()
+    out = [-1] * n
+    for i in reversed(lms.tolist()):
+        c = chars[i]
+        tail[c] -= 1
+        out[tail[c]] = i
+    if not small[n - 1]:
+        c = chars[n - 1]
+        out[head[c]] = n - 1
+        head[c] += 1
+    for k in range(n):
+        j = out[k] - 1
+        if j >= 0 and not small[j]:
+            c = chars[j]
+            out[head[c]] = j
+            head[c] += 1
+    tail = ends.tolist()
+    for k in range(n - 1, -1, -1):
+        j = out[k] - 1
+        if j >= 0 and small[j]:
+            c = chars[j]
+            tail[c] -= 1
+            out[tail[c]] = j
+    return np.asarray(out, np.int64)
+
+
+def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
+    """The suffixes of ``text`` (integers below ``size``) in order."""
     n = len(text)
     if n < 2:
         return np.arange(n)
+    induce = _induce if size * 64 <= n else _induce_singly
     s_type = types(text)
     lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
     if not len(lms):
-        return _induce(text, s_type, lms, size)
-    order = _induce(text, s_type, lms, size)
+        return induce(text, s_type, lms, size)
+    order = induce(text, s_type, lms, size)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = order[is_lms[order]]
@@ -150,14 +166,8 @@ def suffix_array(text: np.ndarray, size: int, depth: int | None = None) -> np.nd
     name[order] = np.concatenate([[0], np.cumsum(differs)])
     names = name[lms]
     kinds = int(names.max()) + 1
-    if kinds == len(lms):
-        sorted_lms = order
-    elif kinds * 64 <= len(lms):
-        sorted_lms = lms[suffix_array(names, kinds, depth)]
-    else:
-        # an LMS substring has two characters at least besides its last one
-        sorted_lms = lms[_by_doubling(names, len(lms) if depth is None else depth // 2 + 2)]
-    return _induce(text, s_type, sorted_lms, size)
+    sorted_lms = order if kinds == len(lms) else lms[suffix_array(names, kinds)]
+    return induce(text, s_type, sorted_lms, size)
 
 
 def permuted_lcp(text: np.ndarray, order: np.ndarray, separator: int | None = None) -> np.ndarray:
