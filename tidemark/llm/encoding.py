@@ -14,6 +14,8 @@ from itertools import repeat
 
 import numpy as np
 
+from .common import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: A cut is allowed only between two of these (visible ASCII and Latin letters; no white space, no combining marks).
@@ -28,11 +30,12 @@ _LINE = 0
 class UnitEncoder:
     """Encodes texts; remembers up to ``most_units`` distinct units, then starts anew (memory stays bounded)."""
 
-    def __init__(self, path: str, most_units: int = 1_400_000):
+    def __init__(self, path: str, most_units: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # strings that the library takes out of a text before it cuts it: texts that hold one are encoded by it as a whole
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most_units = most_units
         # what stands between units that are encoded in one call: a piece of its own, whose ids no such unit has
         self.joint, self.joint_ids = next((s, i) for s in ("\n", " 0 ") if len(i := self._ids(s)) == 1)
@@ -153,6 +156,9 @@ class UnitEncoder:
         """The ids of all texts in a row, and the number of each."""
         if len(self.index) > self.most_units:
             self._reset()
+        special = {i: np.asarray(self._ids(t), np.uint32) for i, t in enumerate(texts) if t and any(s in t for s in self.added)}
+        if special:
+            return self._with_whole([None if i in special else t for i, t in enumerate(texts)], special)
         flat: list = []
         counts = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
@@ -180,6 +186,13 @@ class UnitEncoder:
         total = np.concatenate([[0], np.cumsum(lens)])
         return ids, total[ends] - total[ends - counts]
 
+    def _with_whole(self, texts: list, done: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        ids, lens = self.encode(texts)
+        out, ends = [], np.cumsum(lens)
+        for i, (end, n) in enumerate(zip(ends.tolist(), lens.tolist())):
+            out.append(done[i] if i in done else ids[end - n : end])
+        return np.concatenate(out), np.asarray([len(x) for x in out], np.int64)
+
     def _encode_apart(self, keys) -> dict:
         keys = list(keys)
         got = self.tokenizer.encode_batch([k[0] if type(k) is tuple else " " + k for k in keys], add_special_tokens=False)
@@ -197,12 +210,6 @@ class UnitEncoder:
         return (np.concatenate(out) if out else np.empty(0, np.uint32)), lens
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
 def encoder(path: str) -> UnitEncoder:
     """The worker's own encoder of a tokenizer file, kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = UnitEncoder(path)
-    return _ENCODERS[path]
+    return held(f"encoder {path}", lambda: UnitEncoder(path))
