@@ -9,20 +9,35 @@ import uuid
 import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import prepare
 
 _LOCAL_ROOTS: dict[str, str] = {}
+#: Bits of the largest filter (16 MB): past some 10^8 keys it lets through ever more, never too little.
+_MOST_BITS = 27
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """What a worker process keeps from task to task: one thing at a time, so that what an earlier stage kept is let go."""
+    if name not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[name] = make()
+    return _HELD[name]
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), one temporary folder per application is made and set.
+    Where the session names none and runs on one machine (tests), one temporary folder per application is made and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -72,6 +87,27 @@ def fresh(df: DataFrame, name: str) -> str:
     return out
 
 
+class Filter:
+    """A bitmap of hashed keys, sized from their number, that tells rows of other keys before they are sent anywhere."""
+
+    def __init__(self, keys: DataFrame, *names: str):
+        n = keys.count()
+        self.bits = min(_MOST_BITS, max(16, int(16 * n).bit_length()))
+        place = F.shiftrightunsigned(F.xxhash64(*names), 64 - self.bits)
+        # at most 2^27 / 2^15 rows of 4 KB
+        self.map = keys.select(place.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("_bits"))
+
+    def mark(self, df: DataFrame, name: str, *names: str) -> DataFrame:
+        """``df`` with a column that is false for rows whose key is surely none of the filter's."""
+        place = F.shiftrightunsigned(F.xxhash64(*names), 64 - self.bits)
+        bucket, bits, spot = fresh(df, "bucket"), fresh(df, "bits"), fresh(df, "spot")
+        small = self.map.select(F.col("_bucket").alias(bucket), F.col("_bits").alias(bits))
+        placed = df.withColumn(spot, F.bitmap_bit_position(place)).withColumn(bucket, F.bitmap_bucket_number(place))
+        octet = F.conv(F.hex(F.substring(F.col(bits), (F.col(spot) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        hit = F.coalesce(F.call_function("getbit", octet, (F.col(spot) % 8).cast("int")) == 1, F.lit(False))
+        return placed.join(F.broadcast(small), bucket, "left").withColumn(name, hit).drop(bucket, bits, spot)
+
+
 def slices(texts, most_bytes: int):
     """Cut an Arrow string array into (from, to) runs of about ``most_bytes`` of text, one row at least."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))

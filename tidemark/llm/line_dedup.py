@@ -21,15 +21,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh
+from .common import Filter, Scratch, fresh
 from .components import components
 
 #: A row without doc_id comes last.
 _LAST = (1 << 63) - 1
 #: Shingle starts of a stretch; members of a band that meet others of it in one block.
 _STRETCH, _BLOCK = 64, 1024
-#: Bits of the largest filter (16 MB): past some 10^8 keys it lets through ever more, never too little.
-_MOST_BITS = 27
 
 
 def _once(value: Column, use) -> Column:
@@ -126,27 +124,6 @@ def _similar(pairs: DataFrame, a: str, b: str, k: int, similarity: float) -> Dat
     return counts.where(F.col("both") * (1 + similarity) + 1e-6 >= F.col("sizes") * similarity).select("u", "v")
 
 
-class Filter:
-    """A bitmap of hashed keys, sized from their number, that tells rows of other keys before they are sent anywhere."""
-
-    def __init__(self, keys: DataFrame, *names: str):
-        n = keys.count()
-        self.bits = min(_MOST_BITS, max(16, int(16 * n).bit_length()))
-        place = F.shiftrightunsigned(F.xxhash64(*names), 64 - self.bits)
-        # at most 2^27 / 2^15 rows of 4 KB
-        self.map = keys.select(place.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("_bits"))
-
-    def mark(self, df: DataFrame, name: str, *names: str) -> DataFrame:
-        """``df`` with a column that is false for rows whose key is surely none of the filter's."""
-        place = F.shiftrightunsigned(F.xxhash64(*names), 64 - self.bits)
-        bucket, bits, spot = fresh(df, "bucket"), fresh(df, "bits"), fresh(df, "spot")
-        small = self.map.select(F.col("_bucket").alias(bucket), F.col("_bits").alias(bits))
-        placed = df.withColumn(spot, F.bitmap_bit_position(place)).withColumn(bucket, F.bitmap_bucket_number(place))
-        octet = F.conv(F.hex(F.substring(F.col(bits), (F.col(spot) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        hit = F.coalesce(F.call_function("getbit", octet, (F.col(spot) % 8).cast("int")) == 1, F.lit(False))
-        return placed.join(F.broadcast(small), bucket, "left").withColumn(name, hit).drop(bucket, bits, spot)
-
-
 def _across(open_: DataFrame, fit) -> DataFrame:
     """All fitting pairs (u > v) of one band and different components; a hot band's members meet in blocks of two cuts of it."""
     cuts = open_.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("cuts"))

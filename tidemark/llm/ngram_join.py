@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, slices, window_hashes
+from .common import Scratch, held, mix64, slices, window_hashes
 from .components import components
 
 #: Ratio of neighbouring size levels; room for empty groups; members of a block; fan-out of the trees.
@@ -31,7 +31,7 @@ LEVEL_RATIO, ROOM, BLOCK, FAN = 1.35, 1.15, 1024, 8
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bounded number."""
 
-    MOST = 500_000
+    MOST = 400_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:
@@ -40,9 +40,6 @@ class WordHashes(dict):
         return h
 
 
-_WORDS = WordHashes()
-
-
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's n-grams of words (A-Z lower-cased, split at ASCII white space).
 
@@ -54,7 +51,7 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
         w = t.encode("utf-8", "surrogatepass").lower().split() if t else []
         counts.append(len(w))
         tokens += w
-    get = _WORDS.__getitem__
+    get = held("word hashes", WordHashes).__getitem__
     hashes = np.fromiter(map(get, tokens), np.uint64, len(tokens))
     grams = mix64(window_hashes(hashes, n)) if len(hashes) >= n else np.empty(0, np.uint64)
     out, at = [], 0

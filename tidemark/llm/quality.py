@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import held, slices
 
 BITS = 18
 BUCKETS = 1 << BITS
@@ -33,7 +33,7 @@ _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 class WordBuckets(dict):
     """word -> its three buckets in one integer."""
 
-    MOST = 400_000
+    MOST = 300_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.MOST:
@@ -44,14 +44,11 @@ class WordBuckets(dict):
         return v
 
 
-_BUCKETS = WordBuckets()
-
-
 def features(text: str | None) -> np.ndarray:
     """The distinct buckets of a text."""
     words = text.lower().split() if text else []
     n = len(words)
-    get = _BUCKETS.__getitem__
+    get = held("word buckets", WordBuckets).__getitem__
     packed = np.unique(np.fromiter(map(get, words), np.int64, n))
     mask = BUCKETS - 1
     share = int(10 * len(packed) / n) if n else 11

@@ -3,7 +3,7 @@
 Every window of 50 bytes belongs to the hashed 16-gram of smallest order in it (its anchor; the leftmost one if equal), so
 equal windows have equal anchors wherever they stand.  Neighbouring windows with one anchor form a stretch of at most
 84 bytes.  A window reaches 17 bytes or more beyond its anchor on one side at least, so equal windows also share the 33 bytes
-that the anchor makes with that side.  Texts are dealt to chunks of some megabytes, which are written once.  Each chunk sends its
+that the anchor makes with that side.  A text that equals one of a smaller doc_id goes whole.  The others are dealt to chunks of some megabytes, which are written once.  Each chunk sends its
 distinct hashed 33-grams, in sorted and compressed runs, one to each range of hash space; the ranges answer which of
 them occur in several documents, and a chunk keeps the stretches, or halves of them, that can hold a repeat.  These
 are dealt out by anchor, each distinct one once from each chunk, however often it occurs; each shard sorts their suffixes by
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64
+from .common import Filter, Scratch, mix64
 from .suffix_array import permuted_lcp, suffix_array
 
 #: Bytes of text looked at together; a longer text is looked at in overlapping parts. Positions take 20 bits.
@@ -111,10 +111,11 @@ def parts(texts: list[bytes], window: int):
 class Keys:
     """The distinct side hashes of a chunk, cut to ``bits`` bits: sorted, with a mark for those of several documents."""
 
-    def __init__(self, ids: list, texts: list[bytes], window: int, bits: int):
+    def __init__(self, ids: list, copies: list, texts: list[bytes], window: int, bits: int):
         self.shift = np.uint64(64 - bits)
         docs = np.asarray([0 if i is None else i for i in ids], np.int64)
-        named = [b"" if i is None else t for i, t in zip(ids, texts)]  # rows without an id take no part
+        # rows without an id take no part; copies need none: their first one has all they have
+        named = [b"" if i is None or c else t for i, c, t in zip(ids, copies, texts)]
         self.found, keys, owners = [], [], []
         for raw, doc_of, heads, offsets, rows in parts(named, window):
             first, last, anchor, left, right, p = anchors(raw, doc_of, window)
@@ -149,19 +150,19 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64), np.unpackbits(np.frombuffer(data[8 : 8 + wide], np.uint8), count=n).astype(bool)
 
 
-_BODY = pa.schema([("doc_id", pa.int64()), ("data", pa.large_binary())])
+_BODY = pa.schema([("doc_id", pa.int64()), ("copy", pa.bool_()), ("data", pa.large_binary())])
 
 
-def _packed(ids: list, texts: list[bytes]) -> bytes:
+def _packed(ids: list, copies: list, texts: list[bytes]) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, _BODY, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))) as out:
-        out.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_binary())], schema=_BODY))
+        out.write_batch(pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(copies, pa.bool_()), pa.array(texts, pa.large_binary())], schema=_BODY))
     return sink.getvalue().to_pybytes()
 
 
-def _body(data: bytes) -> tuple[list, list[bytes]]:
+def _body(data: bytes) -> tuple[list, list, list[bytes]]:
     t = pa.ipc.open_stream(data).read_all()
-    return t.column("doc_id").to_pylist(), t.column("data").to_pylist()
+    return t.column("doc_id").to_pylist(), t.column("copy").to_pylist(), t.column("data").to_pylist()
 
 
 def _chunks(docs: DataFrame, window: int, ranges: int, bits: int) -> DataFrame:
@@ -170,23 +171,24 @@ def _chunks(docs: DataFrame, window: int, ranges: int, bits: int) -> DataFrame:
     def run(batches):
         number = TaskContext.get().partitionId() << 32
         ids: list = []
+        copies: list = []
         texts: list[bytes] = []
 
         def flush():
-            body = _packed(ids, texts)
-            made = [(-1, body), *Keys(ids, texts, window, bits).runs(ranges, bits)]
+            made = [(-1, _packed(ids, copies, texts)), *Keys(ids, copies, texts, window, bits).runs(ranges, bits)]
             return pa.RecordBatch.from_arrays([pa.array([number] * len(made), pa.int64()), pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.binary())], ["chunk", "slot", "data"])
 
         size = 0
         for batch in batches:
-            for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            for i, c, t in zip(batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), batch.column("text")):
                 t = t.as_py()
                 data = t.encode("utf-8", "surrogatepass") if t else b""
                 if ids and size + len(data) > CHUNK:
                     yield flush()
                     number += 1
-                    ids, texts, size = [], [], 0
+                    ids, copies, texts, size = [], [], [], 0
                 ids.append(i)
+                copies.append(c)
                 texts.append(data)
                 size += len(data) + 64
         if ids:
@@ -228,8 +230,8 @@ def _stretches(rows: DataFrame, window: int, bits: int) -> DataFrame:
         slots = np.asarray(table.column("slot"))
         order = np.argsort(slots)
         data = [table.column("data")[int(k)].as_py() for k in order]
-        ids, texts = _body(data[0])
-        found = Keys(ids, texts, window, bits)
+        ids, copies, texts = _body(data[0])
+        found = Keys(ids, copies, texts, window, bits)
         shared = found.several.copy()
         at = 0
         for x in data[1:]:
@@ -344,13 +346,24 @@ def _windows(told: DataFrame, window: int) -> DataFrame:
     return told.repartition("key").sortWithinPartitions("key").mapInArrow(run, "c1 long, c2 long, a long, b long, least long")
 
 
+def _marked(scratch: Scratch, source: DataFrame, window: int) -> DataFrame:
+    """With ``copy``: the row's whole text (by 128 bits) is that of a smaller doc_id, and long enough to go."""
+    hashed = source.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text")})
+    large = hashed.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= window))
+    classes = scratch.table(large.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first"), "copies")
+    likely = Filter(classes, "h1", "h2").mark(hashed, "likely", "h1", "h2")
+    # only what is likely a copy, or has one, is sent anywhere
+    joined = likely.where("likely").join(classes, ["h1", "h2"], "left").withColumn("copy", F.coalesce((F.col("doc_id") > F.col("first")) & (F.octet_length("text") >= window), F.lit(False)))
+    return joined.select("doc_id", "copy", "text").unionByName(likely.where("NOT likely").select("doc_id", F.lit(False).alias("copy"), "text"))
+
+
 def _cut(rows: DataFrame, keep_text: bool) -> DataFrame:
     """From a chunk's texts (``data``) and the places to cut (row, a, b): the result's rows."""
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
 
     def cut(key, table):
         has = table.column("data").is_valid().to_numpy()
-        ids, texts = _body(table.column("data")[int(np.flatnonzero(has)[0])].as_py())
+        ids, copies, texts = _body(table.column("data")[int(np.flatnonzero(has)[0])].as_py())
         row, a, b = (np.asarray(table.column(c).filter(pa.array(~has))) for c in ("row", "a", "b"))
         order = np.argsort(row, kind="stable")
         row, a, b = row[order], a[order], b[order]
@@ -359,7 +372,9 @@ def _cut(rows: DataFrame, keep_text: bool) -> DataFrame:
         for k, data in enumerate(texts):
             x, y = bounds[k], bounds[k + 1]
             spans, kept = 0, data
-            if y > x:
+            if copies[k]:
+                spans, kept = 1, b""
+            elif y > x:
                 edges = np.zeros(len(data) + 1, np.int64)
                 np.add.at(edges, a[x:y], 1)
                 np.add.at(edges, b[x:y], -1)
@@ -391,7 +406,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, keep_
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = min(1 << 14, -(-total // RANGE) or 1)
     bits = min(50, int(total).bit_length() + 11)  # so few false meetings that they cost nothing; they don't change results
-    chunks = scratch.table(_chunks(source, window, ranges, bits), "chunks")
+    chunks = scratch.table(_chunks(_marked(scratch, source, window), window, ranges, bits), "chunks")
     bodies = chunks.where("slot = -1")
     answers = scratch.table(_answers(chunks.where("slot >= 0")), "answers")
     scratch.release()
