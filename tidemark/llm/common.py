@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -72,10 +73,13 @@ class Scratch:
             p = jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.scratch_path)
             p.getFileSystem(conf).delete(p, True)
 
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of finished stages now, not when the driver next collects its garbage."""
+    def release(self, wait: float = 0.0) -> None:
+        """Let Spark delete the shuffle files of finished stages now, not when the driver next collects its garbage.
+
+        It does so in the background; ``wait`` gives it some seconds before the next stage writes much."""
         gc.collect()
         self.spark._jvm.System.gc()
+        time.sleep(wait)
 
 
 def fresh(df: DataFrame, name: str) -> str:

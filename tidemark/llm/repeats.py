@@ -30,7 +30,7 @@ from .suffix_array import permuted_lcp, suffix_array
 PART = 1 << 20
 GRAM = 16
 #: Bytes of text in a chunk (one text at least), of text whose 33-grams one range of hash space holds, of stretches in one suffix array.
-CHUNK, RANGE, SHARD = 8 << 20, 18 << 20, 1_500_000
+CHUNK, RANGE, SHARD = 8 << 20, 18 << 20, 4_000_000
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -406,15 +406,18 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, keep_
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = min(1 << 14, -(-total // RANGE) or 1)
     bits = min(50, int(total).bit_length() + 11)  # so few false meetings that they cost nothing; they don't change results
-    chunks = scratch.table(_chunks(_marked(scratch, source, window), window, ranges, bits), "chunks")
-    bodies = chunks.where("slot = -1")
-    answers = scratch.table(_answers(chunks.where("slot >= 0")), "answers")
+    chunks = _chunks(_marked(scratch, source, window), window, ranges, bits)
+    place = scratch.path("chunks")
+    chunks.withColumn("keys", F.col("slot") >= 0).write.partitionBy("keys").option("compression", "zstd").parquet(place)
+    bodies, runs = (spark.read.schema(chunks.schema).parquet(f"{place}/keys={kind}") if total else spark.createDataFrame([], chunks.schema) for kind in ("false", "true"))
+    answers = scratch.table(_answers(runs), "answers")
+    scratch.drop(f"{place}/keys=true")
     scratch.release()
     found = scratch.table(_stretches(bodies.unionByName(answers), window, bits), "stretches")
     scratch.drop(answers)
     scratch.release()
     windows = scratch.table(_windows(found.where("tells").select("key", "c1", "c2", "doc_id", "bytes"), window), "windows")
-    scratch.release()
+    scratch.release(wait=1.0)
     covered = found.select("c1", "c2", "chunk", "row", "doc_id", "start").join(windows, ["c1", "c2"]).where(F.col("doc_id") > F.col("least"))
     none = F.lit(None)
     places = covered.select("chunk", none.cast("binary").alias("data"), "row", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + window).alias("b"))

@@ -4,8 +4,9 @@ Suffixes are S-type (smaller than the next one) or L-type; a leftmost S-type pos
 LMS substrings are sorted by one induction and named in order; the string of names is sorted in turn by the same procedure,
 recursively, until all names differ.  A second induction from the sorted LMS suffixes gives the array.  An induction visits
 the buckets of first characters in order.  While the alphabet is small against the string, what a bucket holds is moved to
-its predecessors' buckets in one vectorised step per run of equal characters; over the large alphabets of names, where
-buckets hold a few suffixes each, suffixes are moved one at a time.  Work is linear in the string either way.
+its predecessors' buckets in one vectorised step per run of equal characters.  A string over a large alphabet of names is
+sorted as the string of their digits, so that the alphabet is small again; where that would not shorten the next string
+of names, and in short strings, suffixes are moved one at a time.  Work is linear in the string either way.
 """
 
 from __future__ import annotations
@@ -104,34 +105,48 @@ def _induce_singly(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, size:
     ends = np.cumsum(np.bincount(text, minlength=size))
     head = np.concatenate([[0], ends[:-1]]).tolist()
     tail = ends.tolist()
-    chars, small = text.tolist(), s_type.tolist()
+    # the character of each position of one type, -1 for the other type and for what stands before the string or is not placed yet
+    large, small = ([*np.where(kind, text, -1).tolist(), -1, -1] for kind in (~s_type, s_type))
+    chars = text.tolist()
     out = [-1] * n
     for i in reversed(lms.tolist()):
         c = chars[i]
         tail[c] -= 1
         out[tail[c]] = i
-    if not small[n - 1]:
+    if not s_type[n - 1]:
         c = chars[n - 1]
         out[head[c]] = n - 1
         head[c] += 1
-    for k in range(n):
-        j = out[k] - 1
-        if j >= 0 and not small[j]:
-            c = chars[j]
-            out[head[c]] = j
-            head[c] += 1
+    for i in out:  # what a step places is met later in the same pass
+        c = large[i - 1]
+        if c >= 0:
+            p = head[c]
+            out[p] = i - 1
+            head[c] = p + 1
     tail = ends.tolist()
-    for k in range(n - 1, -1, -1):
-        j = out[k] - 1
-        if j >= 0 and small[j]:
-            c = chars[j]
-            tail[c] -= 1
-            out[tail[c]] = j
+    for i in reversed(out):
+        c = small[i - 1]
+        if c >= 0:
+            p = tail[c] = tail[c] - 1
+            out[p] = i - 1
     return np.asarray(out, np.int64)
 
 
-def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
-    """The suffixes of ``text`` (integers below ``size``) in order."""
+def suffix_array(text: np.ndarray, size: int, longer: int = 1 << 62) -> np.ndarray:
+    """The suffixes of ``text`` (integers below ``size``) in order.
+
+    A long string over a large alphabet is sorted as the string of its characters' two digits, unless it came from a
+    string of digits that was not much longer (``longer``)."""
+    n = len(text)
+    if n > 1 << 13 and size * 64 > n and 4 * n < 3 * longer:
+        base = int(np.ceil(np.sqrt(size)))
+        digits = np.stack([text // base, text % base], axis=1).reshape(-1)
+        order = _sorted(digits, base, 2 * n)
+        return order[order % 2 == 0] // 2
+    return _sorted(text, size, longer)
+
+
+def _sorted(text: np.ndarray, size: int, longer: int) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n)
@@ -166,7 +181,7 @@ def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
     name[order] = np.concatenate([[0], np.cumsum(differs)])
     names = name[lms]
     kinds = int(names.max()) + 1
-    sorted_lms = order if kinds == len(lms) else lms[suffix_array(names, kinds)]
+    sorted_lms = order if kinds == len(lms) else lms[suffix_array(names, kinds, longer)]
     return induce(text, s_type, sorted_lms, size)
 
 
