@@ -169,7 +169,7 @@ def test_ordinal_model_learns_an_order():
 def test_packing_keeps_every_id():
     rnd = random.Random(2)
     docs = [np.asarray([rnd.randrange(50) for _ in range(rnd.choice([1, 3, 40, 200, 700]))], np.uint16) for _ in range(60)]
-    pieces = packing.pack_shard(docs, np.ones(50), 100.0, 8, 256)
+    pieces = packing.pack_shard(docs, np.ones(50), 100.0, 256)
     cover: dict = {}
     for d, s, n, _, _ in pieces:
         cover.setdefault(d, []).append((s, n))
@@ -189,7 +189,7 @@ def test_packing_keeps_every_id():
 def test_a_window_holds_its_neighbours():
     words = lambda base: np.asarray([base + k for k in range(40)], np.uint16)
     docs = [words(0), words(100), words(200), words(0), words(100), words(200)]
-    pieces = packing.pack_shard(docs, np.ones(300), 40.0, 8, 80)
+    pieces = packing.pack_shard(docs, np.ones(300), 40.0, 80)
     together = {}
     for d, _, _, q, _ in pieces:
         together.setdefault(q, set()).add(d % 3)
@@ -198,3 +198,31 @@ def test_a_window_holds_its_neighbours():
 
 def test_line_measure():
     assert line_dedup.shingle_jaccard("abcdefghij", "abcdefghij") == 1 and line_dedup.shingle_jaccard("ab", "cd") == 0
+
+
+def test_neighbours_by_bm25():
+    """Scores and order against a plain loop over all documents and terms."""
+    rng = np.random.default_rng(4)
+    docs = [rng.zipf(1.4, int(rng.integers(1, 60))).clip(0, 199).astype(np.uint16) for _ in range(80)]
+    df = np.asarray([sum(t in d for d in docs) for t in range(200)])
+    idf, mean = np.log1p((80 - df + 0.5) / (df + 0.5)), float(np.mean([len(d) for d in docs]))
+    index, used = packing.Index(docs, idf, mean), np.zeros(80, bool)
+    used[::7] = True
+
+    def score(q, d):
+        return sum(idf[t] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(q.tolist()) if (tf := int((d == t).sum())))
+
+    for seed in range(80):
+        scores = {k: score(docs[seed], docs[k]) for k in range(80) if k != seed and not used[k]}
+        want = sorted((k for k in scores if scores[k] > 0), key=lambda k: (-round(scores[k], 9), k))
+        got = index.neighbours(seed, used).tolist()
+        assert sorted(got) == sorted(want) and [round(scores[k], 9) for k in got] == [round(scores[k], 9) for k in want]
+
+
+def test_likeness_brings_related_documents_together():
+    rng = np.random.default_rng(9)
+    base = [rng.choice(40_000, 120, replace=False) for _ in range(300)]
+    near = [np.concatenate([b[:110], rng.choice(40_000, 10)]) for b in base]
+    agree = [any(x == y for x, y in zip(packing.likeness(a), packing.likeness(b))) for a, b in zip(base, near)]
+    apart = [any(x == y for x, y in zip(packing.likeness(a), packing.likeness(b))) for a, b in zip(base, base[1:])]
+    assert np.mean(agree) > 0.9 and np.mean(apart) < 0.05

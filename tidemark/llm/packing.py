@@ -1,10 +1,12 @@
 """Lexical retrieval packing: related documents share a training window.
 
 Documents are tokenized once; document frequencies of all token ids are counted over the whole corpus (the vocabulary
-bounds them).  Documents are dealt to shards of about ``shard_docs``; each shard holds a BM25 inverted index over token ids
-with the corpus statistics.  A window starts with a seed (what is left of the document cut last, else the next unused
-one); the seed's heaviest terms are looked up, and its unused neighbours fill the window, best first, the last of them cut to
-fit.  So every window but a shard's last is full; the last is cut into sequences whose lengths are powers of two, which
+bounds them).  Documents are laid out in the order of their likeness, two min-hashes of their rarest token ids (a merge
+vocabulary lists frequent tokens first), so that documents with most rare tokens in common are neighbours whatever the
+corpus's size; runs of about ``shard_docs`` of that order are the shards, and a common likeness may fill many.  Each shard holds a
+BM25 inverted index over token ids with the corpus statistics.  A window starts with a seed (what is left of the document cut last, else
+the next unused one); all the seed's terms are looked up, and its unused neighbours fill the window, best first, the last of them
+cut to fit.  So every window but a shard's last is full; the last is cut into sequences whose lengths are powers of two, which
 need no padding.
 """
 
@@ -14,18 +16,27 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, mix64, slices
 from .encoding import encoder
 
 WINDOW = 2048
 K1, B = 1.2, 0.75
+#: Rarest distinct ids whose min-hashes are a document's likeness; tokens of a shard at most (one document at least).
+RAREST, SHARD_TOKENS = 24, 2_000_000
+
+
+def likeness(ids: np.ndarray, seeds: tuple[int, ...] = (1, 2)) -> list[int]:
+    """Min-hashes of the RAREST largest distinct ids: two documents agree in one as often as these sets overlap."""
+    top = np.unique(ids)[-RAREST:].astype(np.uint64)
+    return [int(mix64(top + np.uint64(seed << 32)).min() >> np.uint64(1)) for seed in seeds]
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian, 2 bytes each if the vocabulary allows, else 4), n: with the end id, null text as empty."""
+    """doc_id, ids (little-endian, 2 bytes each if the vocabulary allows, else 4), n, width, l1, l2 (likeness): with the end id, null text as empty."""
 
     def run(batches):
         enc = encoder(tokenizer_path)
@@ -42,9 +53,11 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                 full[last], full[~last] = end_id, ids
                 width = full.itemsize
                 data = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.concatenate([[0], ends * width]).astype("<i4").tobytes()), pa.py_buffer(full.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), data, pa.array(lens, pa.int64()), pa.array(np.full(b - a, width, np.int32))], ["doc_id", "ids", "n", "width"])
+                like = np.asarray([likeness(full[e - n : e]) for e, n in zip(ends.tolist(), lens.tolist())], np.int64).reshape(-1, 2)
+                columns = [batch.column("doc_id").slice(a, b - a), data, pa.array(lens, pa.int64()), pa.array(np.full(b - a, width, np.int32)), pa.array(like[:, 0]), pa.array(like[:, 1])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "n", "width", "l1", "l2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, n long, width int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, n long, width int, l1 long, l2 long")
 
 
 def frequencies(tokens: DataFrame) -> DataFrame:
@@ -87,13 +100,11 @@ class Index:
         self.first, self.last = heads[:-1], heads[1:]
         self.n = len(docs)
 
-    def neighbours(self, doc: int, used: np.ndarray, query_terms: int) -> np.ndarray:
-        """Unused documents by falling score for the document's ``query_terms`` heaviest terms (ties: smaller number)."""
+    def neighbours(self, doc: int, used: np.ndarray) -> np.ndarray:
+        """Unused documents by falling score for the document's terms (ties: smaller number)."""
         end = self.ends[doc]
         start = self.ends[doc - 1] if doc else 0
-        term, weight = self.term[start:end], self.weight[start:end]
-        if len(term) > query_terms:
-            term = term[np.argpartition(-weight, query_terms)[:query_terms]]
+        term = self.term[start:end]
         at = [slice(a, b) for a, b in zip(self.first[term].tolist(), self.last[term].tolist())]
         score = np.bincount(np.concatenate([self.p_doc[s] for s in at]), np.concatenate([self.p_weight[s] for s in at]), self.n)
         score[used] = 0
@@ -102,7 +113,7 @@ class Index:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, query_terms: int = 24, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one shard."""
     index = Index(docs, idf, mean_length)
     used = np.zeros(len(docs), bool)
@@ -141,7 +152,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, quer
             start += put(seed, start)
         if not fill:
             continue
-        ranked = iter(index.neighbours(seed, used, query_terms).tolist())
+        ranked = iter(index.neighbours(seed, used).tolist())
         while fill:
             doc = next((d for d in ranked if not used[d]), None)
             if doc is None:
@@ -171,7 +182,7 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, quer
     return pieces
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int, *, shard_docs: int = 2000, query_terms: int = 24, with_ids: bool = False) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int, *, shard_docs: int = 2000, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, on demand).
 
     Null and empty texts are the end id alone.  Each row of ``docs`` is a document of its own, repeated ones too; other
@@ -188,24 +199,41 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int,
     statistics = spark.sparkContext.broadcast((np.log1p((count - df + 0.5) / (df + 0.5)), mean_length))
     shards = max(1, -(-count // shard_docs))
 
-    def run(key, table):
-        shard = key[0].as_py()
-        ids, widths = table.column("ids"), table.column("width").to_pylist()
-        keys = table.column("doc_id").to_pylist()
-        texts = [np.frombuffer(x.as_buffer(), f"<u{w}") for x, w in zip(ids, widths)]
-        # by doc_id, nulls first; rows of one doc_id by their ids, so that any order of the input gives the same pieces
-        order = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i] or 0, zlib.crc32(texts[i]), len(texts[i])))
-        texts = [texts[i] for i in order]
-        pieces = np.asarray(pack_shard(texts, *statistics.value, query_terms), np.int64).reshape(-1, 5)
+    def made(rows: list[tuple], sequence: int) -> pa.RecordBatch:
+        """The pieces of one shard, whose sequences are numbered from ``sequence`` on."""
+        # by likeness and doc_id, nulls first; rows of one doc_id by their ids, so that any order of the input gives the same pieces
+        texts = [np.frombuffer(x, f"<u{w}") for _, x, w in rows]
+        pieces = np.asarray(pack_shard(texts, *statistics.value), np.int64).reshape(-1, 5)
         cuts = [texts[d][s : s + m].astype("<u4") for d, s, m in pieces[:, :3].tolist()]
-        out = {
-            "doc_id": pa.array([keys[order[d]] for d in pieces[:, 0].tolist()], pa.int64()), "start": pieces[:, 1], "length": pieces[:, 2], "ids_crc32": pa.array([zlib.crc32(c) for c in cuts], pa.int64()),
-            "doc_tokens": pa.array([len(texts[d]) for d in pieces[:, 0].tolist()], pa.int64()), "sequence_id": pieces[:, 3] + (shard << 32), "offset": pieces[:, 4],
-        }
+        columns = [
+            pa.array([rows[d][0] for d in pieces[:, 0].tolist()], pa.int64()), pa.array(pieces[:, 1]), pa.array(pieces[:, 2]), pa.array([zlib.crc32(c) for c in cuts], pa.int64()),
+            pa.array([len(texts[d]) for d in pieces[:, 0].tolist()], pa.int64()), pa.array(pieces[:, 3] + sequence), pa.array(pieces[:, 4]),
+        ]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         if with_ids:
-            out["ids"] = pa.array([c.tolist() for c in cuts], pa.list_(pa.int64()))
-        return pa.table(out)
+            columns.append(pa.array([c.tolist() for c in cuts], pa.list_(pa.int64())))
+            names.append("ids")
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def run(batches):
+        sequence = TaskContext.get().partitionId() << 32
+        rows: list[tuple] = []
+        tokens_held = 0
+        for batch in batches:
+            for row in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("width").to_pylist()):
+                row = (row[0], row[1].as_py(), row[2])
+                n = len(row[1]) // row[2]
+                if rows and (len(rows) >= 2 * shard_docs or tokens_held + n > SHARD_TOKENS):
+                    out = made(rows, sequence)
+                    sequence = int(out.column("sequence_id")[-1].as_py()) + 1
+                    yield out
+                    rows, tokens_held = [], 0
+                rows.append(row)
+                tokens_held += n
+        if rows:
+            yield made(rows, sequence)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if with_ids else "")
-    shard = F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards))
-    return tokens.withColumn("shard", shard).groupBy("shard").applyInArrow(run, schema)
+    order = ["l1", "l2", "doc_id", "n"]
+    dealt = tokens.withColumn("crc", F.crc32("ids")).repartitionByRange(shards, *order, "crc").sortWithinPartitions(*order, "crc")
+    return dealt.select("doc_id", "ids", "width").mapInArrow(run, schema)
