@@ -10,8 +10,8 @@ Jaccard similarity of *all* their character shingles; links are joined to compon
 component the first line (by doc_id, then text, then place) stays.
 
 Rounds whose work is linear in the rows of a band unite most of a crowded band: each line first meets the first line of each of its
-bands; then, in bands whose lines are not one component yet, the others meet a few members of the band, chosen by hash.  In
-bands that hold several components even then, all members of different components meet, in bounded blocks: no candidate is left out.
+bands; then, while a crowded band's lines are not one component yet, the others meet a member chosen by hash.  In bands that
+hold several components even then, all members of different components meet, in bounded blocks: no candidate is left out.
 """
 
 from __future__ import annotations
@@ -180,15 +180,18 @@ def line_components(scratch: Scratch, lines: DataFrame, k: int, similarity: floa
     # first each line meets the first line of each of its bands
     links = similar(fitting(held.where("id <> lo").select(F.greatest("id", "lo").alias("u"), F.least("id", "lo").alias("v")).distinct()))
     parts = scratch.table(components(links, scratch), "parts")
-    # then, in bands that hold several components still, the lines of the others meet some members chosen by hash
+    # then, while a band of several components is crowded, its lines meet some members of other components, chosen by hash
     open_ = opened(parts)
-    chosen = [F.min_by(F.struct("id", "part"), F.xxhash64("id", F.lit(turn))) for turn in range(rounds)]
-    centres = open_.groupBy("band").agg(F.array_distinct(F.array(*chosen)).alias("c"))
-    met = open_.join(centres.select("band", F.explode("c").alias("c")), "band").where(F.col("part") != F.col("c.part"))
-    links = links.unionByName(similar(fitting(met.select(F.greatest("id", "c.id").alias("u"), F.least("id", "c.id").alias("v")).distinct())))
-    parts = scratch.table(components(links, scratch), "parts")
+    for turn in range(rounds):
+        if open_.groupBy("band").count().where(F.col("count") > _BLOCK).isEmpty():
+            break
+        centres = open_.groupBy("band").agg(F.min_by(F.struct("id", "part"), F.xxhash64("id", F.lit(turn))).alias("c"))
+        met = open_.join(centres, "band").where(F.col("part") != F.col("c.part"))
+        links = links.unionByName(similar(fitting(met.select(F.greatest("id", "c.id").alias("u"), F.least("id", "c.id").alias("v")).distinct())))
+        parts = scratch.table(components(links, scratch), "parts")
+        open_ = opened(parts)
     # at last, in bands that hold several components even now, all members of different ones that can fit
-    links = links.unionByName(similar(_across(opened(parts).join(sketches, "id"), fit)))
+    links = links.unionByName(similar(_across(open_.join(sketches, "id"), fit)))
     parts = scratch.table(components(links, scratch), "parts")
     scratch.drop(held, texts)
     scratch.release()
