@@ -19,6 +19,26 @@ def tokenize_literal(text: str) -> list[str]:
     return [t for t in regex.findall(WORD, text.lower()) if len(t) > 1]
 
 
+#: Scripts written without spaces between words.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
+
+
+def tokenize_cjk(text: Column) -> Column:
+    """As ``tokenize``, but a run of Chinese, Japanese or Korean characters gives its pairs of neighbours (or its one character)."""
+    low = F.lower(text)
+    words = F.filter(F.regexp_extract_all(low, F.lit(rf"[[\p{{L}}\p{{N}}]&&[^{_UNSPACED}]]+"), F.lit(0)), lambda t: F.length(t) > 1)
+    pairs = F.regexp_extract_all(low, F.lit(rf"(?=([{_UNSPACED}]{{2}}))"), F.lit(1))
+    single = F.regexp_extract_all(low, F.lit(rf"(?<![{_UNSPACED}])[{_UNSPACED}](?![{_UNSPACED}])"), F.lit(0))
+    return F.concat(words, pairs, single)
+
+
+def tokenize_cjk_literal(text: str) -> list[str]:
+    """``tokenize_cjk`` of a string that the plan is built from."""
+    low, unspaced = text.lower(), _UNSPACED.replace("Is", "Script=")
+    words = [t for t in regex.findall(rf"(?V1)[[\p{{L}}\p{{N}}]--[{unspaced}]]+", low) if len(t) > 1]
+    return words + regex.findall(rf"[{unspaced}]{{2}}", low, overlapped=True) + regex.findall(rf"(?<![{unspaced}])[{unspaced}](?![{unspaced}])", low)
+
+
 def preprocess(text: Column) -> Column:
     """Line ends to LF; control characters but tab and LF out; blanks before a line end out; at most one empty line; trimmed."""
     out = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))

@@ -41,12 +41,12 @@ def term_idf(chunks: DataFrame, tokens=tokenize) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf0") >= 0, F.col("idf0")).otherwise(EPSILON * F.col("mean")).alias("idf"))
 
 
-def search(chunks: DataFrame, query: str, top_k: int = 20, threshold: float = 0.0, *, pad: bool = True, tokens=tokenize) -> DataFrame:
+def search(chunks: DataFrame, query: str, top_k: int = 20, threshold: float = 0.0, *, pad: bool = True, tokens=tokenize, literal=tokenize_literal) -> DataFrame:
     """chunk_id, score, content: the best ``top_k`` by rounded score, ties by chunk_id; a query without tokens finds nothing.
 
-    ``pad=False`` leaves out chunks without any query term.
+    ``pad=False`` leaves out chunks without any query term.  ``tokens`` and ``literal`` are one tokenizer, for columns and for the query.
     """
-    wanted = Counter(tokenize_literal(query))
+    wanted = Counter(literal(query))
     spark = chunks.sparkSession
     if not wanted:
         return chunks.select("chunk_id", F.lit(0.0).alias("score"), "content").limit(0)

@@ -172,9 +172,13 @@ def bm25_corpus_stats(t: Tables) -> DataFrame:
     return keyword.corpus_stats(t.chunks)
 
 
-@query(f"WITH {_bm25('the').strip()} SELECT term, df, round(idf, 6) AS idf FROM idf WHERE df >= 3")
+@query(f"""
+WITH seen AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(ts) AS term FROM (SELECT doc_id, {_TOKENS} AS ts FROM documents)) GROUP BY term),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5e0) - ln(df + 0.5e0) AS idf0 FROM seen, (SELECT count(*) AS n FROM documents)),
+mean AS MATERIALIZED (SELECT avg(idf0) AS m FROM raw)
+SELECT term, df, round(CASE WHEN idf0 >= 0 THEN idf0 ELSE 0.25e0 * m END, 6) AS idf FROM raw, mean""")
 def bm25_term_idf(t: Tables) -> DataFrame:
-    return keyword.term_idf(t.chunks).where("df >= 3").select("term", "df", F.round("idf", 6).alias("idf"))
+    return keyword.term_idf(t.chunks).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_bm25(QUERY).strip()} SELECT chunk_id, score FROM scored ORDER BY score DESC, chunk_id LIMIT 40")
