@@ -138,7 +138,6 @@ def line_components(scratch: Scratch, lines: DataFrame, k: int, similarity: floa
     """k1, k2, part of every line that occurs twice or is linked: ``part`` is one for all lines of a component."""
     signatures = scratch.table(_signatures(lines, k, bands, rows).withColumn("id", F.monotonically_increasing_id()), "signatures")
     scratch.release()
-    sketches = signatures.select("id", "sketch")
 
     # a band's lines meet in one exchange, which both the count and the join use
     members = signatures.select("id", F.explode(F.array_distinct("sketch")).alias("band")).repartition("band")
@@ -146,8 +145,9 @@ def line_components(scratch: Scratch, lines: DataFrame, k: int, similarity: floa
     held = scratch.table(members.join(crowded, "band").select("band", "id", "lo"), "members")
     scratch.release()
 
-    # texts of candidates, by the first of a line's copies that comes
-    wanted = signatures.select("k1", "k2", "id").join(held.select("id").distinct(), "id")
+    # sketches and texts of candidates, these by the first of a line's copies that comes
+    candidates = scratch.table(signatures.select("k1", "k2", "id", "sketch").join(held.select("id").distinct(), "id"), "candidates")
+    sketches, wanted = candidates.select("id", "sketch"), candidates.select("k1", "k2", "id")
     likely = Filter(wanted, "k1").mark(_keyed(lines.select("line")), "likely", "k1").where("likely").drop("likely")
     texts = scratch.table(likely.groupBy("k1", "k2").agg(F.first("line").alias("line")).join(wanted, ["k1", "k2"]).select("id", "line"), "texts")
 
@@ -193,7 +193,7 @@ def line_components(scratch: Scratch, lines: DataFrame, k: int, similarity: floa
     # at last, in bands that hold several components even now, all members of different ones that can fit
     links = links.unionByName(similar(_across(open_.join(sketches, "id"), fit)))
     parts = scratch.table(components(links, scratch), "parts")
-    scratch.drop(held, texts)
+    scratch.drop(held, texts, candidates)
     scratch.release()
     grouped = signatures.select("k1", "k2", "id", "n").join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
     return grouped.where("n > 1 OR component IS NOT NULL").select("k1", "k2", F.coalesce("component", "id").alias("part"))
@@ -226,7 +226,8 @@ def line_dedup(
     lines = scratch.table(_lines(docs, min_chars), "lines")
     grouped = scratch.table(line_components(scratch, lines, k, similarity, bands, rows, rounds), "groups")
     # the occurrences of lines that are in a group of several
-    found = scratch.table(_keyed(lines).select("doc", "tag", "place", "k1", "k2").join(grouped, ["k1", "k2"]).select("doc", "tag", "place", "part"), "occurrences")
+    likely = Filter(grouped, "k1").mark(_keyed(lines).select("doc", "tag", "place", "k1", "k2"), "likely", "k1").where("likely").drop("likely")
+    found = scratch.table(likely.join(grouped, ["k1", "k2"]).select("doc", "tag", "place", "part"), "occurrences")
     first = found.groupBy("part").agg(F.min(F.struct("doc", "tag", "place")).alias("first"))
     gone = found.join(first, "part").where(F.struct("doc", "tag", "place") != F.col("first"))
     cuts = scratch.table(gone.groupBy("doc", "tag").agg(F.collect_set("place").alias("cut")), "cuts")
