@@ -328,24 +328,23 @@ def test_quality(spark, sf_dir, docs, empty):
     assert quality.score(spark, docs, none, 0.65, keep_only=True).count() == docs.count() and quality.score(spark, empty, model, 0.5).count() == 0
 
 
-def test_cross_entropy(spark, docs, rows, empty):
+@pytest.mark.parametrize("heavy, per_shard", [(cross_entropy.HEAVY, cross_entropy.SHARD), (16, 500)])
+def test_cross_entropy(spark, docs, rows, empty, heavy, per_shard):
     targets = spark.createDataFrame([(i,) for i in [*range(0, 30, 2), 3, None, 999]], "doc_id long")
-    got = cross_entropy.cross_entropy_difference(spark, docs, targets).collect()
+    run = lambda d: cross_entropy.cross_entropy_difference(spark, d, targets, heavy, per_shard)
+    got = run(docs).collect()
     texts = [(i, cross_entropy.words(t)) for i, t in rows]
-    counted = Counter(w for _, ws in texts for w in ws)
-    number = {w: n for n, w in enumerate(sorted(counted, key=lambda w: (-counted[w], w)), 1)}
-    assert len(number) < cross_entropy.MOST_WORDS
-    cell = lambda a, b: int(cross_entropy.cells(np.asarray([number[b]]), np.asarray([len(number) + 1 if a is None else number[a]]))[0])
+    v = len({w for _, ws in texts for w in ws})
+    mix, mu, alpha = cross_entropy.MIX, cross_entropy.MU, cross_entropy.ALPHA
 
     def model(some):
-        pair, one, ctx = Counter(), Counter(), Counter()
+        pair, one = Counter(), Counter()
         for ws in some:
-            for a, b in zip([None, *ws], ws):
-                pair[cell(a, b)] += 1  # pairs of one cell add up, as defined
-                one[b] += 1
-                ctx[a] += 1
-        n, v = sum(one.values()), len(number) + 1
-        return lambda a, b: -np.log((pair[cell(a, b)] + cross_entropy.MU * (one[b] + cross_entropy.ALPHA) / (n + cross_entropy.ALPHA * v)) / (ctx[a] + cross_entropy.MU))
+            pair.update(zip([None, *ws], ws))
+            one.update(ws)
+            one[None] += bool(ws)
+        n = sum(one.values()) - one[None]
+        return lambda a, b: -(1 - mix) * np.log((one[b] + alpha) / (n + alpha * v)) - mix * np.log((pair[a, b] + mu / (v + 1)) / (one[a] + mu))
 
     wanted = set([*range(0, 30, 2), 3])
     t, b = model([ws for i, ws in texts if i in wanted]), model([ws for _, ws in texts])
@@ -356,10 +355,10 @@ def test_cross_entropy(spark, docs, rows, empty):
             want.append((i, len(ws), lt, lb, lt - lb))
         else:
             want.append((i, 0, None, None, None))
-    key = lambda r: tuple((x is not None, x or 0) for x in (r[0], r[1]))
+    key = lambda r: tuple((x is not None, x or 0) for x in r[:3])
     for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
         assert g[:2] == w[:2] and all((x is None) == (y is None) and (x is None or abs(x - y) < 2e-6) for x, y in zip(g[2:], w[2:]))
-    assert cross_entropy.cross_entropy_difference(spark, empty, targets).count() == 0
+    assert run(empty).count() == 0
 
 
 def test_packing(spark, docs, rows, empty):
