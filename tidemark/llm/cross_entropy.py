@@ -25,16 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, slices
-from .ngram_join import FILTER_BITS, _filter
+from .common import Filter, Scratch, mix64, slices
 
 #: Share of the bigram model; strength of its smoothing; what is added to each unigram count.
 MIX, MU, ALPHA = 0.5, 16.0, 0.5
 #: Broadcast words and pairs, at most (16 bytes each); places counted in one shard; bytes of text in one slice.
-HEAVY, SHARD, SLICE = 1 << 20, 3_000_000, 5_000_000
+HEAVY, SHARD, SLICE = 1 << 20, 1_500_000, 3_000_000
 #: What stands before a text's first word.
 START = np.uint64(0)
-ASKED = np.dtype([("event", "<u8"), ("row", "<u4"), ("n", "<u4"), ("m", "<i4")])
+ASKED = np.dtype([("event", "<u8"), ("row", "<u4"), ("n", "<u4"), ("m", "<i4"), ("mine", "<u4")])
 TOLD = np.dtype([("row", "<u4"), ("n", "<u4"), ("m", "<i4"), ("all", "<u4"), ("target", "<u4")])
 
 
@@ -47,7 +46,7 @@ class Hashes(dict):
     """word -> 64-bit hash, never that of START; forgets all when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word) or 1
         return h
@@ -138,12 +137,12 @@ def count(texts: DataFrame, choose) -> DataFrame:
                 flags = np.repeat(mine[a:b], counts).astype(np.int64)
                 keys, picked = choose(ids, before)
                 flags = flags[picked] if picked is not None else flags
-                held.append(grouped(keys, 1 - flags, flags))
+                held.append(grouped(keys, np.ones(len(keys)), flags))
                 size += len(held[-1][0])
-                if size > 2_000_000:
+                if size > 1_000_000:
                     held = [merged()]
                     size = len(held[0][0])
-                    if size > 1_000_000:
+                    if size > 500_000:
                         yield send(*held.pop())
                         size = 0
         if held:
@@ -152,19 +151,13 @@ def count(texts: DataFrame, choose) -> DataFrame:
     return texts.mapInArrow(run, "key long, n long, tn long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("tn").alias("tn"))
 
 
-def among(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the documents that ``ids(doc_id)`` lists: a fixed-size filter first, so few texts are sent."""
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(ids))
-
-    def run(batches):
-        have = np.frombuffer(bits.value, np.uint8)
-        for batch in batches:
-            p = np.asarray(batch.column("p"))
-            yield batch.filter(pa.array((have[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)).select(["doc_id", "text"])
-
-    source = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    place = F.expr(f"shiftrightunsigned(xxhash64(doc_id), {64 - FILTER_BITS})")
-    return source.withColumn("p", place).mapInArrow(run, "doc_id long, text string").join(ids, "doc_id", "left_semi")
+def marked(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, text and whether ``ids(doc_id)`` lists the row: only texts that a small filter can't tell apart are sent."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    maybe = Filter(ids, "doc_id").mark(source, "_maybe", "doc_id")
+    listed = maybe.where("_maybe").select("doc_id", "text").join(ids.withColumn("target", F.lit(1)), "doc_id", "left")
+    listed = scratch.table(listed.select("doc_id", "text", F.coalesce("target", F.lit(0)).alias("target")), "listed")
+    return maybe.where("not _maybe").select("doc_id", "text", F.lit(0).alias("target")).unionByName(listed)
 
 
 _ASK = "shard long, slice long, ids array<long>, counts array<long>, target array<double>, background array<double>, events binary"
@@ -211,26 +204,12 @@ def _ask(shared, shards: int):
                     events = events[starts]
                     pair = events["m"] < 0
                     events["n"], events["m"] = total["n"], np.where(pair, -1, total["m"])
-                out = []
-                # rows of all documents ask (target 0); targets come once more, only to be counted
-                for counted in (0, 1):
-                    part = events[mine[a:b][events["row"]] == counted] if len(events) else events
-                    if counted and len(part):
-                        keys, total = grouped(part["event"], part["n"])
-                        part = np.zeros(len(keys), ASKED)
-                        part["event"], part["n"] = keys, total
-                    shard = (part["event"] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-                    edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(part)]])
-                    for x, y in zip(edges[:-1], edges[1:]) if len(part) else ():
-                        out.append({"shard": int(shard[x]), "slice": -1 if counted else number, "events": pack(part[x:y]), **empty})
-                own = np.flatnonzero(mine[a:b] == 0)
-                if len(own):
-                    # rows keep their numbers in the slice; those of targets are marked by a count of -1
-                    ids_of = batch.column("doc_id").slice(a, b - a).to_pylist()
-                    keep = mine[a:b] == 0
-                    out.append({"shard": number % shards, "slice": number, "ids": ids_of, "counts": np.where(keep, counts, -1).tolist(), "target": sums[0].tolist(), "background": sums[1].tolist(), "events": None})
-                if out:
-                    yield from pa.Table.from_pylist(out, schema).to_batches()
+                events["mine"] = mine[a:b][events["row"]]
+                shard = (events["event"] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(events)]])
+                out = [{"shard": int(shard[x]), "slice": number, "events": pack(events[x:y]), **empty} for x, y in zip(edges[:-1], edges[1:]) if y > x]
+                out.append({"shard": number % shards, "slice": number, "ids": batch.column("doc_id").slice(a, b - a).to_pylist(), "counts": counts.tolist(), "target": sums[0].tolist(), "background": sums[1].tolist(), "events": None})
+                yield from pa.Table.from_pylist(out, schema).to_batches()
 
     return run
 
@@ -245,19 +224,15 @@ def _tell(table: pa.Table) -> pa.Table:
     parts = [unpack(e.as_py(), ASKED) for e in asked.column("events")]
     sizes = [len(p) for p in parts]
     events = np.concatenate(parts)
-    mine = np.repeat(np.asarray(numbers) < 0, sizes)
+    del parts
     _, inverse = np.unique(events["event"], return_inverse=True)
-    total = [np.bincount(inverse, events["n"] * w)[inverse] for w in (~mine, mine)]
+    total = [np.bincount(inverse, events["n"] * w)[inverse] for w in (np.ones(1), events["mine"])]
     told = np.zeros(len(events), TOLD)
     for c in ("row", "n", "m"):
         told[c] = events[c]
     told["all"], told["target"] = total
-    rows = []
-    at = 0
-    for number, size in zip(numbers, sizes):
-        if number >= 0:
-            rows.append({"slice": number, "ids": [], "counts": [], "target": [], "background": [], "events": pack(told[at : at + size])})
-        at += size
+    ends = np.cumsum(sizes).tolist()
+    rows = [{"slice": number, "ids": [], "counts": [], "target": [], "background": [], "events": pack(told[end - size : end])} for number, size, end in zip(numbers, sizes, ends)]
     return pa.concat_tables([head, pa.Table.from_pylist(rows, head.schema)])
 
 
@@ -271,8 +246,7 @@ def cross_entropy_difference(spark: SparkSession, docs: DataFrame, target_ids: D
     """
     scratch = Scratch(spark, "cross-entropy")
     wanted = target_ids.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    targets = scratch.table(among(docs, wanted), "targets").withColumn("target", F.lit(1))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("target", F.lit(0)).unionByName(targets)
+    texts = marked(docs, wanted, scratch)
 
     def one(ids, before):
         """Each word, and each text's start."""
@@ -280,7 +254,7 @@ def cross_entropy_difference(spark: SparkSession, docs: DataFrame, target_ids: D
         return np.concatenate([ids, before[first]]), np.concatenate([np.arange(len(ids)), np.flatnonzero(first)])
 
     counted = scratch.table(count(texts, one), "words")
-    scratch.release()
+    scratch.release(2)
     word = F.col("key") != int(START)
     size = counted.where(word).agg(F.count("*").alias("v"), F.sum("n").alias("n"), F.sum("tn").alias("tn")).first()
     places = size.n or 0
@@ -288,15 +262,17 @@ def cross_entropy_difference(spark: SparkSession, docs: DataFrame, target_ids: D
     # fewer than ``heavy`` keys can have more than places / heavy occurrences
     many = F.col("n") > places // heavy
     heavy_words = Known(counted.where(many | ~word).toArrow())
-    shared_words = spark.sparkContext.broadcast(heavy_words)
+    # a shard has room for pairs of up to a fiftieth of it, so that few need to be counted twice
+    many = F.col("n") > max(places // heavy, per_shard // 50)
+    paired = spark.sparkContext.broadcast(Known(counted.where(many | ~word).toArrow()))
 
     def two(ids, before):
-        """Each pair of two heavy words: no other pair can be heavy."""
-        picked = np.flatnonzero(shared_words.value.place(ids)[1] & shared_words.value.place(before)[1])
+        """Each pair of two frequent words: no other pair can be as frequent."""
+        picked = np.flatnonzero(paired.value.place(ids)[1] & paired.value.place(before)[1])
         return pairs(before[picked], ids[picked]), picked
 
     heavy_pairs = Known(count(texts, two).where(many).toArrow())
-    scratch.release()
+    scratch.release(2)
     shared = spark.sparkContext.broadcast((heavy_words, heavy_pairs, models))
     shards = places * 2 // per_shard + 1
 
@@ -315,11 +291,9 @@ def cross_entropy_difference(spark: SparkSession, docs: DataFrame, target_ids: D
             e = unpack(data, TOLD)
             for k, (model, c) in enumerate(zip(models, (e["target"], e["all"]))):
                 sums[k] += np.bincount(e["row"], model.terms(e["n"].astype(np.float64), e["m"], c, e["m"] < 0), len(counts))
-        own = np.flatnonzero(counts >= 0)
-        n = counts[own]
-        means = sums[:, own] / np.maximum(n, 1)
+        means = sums / np.maximum(counts, 1)
         rounded = [np.round(x, 6) for x in (*means, means[0] - means[1])]
-        return pa.table([pa.array([ids[i] for i in own], pa.int64()), pa.array(n), *(pa.array(x, pa.float64(), mask=n == 0) for x in rounded)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+        return pa.table([pa.array(ids, pa.int64()), pa.array(counts), *(pa.array(x, pa.float64(), mask=counts == 0) for x in rounded)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     told = texts.mapInArrow(_ask(shared, shards), _ASK).groupBy("shard").applyInArrow(tell, _TELL)
     return told.groupBy("slice").applyInArrow(finish, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
