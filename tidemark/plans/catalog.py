@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunking, comments, markup, paths, text
-from ..operators import export, fusion, hierarchical, keyword, upkeep
+from ..operators import export, fusion, hierarchical, keyword, projects, upkeep
 from ..operators import vectors as V
 from ..session import prepare
 from ..streaming import watch
@@ -342,6 +342,21 @@ def orphan_projects(t: Tables) -> DataFrame:
     return gone.groupBy(F.col("source").alias("project_id")).agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
 
 
+@query("SELECT count(DISTINCT source) AS projects, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents")
+def system_totals(t: Tables) -> DataFrame:
+    return projects.totals(t.documents.select(F.col("source").alias("project_id"), F.col("n_chars").alias("file_size")))
+
+
+@query("""
+SELECT l.doc_id AS chunk_id, CAST(l.quality AS DOUBLE) AS score, coalesce(d.text, '') AS content, coalesce(CAST(d.doc_id AS VARCHAR), '') AS document_id,
+  d.source AS filename FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id""")
+def hit_projection(t: Tables) -> DataFrame:
+    hits = t.labels.select(F.col("doc_id").alias("chunk_id"), F.col("quality").cast("double").alias("score"))
+    none = {c: F.lit(None).cast(k) for c, k in (("source_path", "string"), ("start_line", "int"), ("end_line", "int"), ("symbols", "array<string>"))}
+    payload = t.chunks.select("chunk_id", "content", "document_id", F.col("project_id").alias("filename")).withColumns(none)
+    return projects.hit_fields(hits, payload).select("chunk_id", "score", "content", "document_id", "filename")
+
+
 # --- coverage and consistency -------------------------------------------------------------------------------------------
 
 
