@@ -9,9 +9,10 @@ Each mixes, in the logarithm, a unigram and a bigram model with additive smoothi
 target loss minus background loss: the lower, the more target-like.
 
 Counts are exact and grow with the corpus; words and pairs are told apart by 64-bit hashes.  As the loss is a sum of terms
-that each need one count, a document's terms can be looked up apart.  At most ``heavy`` words and ``heavy`` pairs occur
-in more than a ``heavy``-th of all places: those are broadcast.  All others are sent, packed by slice of texts and shard of
-hash space, to where their shard is counted, and the counts come back to the slice.
+that each need one count, a document's terms can be looked up apart.  Fewer than ``heavy`` words, and as few pairs, occur
+in more than a ``heavy``-th of all places: those words are broadcast, and those of the pairs that would also take up over
+a fiftieth of a shard.  All others are sent, packed by slice of texts and shard of hash space, to where their shard is
+counted, and the counts come back to the slice.
 """
 
 from __future__ import annotations
