@@ -87,6 +87,15 @@ def test_ngram_join(spark, docs, rows, empty, n, num, den):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(set(want.values()))
 
 
+def test_near_duplicates_with_repeated_ids_lose_no_text(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    near = " ".join(a.split()[:-1])
+    rows = [(1, a), (1, b), (2, c), (3, None), (3, d), (1, a), (4, near), (5, near), (5, ""), (0, c), (None, a), (None, None)]
+    got = near_duplicates_out(spark, spark.createDataFrame([(i, t, 1, "k", "h") for i, t in rows], DOCS).repartition(3), 5, (8, 10))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (1, b), (0, c), (3, None), (3, d), (5, ""), (None, a), (None, None)], key=str)
+    assert near_duplicates_out(spark, got.limit(0)).count() == 0
+
+
 def test_a_large_group_of_near_copies(spark):
     rng = np.random.default_rng(8)
     base = sentence(rng, 60).split()

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, held, mix64, slices, window_hashes
+from .common import Scratch, fresh, held, mix64, slices, window_hashes
 from .components import components
 
 #: Ratio of neighbouring size levels; room for empty groups; members of a block; fan-out of the trees.
@@ -368,13 +368,24 @@ def ngram_join(spark: SparkSession, docs: DataFrame, n: int = 5, similarity: tup
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, n: int = 5, similarity: tuple[int, int] = (8, 10)) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest doc_id (of repeated rows, one).
+    """``docs`` with one row of each component: the one of the smallest doc_id.
 
-    Documents without words and rows without a doc_id are in no component and stay.
+    Each row counts by its own text, also if several share a doc_id: unlike texts of one doc_id all stay, and of equal ones one.
+    Rows without words (null, empty) and rows without a doc_id are in no component and stay, each of them.  An empty table gives an
+    empty one; extra columns are kept.
     """
-    judged = Scratch(spark, "near-duplicates").table(ngram_join(spark, docs, n, similarity), "components")
-    first = judged.where("doc_id = component_id").groupBy("doc_id").count()
-    kept = docs.join(first.select("doc_id"), "doc_id", "left_semi")
-    if not first.where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
+    scratch = Scratch(spark, "near-duplicates")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.where(F.col("doc_id").isNotNull())
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        judged = scratch.table(ngram_join(spark, docs, n, similarity), "components")
+        kept = docs.join(judged.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+        return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*columns)
+    # rows go by numbers of their own; they are written once, so that the numbers hold
+    row = fresh(docs, "row")
+    rows = scratch.table(named.withColumn(row, F.monotonically_increasing_id()), "rows")
+    judged = scratch.table(ngram_join(spark, rows.select(F.col(row).alias("doc_id"), "text"), n, similarity), "components")
+    ids = rows.select(F.col(row).alias("row"), "doc_id")
+    placed = judged.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row")
+    first = placed.groupBy("component_id").agg(F.min_by("row", F.struct("doc_id", "row")).alias(row))
+    return rows.join(first.select(row), row, "left_semi").select(*columns).unionByName(docs.where(F.col("doc_id").isNull()).select(*columns))

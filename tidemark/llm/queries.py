@@ -92,6 +92,28 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, table(spark, sf_dir, "documents"), 50)
 
 
+def op11_tiered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiered_index import ranked_search
+
+    return ranked_search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import cross_alignment
+
+    return cross_alignment(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .secrets import find_secrets
+
+    return find_secrets(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_planes": op1_token_planes,
     "op2_ngram_join": op2_ngram_join,
@@ -103,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_packing": op9_packing,
     "op10_suffix_array": op10_suffix_array,
+    "op11_tiered_index": op11_tiered_index,
+    "op12_cross_alignment": op12_cross_alignment,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -165,6 +190,26 @@ SELECT d.doc_id, coalesce(c.n, 0) AS n_words, coalesce(h.n, 0) AS n_hit, coalesc
 FROM documents d LEFT JOIN counts c USING (doc_id) LEFT JOIN hit_words h USING (doc_id) LEFT JOIN found f USING (doc_id)
 """
 
+ORACLE_SQL["op11_tiered_index"] = r"""
+WITH lists AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS ws FROM documents),
+filled AS (SELECT doc_id, ws, CAST(len(ws) AS BIGINT) AS n FROM lists WHERE len(ws) > 0),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM filled),
+postings AS (SELECT doc_id, n, w, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, n, unnest(ws) AS w FROM filled) GROUP BY doc_id, n, w),
+df AS (SELECT w, CAST(count(*) AS BIGINT) AS df FROM postings GROUP BY w),
+weights AS (SELECT w, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM df, totals),
+asked AS (
+  SELECT item_id, w, CAST(count(*) AS BIGINT) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+')) AS w FROM benchmark)
+  GROUP BY item_id, w),
+scored AS (
+  SELECT a.item_id, p.doc_id, CAST(sum(a.times * s.weight * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + ((75 * p.n * t.big_n) // t.big_l))))) AS BIGINT) AS score
+  FROM asked a JOIN postings p ON p.w = a.w JOIN weights s ON s.w = a.w, totals t
+  GROUP BY a.item_id, p.doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 #: The nearest neighbours by brute force. At the driver's size one shard holds all vectors; the forest misses a few
 #: neighbours, so there is no entry: tests hold its recall against this SQL.
 NEAREST_SQL = """
