@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.chunking import SemanticChunker
 from tidemark.sources import files
-from tidemark.sources.store import Store, ingest
+from tidemark.sources.ingest import ingest
+from tidemark.sources.store import Store
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'

@@ -11,7 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import Store, ingest
+from ..sources.ingest import QUEUED, content_hash, take_in
+from ..sources.store import Store, Transaction
 from . import upkeep
 
 PROJECT = "project_id string, name string, description string, watcher_enabled boolean"
@@ -19,41 +20,45 @@ PROJECT = "project_id string, name string, description string, watcher_enabled b
 OWNED = ("projects", "documents", "chunks", "vectors")
 
 
-def _projects(store: Store) -> DataFrame:
-    return store.read("projects") if store.exists("projects") else store.spark.createDataFrame([], PROJECT)
+def _projects(t: Store | Transaction) -> DataFrame:
+    return t.read("projects") if t.exists("projects") else t.spark.createDataFrame([], PROJECT)
 
 
-def _free(store: Store, name: str) -> None:
-    if _projects(store).where(F.col("name") == name).count():
+def _free(t: Transaction, name: str) -> None:
+    if _projects(t).where(F.col("name") == name).count():
         raise ValueError(f"there is a project {name!r} already")
 
 
 def create(store: Store, name: str, description: str | None = None) -> str:
-    """A new project's id. Names are unique; its folder isn't watched until ``watch`` says so."""
-    _free(store, name)
+    """A new project's id. Names are unique (of two creators at once one gets ``Conflict``); its folder isn't watched until ``watch`` says so."""
+    t = store.begin()
+    _free(t, name)
     project_id = str(uuid.uuid4())
-    store.insert_new("projects", store.spark.createDataFrame([(project_id, name, description, False)], PROJECT), ["project_id"])
+    t.insert_new("projects", store.spark.createDataFrame([(project_id, name, description, False)], PROJECT), ["project_id"])
+    t.commit()
     return project_id
 
 
-def _change(store: Store, which: str, **columns) -> int:
-    have = _projects(store)
+def _change(t: Transaction, which: str, **columns) -> int:
+    have = _projects(t)
     hit = F.col("name") == which
     n = have.where(hit).count()
     if n:
-        store.write("projects", have.select(*[F.when(hit, F.lit(columns[c])).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in have.columns]))
+        t.write("projects", have.select(*[F.when(hit, F.lit(columns[c])).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in have.columns]))
+        t.commit()
     return n
 
 
 def rename(store: Store, name: str, new: str) -> int:
     """How many projects were renamed; their ids stay."""
+    t = store.begin()
     if new != name:
-        _free(store, new)
-    return _change(store, name, name=new)
+        _free(t, new)
+    return _change(t, name, name=new)
 
 
 def watch(store: Store, name: str, on: bool = True) -> int:
-    return _change(store, name, watcher_enabled=on)
+    return _change(store.begin(), name, watcher_enabled=on)
 
 
 def watched(projects: DataFrame) -> DataFrame:
@@ -61,20 +66,22 @@ def watched(projects: DataFrame) -> DataFrame:
 
 
 def delete(store: Store, project_id: str, dry_run: bool = False) -> DataFrame:
-    """table, rows: what a project has in each table, and what goes unless ``dry_run``; source files are never touched."""
+    """table, rows: what a project has in each table, and what goes unless ``dry_run``, all in one commit; source files are never touched."""
     mine = F.col("project_id") == project_id
-    tables = {t: store.read(t) for t in OWNED if store.exists(t)}
+    t = store.begin()
+    tables = {name: t.read(name) for name in OWNED if t.exists(name)}
     counts = []
-    if "chunks" in tables and store.exists("queue"):
-        chunks, queue = tables["chunks"].where(mine).select("chunk_id"), store.read("queue")
+    if "chunks" in tables and t.exists("queue"):
+        chunks, queue = tables["chunks"].where(mine).select("chunk_id"), t.read("queue")
         counts.append(("queue", queue.join(chunks, "chunk_id", "left_semi").count()))
         if counts[0][1] and not dry_run:
-            store.write("queue", queue.join(chunks, "chunk_id", "left_anti").select(*queue.columns))
+            t.write("queue", queue.join(chunks, "chunk_id", "left_anti").select(*queue.columns))
     for name, table in tables.items():
         n = table.where(mine).count()
         counts.append((name, n))
         if n and not dry_run:
-            store.write(name, table.where(~F.coalesce(mine, F.lit(False))))
+            t.write(name, table.where(~F.coalesce(mine, F.lit(False))))
+    t.commit()
     return store.spark.createDataFrame(counts, "table string, rows long")
 
 
@@ -88,21 +95,26 @@ def resolve(projects: DataFrame, text: str) -> str:
 
 
 def reindex(store: Store, files: DataFrame, project_id: str, chunker) -> dict[str, DataFrame]:
-    """Take all files of a project in again; documents and chunks of files that are no longer there go."""
-    out = ingest(store, files, project_id, chunker)
-    for name in ("chunks", "documents"):
-        have, kept = store.read(name), store.read("files").select("document_id")
-        mine = F.col("project_id") == project_id
-        out[name] = store.write(name, have.where(~mine).unionByName(have.where(mine).join(kept, "document_id", "left_semi").select(*have.columns)))
-    queue = store.read("queue")
-    out["queue"] = store.write("queue", queue.join(out["chunks"].select("chunk_id"), "chunk_id", "left_semi").select(*queue.columns))
-    return out
+    """Take all files of a project in again; documents, chunks, vectors and queue rows of files that are no longer there go. One commit."""
+    t = store.begin()
+    take_in(t, files, project_id, chunker)
+    kept = t.read("files").select("document_id")
+    for name in ("documents", "chunks", "vectors"):
+        if t.exists(name):
+            have = t.read(name)
+            mine = F.coalesce(F.col("project_id") == project_id, F.lit(False))
+            t.write(name, have.where(~mine).unionByName(have.where(mine).join(kept, "document_id", "left_semi").select(*have.columns)))
+    queue = t.read("queue")
+    t.write("queue", queue.join(t.read("chunks").select("chunk_id"), "chunk_id", "left_semi").select(*queue.columns))
+    t.commit()
+    return {name: t.read(name) for name in ("documents", "chunks", "queue")}
 
 
 def repair(store: Store, dry_run: bool = False) -> DataFrame:
     """action, rows: chunks without a document go, then vectors without a chunk (they are noted in ``orphan_log`` once), and
-    chunks whose vector isn't there lose its name and are queued again. ``dry_run`` only counts."""
-    documents, have, vectors = (store.read(t) for t in ("documents", "chunks", "vectors"))
+    chunks whose vector isn't there lose its name and are queued again, all in one commit. ``dry_run`` only counts."""
+    t = store.begin()
+    documents, have, vectors = (t.read(name) for name in ("documents", "chunks", "vectors"))
     astray = have.join(documents.select("document_id"), "document_id", "left_anti")
     kept = have.join(documents.select("document_id"), "document_id", "left_semi").select(*have.columns)
     orphans = upkeep.orphans(vectors, kept)
@@ -110,15 +122,20 @@ def repair(store: Store, dry_run: bool = False) -> DataFrame:
     counts = [("drop_orphan_chunks", astray.count()), ("drop_orphan_vectors", orphans.count()), ("queue_missing_vectors", missing.count())]
     if not dry_run:
         if counts[1][1]:
-            store.insert_new("orphan_log", orphans.select("vector_id", "project_id"), ["vector_id"])
-            store.write("vectors", upkeep.valid(vectors, kept).select(*vectors.columns))
+            t.insert_new("orphan_log", orphans.select("vector_id", "project_id"), ["vector_id"])
+            t.write("vectors", upkeep.valid(vectors, kept).select(*vectors.columns))
         if counts[2][1]:
-            rows = missing.select("chunk_id", F.left("content", F.lit(4000)).alias("content"), F.lit("pending").alias("status"), F.lit(0).alias("retry_count"))
-            store.upsert("queue", rows, ["chunk_id"])
+            rows = missing.select("chunk_id", F.left("content", F.lit(QUEUED)).alias("content"), content_hash(F.col("content")).alias("content_hash"), F.lit("pending").alias("status"), F.lit(0).alias("retry_count"))
+            if t.exists("queue"):
+                queue = t.read("queue")
+                t.write("queue", queue.join(rows, "chunk_id", "left_anti").select(*queue.columns).unionByName(rows, allowMissingColumns=True))
+            else:
+                t.write("queue", rows)
         if counts[0][1] or counts[2][1]:
-            there = vectors.select("vector_id", F.lit(True).alias("_there")).dropDuplicates(["vector_id"])
+            there = vectors.select("vector_id", F.lit(True).alias("_there")).distinct()
             named = kept.join(there, "vector_id", "left").withColumn("vector_id", F.when(F.col("_there"), F.col("vector_id")))
-            store.write("chunks", named.select(*have.columns))
+            t.write("chunks", named.select(*have.columns))
+        t.commit()
     return store.spark.createDataFrame(counts, "action string, rows long")
 
 
