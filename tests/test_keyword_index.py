@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text
 from tidemark.operators import keyword
 from tidemark.operators.keyword_index import KeywordIndex
-from tidemark.sources.store import Store
+from tidemark.sources.store import Conflict, Store
 
 ROWS = [
     (1, "人工智能有很多分支,例如机器学习。"), (2, "The weather is fine today"), (3, "机器学习是人工智能的一个分支"), (4, "fine wine and fine food"), (5, None), (6, ""), (7, "日本語のテキスト and some english words"),
@@ -62,3 +62,60 @@ def test_a_write_that_dies_leaves_the_old_version(spark, tmp_path, monkeypatch):
     assert store.read("t").count() == 3
     store.write("t", store.read("t").where("id > 0"))
     assert store.read("t").count() == 2 and before.count() == 3  # a reader of the version before goes on
+
+
+def test_segments_after_any_changes(spark, tmp_path, monkeypatch):
+    """Adds, replacements and removals in turn, with merges between them: scores stay those of a rebuild."""
+    import random
+
+    from tidemark.operators import keyword_index
+
+    monkeypatch.setattr(keyword_index, "FAN", 3)
+    rng, index, now, written = random.Random(3), KeywordIndex(Store(spark, f"file://{tmp_path}/s")), {}, []
+    vocabulary = [f"word{k}" for k in range(12)] + ["人工智能", "机器学习"]
+    for step in range(7):
+        text_of = lambda: " ".join(rng.choices(vocabulary, [2**-k for k in range(12)] + [0.1, 0.1], k=rng.randrange(0, 30)))
+        if step in (2, 5):
+            gone = rng.sample(sorted(now), 6)
+            index.remove(spark.createDataFrame([(i,) for i in [*gone, 999]], "chunk_id long"))
+            now = {i: c for i, c in now.items() if i not in gone}
+        else:
+            fresh = {rng.randrange(60): text_of() for _ in range(40 if step == 0 else 12)}
+            index.add(spark.createDataFrame(list(fresh.items()), "chunk_id long, content string"))
+            now |= fresh
+        written.append(index.segments)
+    assert index.size == len(now) and written[0] == [1] and any(len(b) < len(a) for a, b in zip(written, written[1:]))
+    chunks = spark.createDataFrame(list(now.items()), "chunk_id long, content string")
+    for query, k in (("word0 word5 word11", 3), ("人工智能 word3 word3", 10), ("word9", 50)):
+        assert [(r.chunk_id, r.score, r.content) for r in index.search(query, k).collect()] == [(i, s, now[i]) for i, s in counted(chunks, query, top_k=k)]
+
+
+def test_a_change_writes_only_its_segment(spark, tmp_path):
+    index = KeywordIndex(Store(spark, f"file://{tmp_path}/s"))
+    many = spark.range(200).selectExpr("id AS chunk_id", "concat('common word', id % 7, ' and number', id) AS content")
+    index.build(many)
+    t = index.store.begin()
+    first = {n: f for n, f in t.tables.items() if ".1." in n}
+    index.add(many.where("id < 3").withColumn("content", F.lit("fresh text")))
+    index.remove(many.where("id = 9"))
+    t = index.store.begin()
+    assert first.items() <= t.tables.items() and index.segments == [1, 2, 3] and index.size == 199
+    assert t.read("keyword.2.postings").count() == 6 and "keyword.3.postings" not in t.tables
+    one, two = KeywordIndex(Store(spark, index.store.root)), KeywordIndex(Store(spark, index.store.root))
+    begun = two.store.begin()
+    two.store.begin = lambda: begun
+    one.remove(many.where("id = 10"))
+    with pytest.raises(Conflict):  # two writers of one index
+        two.remove(many.where("id = 11"))
+    assert index.size == 198
+
+
+def test_requests_use_the_index(spark, chunks, tmp_path):
+    from tidemark.plans.search import Collection, SearchRequest, search
+
+    index = KeywordIndex(Store(spark, f"file://{tmp_path}/s"))
+    index.build(chunks)
+    vectors = spark.createDataFrame([(1, 1, [1.0, 0.0])], "vector_id long, document_id long, embedding array<double>")
+    request = SearchRequest("人工智能有哪些分支", 3, mode="keyword", rerank=False)
+    stored, anew = (search(Collection(chunks, vectors, index=i), request).collect() for i in (index, None))
+    assert stored == anew and {r.chunk_id for r in stored[:2]} == {1, 3}

@@ -24,12 +24,14 @@ _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
 
 
 def tokenize_cjk(text: Column) -> Column:
-    """As ``tokenize``, but a run of Chinese, Japanese or Korean characters gives its pairs of neighbours (or its one character)."""
+    """As ``tokenize``, but a run of Chinese, Japanese or Korean characters gives its pairs of neighbours (or its one character).
+
+    Texts without such characters are cut by one pattern only."""
     low = F.lower(text)
     words = F.filter(F.regexp_extract_all(low, F.lit(rf"[[\p{{L}}\p{{N}}]&&[^{_UNSPACED}]]+"), F.lit(0)), lambda t: F.length(t) > 1)
     pairs = F.regexp_extract_all(low, F.lit(rf"(?=([{_UNSPACED}]{{2}}))"), F.lit(1))
     single = F.regexp_extract_all(low, F.lit(rf"(?<![{_UNSPACED}])[{_UNSPACED}](?![{_UNSPACED}])"), F.lit(0))
-    return F.concat(words, pairs, single)
+    return F.when(text.rlike(f"[{_UNSPACED}]"), F.concat(words, pairs, single)).otherwise(tokenize(text))
 
 
 def tokenize_cjk_literal(text: str) -> list[str]:

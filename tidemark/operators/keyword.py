@@ -11,27 +11,27 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize, tokenize_literal
+from ..functions.text import tokenize_cjk, tokenize_cjk_literal
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def lengths(chunks: DataFrame, tokens=tokenize) -> DataFrame:
+def lengths(chunks: DataFrame, tokens=tokenize_cjk) -> DataFrame:
     """chunk_id, tokens, dl"""
     return chunks.select("chunk_id", tokens(F.col("content")).alias("tokens")).withColumn("dl", F.coalesce(F.size("tokens"), F.lit(0)))
 
 
-def postings(chunks: DataFrame, tokens=tokenize) -> DataFrame:
+def postings(chunks: DataFrame, tokens=tokenize_cjk) -> DataFrame:
     """chunk_id, term, tf, dl"""
     return lengths(chunks, tokens).select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus_stats(chunks: DataFrame, tokens=tokenize) -> DataFrame:
+def corpus_stats(chunks: DataFrame, tokens=tokenize_cjk) -> DataFrame:
     """One row: n, total, avgdl"""
     return lengths(chunks, tokens).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).withColumn("avgdl", F.when(F.col("n") > 0, F.col("total").cast("double") / F.col("n")))
 
 
-def term_idf(chunks: DataFrame, tokens=tokenize) -> DataFrame:
+def term_idf(chunks: DataFrame, tokens=tokenize_cjk) -> DataFrame:
     """term, df, idf with the floor for negative values"""
     seen = lengths(chunks, tokens).select(F.explode(F.array_distinct("tokens")).alias("term"))
     df = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -41,7 +41,7 @@ def term_idf(chunks: DataFrame, tokens=tokenize) -> DataFrame:
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf0") >= 0, F.col("idf0")).otherwise(EPSILON * F.col("mean")).alias("idf"))
 
 
-def search(chunks: DataFrame, query: str, top_k: int = 20, threshold: float = 0.0, *, pad: bool = True, tokens=tokenize, literal=tokenize_literal) -> DataFrame:
+def search(chunks: DataFrame, query: str, top_k: int = 20, threshold: float = 0.0, *, pad: bool = True, tokens=tokenize_cjk, literal=tokenize_cjk_literal) -> DataFrame:
     """chunk_id, score, content: the best ``top_k`` by rounded score, ties by chunk_id; a query without tokens finds nothing.
 
     ``pad=False`` leaves out chunks without any query term.  ``tokens`` and ``literal`` are one tokenizer, for columns and for the query.

@@ -1,95 +1,231 @@
-"""A stored keyword index: postings by hash of the term, so that a search reads the partitions of its terms only.
+"""A stored keyword index of immutable segments.
 
-Tables of a ``Store``: ``<name>_postings`` (term, chunk_id, tf, dl; partitioned by bucket), ``<name>_chunks`` (chunk_id, dl, content)
-and ``<name>_stats`` (one row: n, avgdl, mean_idf).  Scores are those of ``keyword.search``: the same statistics, kept instead
-of counted anew for each query.
+``add`` and ``remove`` write one small segment in one commit; what they replace is only marked dead.  Segments of like size are merged,
+and the dead left out, when there are several.  Scores are those of ``keyword.search`` over the live chunks, whatever the
+order of changes.
+
+Tables of a ``Store``, for segment n: ``<name>.<n>.postings`` (term, class, chunk_id, tf, dl; in order of term), ``.blocks`` (term, class, n,
+max_tf, min_dl), ``.chunks`` (chunk_id, dl, content), ``.dead`` (chunk_id: dead in segments before n); and ``<name>.stats`` (one row).
+
+A block is the postings of a term whose tf and dl are of one class; its greatest tf and least dl bound what any of its chunks
+can gain.  A search scores the most promising blocks first; a block is read only if its bound and the best blocks of the
+other terms together could reach what the k-th chunk has by then.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize_cjk, tokenize_cjk_literal
+from ..sources.store import Store, Transaction, latest
 from . import keyword
 
-BUCKETS = 64
+PARTS = ("chunks", "postings", "blocks", "dead")
+#: So many of the newest segments at least are merged at once, if the oldest of them is no larger than the others together.
+FAN = 4
+#: Scores are compared after rounding to six digits.
+_SLACK = 1e-5
+#: A first look at each term's best blocks ends when they hold so many times top_k postings.
+_FIRST = 4
+
+
+def block_class(tf: Column, dl: Column) -> Column:
+    """A number for like tf and dl: each occurrence count up to 8, then powers of two; lengths by half powers of two."""
+    often = F.when(tf <= 8, tf).otherwise(F.floor(F.log2(tf)) + 6)
+    return (often * 256 + F.floor(2 * F.log2(dl + 1))).cast("int")
 
 
 class KeywordIndex:
-    def __init__(self, store, name: str = "keyword", tokens=tokenize_cjk, literal=tokenize_cjk_literal):
+    def __init__(self, store: Store, name: str = "keyword", tokens=tokenize_cjk, literal=tokenize_cjk_literal):
         self.store, self.name, self.tokens, self.literal = store, name, tokens, literal
 
-    def _bucket(self, term):
-        return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-    def _save(self, postings: DataFrame, chunks: DataFrame) -> None:
-        kept = self.store.write(f"{self.name}_postings", postings.withColumn("bucket", self._bucket("term")).repartition("bucket").sortWithinPartitions("term"), ["bucket"])
-        chunks = self.store.write(f"{self.name}_chunks", chunks)
-        size = chunks.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-        df = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # tables
+
+    def _segments(self, t: Transaction) -> list[int]:
+        head = f"{self.name}."
+        return sorted({int(n[len(head) :].split(".")[0]) for n in t.tables if n.startswith(head) and n[len(head)].isdigit()})
+
+    def _all(self, t: Transaction, part: str, segments: list[int] | None = None) -> DataFrame | None:
+        """A table of all segments, with the column ``segment``."""
+        names = [n for n in (self._segments(t) if segments is None else segments) if f"{self.name}.{n}.{part}" in t.tables]
+        frames = [t.read(f"{self.name}.{n}.{part}").withColumn("segment", F.lit(n)) for n in names]
+        return reduce(DataFrame.unionByName, frames) if frames else None
+
+    def _live(self, t: Transaction, rows: DataFrame, segments: list[int] | None = None) -> DataFrame:
+        """Rows(chunk_id, segment) that no later segment (of ``segments``) has marked dead."""
+        dead = self._all(t, "dead", segments)
+        if dead is None:
+            return rows
+        last = dead.groupBy(F.col("chunk_id").alias("_dead")).agg(F.max("segment").alias("_until"))
+        return rows.join(last, (F.col("chunk_id") == F.col("_dead")) & (F.col("segment") < F.col("_until")), "left_anti")
+
+    def _posted(self, chunks: DataFrame) -> DataFrame:
+        rows = keyword.postings(chunks, self.tokens)
+        return rows.select("term", block_class(F.col("tf"), F.col("dl")).alias("class"), "chunk_id", "tf", "dl")
+
+    @staticmethod
+    def _blocks(postings: DataFrame) -> DataFrame:
+        return postings.groupBy("term", "class").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
+
+    # changes
+
+    def _change(self, chunks: DataFrame | None, gone: DataFrame | None, *, anew: bool = False) -> None:
+        t = self.store.begin()
+        t.exists(f"{self.name}.stats")
+        if anew:
+            self._cleared(t)
+        segments = self._segments(t)
+        n = 1 + max(segments, default=0)
+        if gone is not None and segments:
+            known = self._live(t, self._all(t, "chunks")).join(gone.select("chunk_id").distinct(), "chunk_id", "left_semi")
+            dead = t.write(f"{self.name}.{n}.dead", known.select("chunk_id", "dl", "content"))
+            lost = self._lost(dead)
+        if chunks is not None:
+            rows = latest(chunks.select("chunk_id", "content"), ["chunk_id"])
+            rows = t.write(f"{self.name}.{n}.chunks", keyword.lengths(rows, self.tokens).join(rows, "chunk_id").select("chunk_id", "dl", "content"))
+            postings = t.write(f"{self.name}.{n}.postings", self._posted(rows).repartitionByRange("term", "class", "chunk_id").sortWithinPartitions("term", "class"))
+            blocks = self._blocks(postings)
+            if gone is not None and segments:
+                blocks = blocks.unionByName(lost)
+            t.write(f"{self.name}.{n}.blocks", blocks.sort("term"))
+        elif gone is not None and segments:
+            t.write(f"{self.name}.{n}.blocks", lost.sort("term"))
+        self._counted(t)
+        self._merge(t)
+        t.commit()
+
+    def _counted(self, t: Transaction) -> None:
+        """One row: n, total, avgdl, mean_idf of the live chunks."""
+        have, dead = self._all(t, "chunks"), self._all(t, "dead")
+        rows = have.select(F.lit(1).alias("n"), "dl")
+        if dead is not None:
+            rows = rows.unionByName(dead.select(F.lit(-1).alias("n"), (-F.col("dl")).alias("dl")))
+        size = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+        df = self._all(t, "blocks").groupBy("term").agg(F.sum("n").alias("df")).where("df > 0")
         mean = df.crossJoin(F.broadcast(size)).agg(F.avg(F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("mean_idf"))
-        self.store.write(f"{self.name}_stats", size.crossJoin(mean))
-
-    def _made(self, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-        sized = keyword.lengths(chunks, self.tokens)
-        return keyword.postings(chunks, self.tokens).select("term", "chunk_id", "tf", "dl"), chunks.select("chunk_id", "content").join(sized.select("chunk_id", "dl"), "chunk_id").select("chunk_id", "dl", "content")
+        t.write(f"{self.name}.stats", size.crossJoin(mean).withColumn("avgdl", F.when(F.col("n") > 0, F.col("total").cast("double") / F.col("n"))))
+
+    def _merge(self, t: Transaction) -> None:
+        """Merge the newest segments, as many as are together no smaller than the oldest of them, if these are FAN or more."""
+        segments = self._segments(t)
+        if len(segments) < FAN:
+            return
+        rows = self._all(t, "blocks").groupBy("segment").agg(F.sum(F.abs("n")).alias("n")).collect()  # one a segment
+        sizes = [dict(map(tuple, rows)).get(s, 0) for s in segments]
+        first = next((k for k in range(len(segments) - FAN + 1) if sizes[k] <= sum(sizes[k + 1 :])), None)
+        if first is not None:
+            self._merged(t, segments[first:])
+
+    def _merged(self, t: Transaction, run: list[int]) -> None:
+        """One segment in place of ``run``, under the last one's number. Rows that a mark of the run killed go together with the mark, so that
+        sums over blocks stay those of the live chunks; marks of rows in older segments stay."""
+        last, staged = run[-1], {}
+        chunks, postings, dead = (self._all(t, part, run) for part in ("chunks", "postings", "dead"))
+        if chunks is not None:
+            staged["chunks"] = self._live(t, chunks, run).select("chunk_id", "dl", "content")
+            staged["postings"] = self._live(t, postings, run).select("term", "class", "chunk_id", "tf", "dl").repartitionByRange("term", "class", "chunk_id").sortWithinPartitions("term", "class")
+        if dead is not None and run[0] != self._segments(t)[0]:
+            marks = dead
+            if chunks is not None:  # a mark that follows a row of its chunk in this run has met that row
+                met = dead.join(chunks.select("chunk_id", F.col("segment").alias("_of")), "chunk_id").where("_of < segment").select("chunk_id", "segment").distinct()
+                marks = dead.join(met, ["chunk_id", "segment"], "left_anti")
+            staged["dead"] = marks.select("chunk_id", "dl", "content")
+        tables = {part: t.write(f"{self.name}.merged.{part}", df) for part, df in staged.items()}
+        blocks = [self._blocks(tables["postings"])] if "postings" in tables else []
+        if "dead" in tables:
+            blocks.append(self._lost(tables["dead"]))
+        if blocks:
+            tables["blocks"] = t.write(f"{self.name}.merged.blocks", reduce(DataFrame.unionByName, blocks).sort("term"))
+        for n in run:
+            for part in PARTS:
+                t.drop(f"{self.name}.{n}.{part}")
+        for part in tables:
+            t.rename(f"{self.name}.merged.{part}", f"{self.name}.{last}.{part}")
+
+    def _lost(self, dead: DataFrame) -> DataFrame:
+        """What goes, counted with a minus, so that sums over all blocks are those of the live chunks; it bounds nothing."""
+        return self._blocks(self._posted(dead)).select("term", "class", (-F.col("n")).alias("n"), F.lit(None).cast("long").alias("max_tf"), F.lit(None).cast("int").alias("min_dl"))
+
+    def _cleared(self, t: Transaction) -> None:
+        for n in self._segments(t):
+            for part in PARTS:
+                t.drop(f"{self.name}.{n}.{part}")
 
     @property
     def exists(self) -> bool:
-        return self.store.exists(f"{self.name}_stats")
+        return self.store.exists(f"{self.name}.stats")
+
+    @property
+    def segments(self) -> list[int]:
+        return self._segments(self.store.begin())
 
     def build(self, chunks: DataFrame) -> None:
-        """The index of ``chunks(chunk_id, content)``, in place of what was there. Chunk ids are unique; null contents have no terms."""
-        self._save(*self._made(chunks))
+        """The index of ``chunks(chunk_id, content)``, in place of what was there. Of repeated chunk_ids one stays (``latest``); null contents have no terms."""
+        self._change(chunks, None, anew=True)
 
     def add(self, chunks: DataFrame) -> None:
         """Add chunks, or replace those whose chunk_id is known."""
-        if not self.exists:
-            return self.build(chunks)
-        postings, fresh = self._made(chunks)
-        self._save(self._without("postings", chunks).select(*postings.columns).unionByName(postings), self._without("chunks", chunks).select(*fresh.columns).unionByName(fresh))
+        self._change(chunks, chunks)
 
     def remove(self, ids: DataFrame) -> None:
         """Remove the listed chunk_ids; unknown and repeated ones are harmless."""
         if self.exists:
-            self._save(self._without("postings", ids).select("term", "chunk_id", "tf", "dl"), self._without("chunks", ids))
-
-    def _without(self, table: str, ids: DataFrame) -> DataFrame:
-        return self.store.read(f"{self.name}_{table}").join(ids.select("chunk_id").distinct(), "chunk_id", "left_anti")
+            self._change(None, ids)
 
     def clear(self) -> None:
-        for table in ("postings", "chunks", "stats"):
-            self.store.drop(f"{self.name}_{table}")
+        t = self.store.begin()
+        self._cleared(t)
+        t.drop(f"{self.name}.stats")
+        t.commit()
 
     @property
     def size(self) -> int:
-        return self.store.read(f"{self.name}_stats").first().n if self.exists else 0
+        return self.store.read(f"{self.name}.stats").first().n if self.exists else 0
 
     def search(self, query: str, top_k: int = 20, threshold: float = 0.0, *, pad: bool = True) -> DataFrame:
-        """chunk_id, score, content: as ``keyword.search`` over the indexed chunks."""
-        chunks = self.store.read(f"{self.name}_chunks")
+        """chunk_id, score, content: as ``keyword.search`` over the indexed chunks, in one lazy plan."""
+        t = self.store.begin()
+        chunks = self._all(t, "chunks")
         wanted = Counter(self.literal(query))
         if not wanted:
             return chunks.select("chunk_id", F.lit(0.0).alias("score"), "content").limit(0)
-        spark = chunks.sparkSession
-        stats = self.store.read(f"{self.name}_stats").first()
-        buckets = [r.b for r in spark.createDataFrame([(t,) for t in wanted], "t string").select(self._bucket("t").alias("b")).distinct().collect()]
-        hits = self.store.read(f"{self.name}_postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(list(wanted))).select("term", "chunk_id", "tf", "dl")
-        df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        raw = F.log(F.lit(stats.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        idf = df.select("term", F.when(raw >= 0, raw).otherwise(keyword.EPSILON * stats.mean_idf).alias("idf"))
-        times = spark.createDataFrame(list(wanted.items()), "term string, times long")
-        weighted = hits.join(F.broadcast(idf.join(times, "term")), "term")  # one row for each term of the query
-        k1, b = keyword.K1, keyword.B
-        part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / stats.avgdl))
-        scores = weighted.groupBy("chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
-        if pad:
+        chunks = self._live(t, chunks)
+        blocks, postings = (self._all(t, part).where(F.col("term").isin(list(wanted))) for part in ("blocks", "postings"))
+        # one row a term of the query; the blocks of these terms are at most some hundred a term and segment
+        times = t.spark.createDataFrame(list(wanted.items()), "term string, times long")
+        stats = F.broadcast(t.read(f"{self.name}.stats"))
+        raw = F.log(F.col("size") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        weights = blocks.groupBy("term").agg(F.sum("n").alias("df")).where("df > 0").crossJoin(stats.withColumnRenamed("n", "size"))
+        weights = weights.select("term", F.when(raw >= 0, raw).otherwise(keyword.EPSILON * F.col("mean_idf")).alias("idf"), "avgdl").join(F.broadcast(times), "term")
+        weights = F.broadcast(weights.select("term", (F.col("times") * F.col("idf")).alias("weight"), "avgdl"))
+        bounded = blocks.where("max_tf IS NOT NULL").join(weights, "term").withColumn("bound", _gain(F.col("max_tf"), F.col("min_dl")))
+        tops = bounded.groupBy("term").agg(F.max("bound").alias("top"), F.min("weight").alias("least"))
+        every = F.broadcast(tops.agg(F.sum("top").alias("all"), F.min("least").alias("least")))
+        bounded = bounded.join(F.broadcast(tops.select("term", "top")), "term").crossJoin(every)
+        before = F.sum("n").over(Window.partitionBy("term").orderBy(F.desc("bound"), "segment", "class").rowsBetween(Window.unboundedPreceding, -1))
+        first = bounded.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < _FIRST * top_k)
+        seen = self._scored(t, postings, first).orderBy(F.desc("score")).limit(top_k)
+        reached = seen.agg(F.when(F.count(F.lit(1)) == top_k, F.min("score")).alias("reached"))
+        # nothing is left out if weights can be negative, or if fewer than top_k chunks have been found
+        could = (F.col("least") < 0) | F.col("reached").isNull() | (F.col("reached") <= 0) | (F.col("bound") + F.col("all") - F.col("top") >= F.col("reached") - _SLACK)
+        found = self._scored(t, postings, bounded.crossJoin(F.broadcast(reached)).where(could)).select("chunk_id", F.round("score", 6).alias("score"))
+        if pad and threshold <= 0:
             # chunks without a term score 0: they count only if the others leave room, in order of chunk_id
-            found = chunks.select("chunk_id").join(scores, "chunk_id", "left").select("chunk_id", F.coalesce("score", F.lit(0.0)).alias("score"))
-        else:
-            found = scores
+            rest = chunks.select("chunk_id").join(found, "chunk_id", "left_anti").orderBy("chunk_id").limit(top_k)
+            found = found.unionByName(rest.withColumn("score", F.lit(0.0)))
         best = found.where(F.col("score") >= threshold).orderBy(F.desc("score"), "chunk_id").limit(top_k)
         return chunks.select("chunk_id", "content").join(F.broadcast(best), "chunk_id").select("chunk_id", "score", "content").orderBy(F.desc("score"), "chunk_id")
+
+    def _scored(self, t: Transaction, postings: DataFrame, blocks: DataFrame) -> DataFrame:
+        """chunk_id, score from the postings of these blocks."""
+        read = postings.join(F.broadcast(blocks.select("segment", "term", "class", "weight", "avgdl")), ["segment", "term", "class"])
+        return self._live(t, read).groupBy("chunk_id").agg(F.sum(_gain(F.col("tf"), F.col("dl"))).alias("score"))
+
+
+def _gain(tf: Column, dl: Column) -> Column:
+    k1, b = keyword.K1, keyword.B
+    return F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))

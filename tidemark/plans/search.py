@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fusion, hierarchical, keyword
 from ..operators import vectors as V
+from ..operators.keyword_index import KeywordIndex
 
 MODES = ("semantic", "keyword", "hybrid", "hierarchical")
 
@@ -39,19 +40,23 @@ class Collection:
     """The tables of a collection.
 
     chunks(chunk_id, document_id, content, ...), vectors(vector_id = chunk_id, document_id, embedding, ...),
-    summaries(document_id, summary, embedding), documents(document_id, filename, ...); the last two may be None.
+    summaries(document_id, summary, embedding), documents(document_id, filename, ...); the last two may be None.  With ``index`` (a
+    ``KeywordIndex`` of the chunks) keyword search reads stored segments; a request with filters counts anew, over what is left.
     """
 
     chunks: DataFrame
     vectors: DataFrame
     summaries: DataFrame | None = None
     documents: DataFrame | None = None
+    index: KeywordIndex | None = None
 
     def semantic(self, vector: list[float], top_k: int, filters: dict | None = None) -> DataFrame:
         hits = V.search(self.vectors, vector, top_k, None, filters).select(F.col("vector_id").alias("chunk_id"), "score")
         return hits.join(self.chunks.select("chunk_id", "content"), "chunk_id", "left").select("chunk_id", "score", F.coalesce("content", F.lit("")).alias("content"), F.lit("semantic").alias("search_type"))
 
     def keyword(self, query: str, top_k: int, filters: dict | None = None) -> DataFrame:
+        if self.index is not None and not filters:
+            return self.index.search(query, top_k).withColumn("search_type", F.lit("keyword"))
         chunks = self.chunks.where(V.payload_filter(filters))
         return keyword.search(chunks, query, top_k).withColumn("search_type", F.lit("keyword"))
 
