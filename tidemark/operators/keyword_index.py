@@ -85,8 +85,10 @@ class KeywordIndex:
             dead = t.write(f"{self.name}.{n}.dead", known.select("chunk_id", "dl", "content"))
             lost = self._lost(dead)
         if chunks is not None:
-            rows = latest(chunks.select("chunk_id", "content"), ["chunk_id"])
-            rows = t.write(f"{self.name}.{n}.chunks", keyword.lengths(rows, self.tokens).join(rows, "chunk_id").select("chunk_id", "dl", "content"))
+            rows = chunks.select("chunk_id", "content")
+            if not rows.groupBy("chunk_id").count().where("count > 1").isEmpty():
+                rows = latest(rows, ["chunk_id"])
+            rows = t.write(f"{self.name}.{n}.chunks", rows.select("chunk_id", F.coalesce(F.size(self.tokens(F.col("content"))), F.lit(0)).alias("dl"), "content"))
             postings = t.write(f"{self.name}.{n}.postings", self._posted(rows).repartitionByRange("term", "class", "chunk_id").sortWithinPartitions("term", "class"))
             blocks = self._blocks(postings)
             if gone is not None and segments:

@@ -128,3 +128,9 @@ def overlong(chunks: DataFrame, most: int) -> DataFrame:
     n = F.length("content")
     out = chunks.agg(F.count(F.lit(1)).alias("total"), F.count_if(n > most).alias("overlong"), F.max(n).cast("long").alias("longest"))
     return out.withColumn("passed", F.col("overlong") == 0)
+
+
+def unindexed(points: DataFrame, least: int = 100) -> DataFrame:
+    """The rows of ``points(project_id, points, indexed)`` with over ``least`` points of which none is indexed, and the message for each."""
+    quiet = (F.col("points") > least) & (F.col("indexed") == 0)
+    return points.where(quiet).withColumn("message", F.format_string("%s: %d points, none indexed", "project_id", "points"))

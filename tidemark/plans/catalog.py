@@ -6,20 +6,25 @@ Fixtures: a project is a ``source``, a chunk is a document or a conversation's t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import chunking, comments, markup, paths, text
-from ..operators import export, fusion, hierarchical, keyword, projects, upkeep
+from ..functions import chunking, comments, ignore, markup, paths, text
+from ..operators import export, fusion, hierarchical, keyword, moves, projects, upkeep
 from ..operators import vectors as V
-from ..session import prepare
-from ..streaming import watch
+from ..operators.keyword_index import KeywordIndex
+from ..session import prepare, shared_folder
+from ..sources.ingest import content_hash, queue_state, with_state
+from ..sources.store import Store, latest
+from ..streaming import debounce, watch
 from .search import Collection, SearchRequest, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+_INDEXES: dict[tuple, KeywordIndex] = {}
 
 QUERY = "the tion and wh"
 #: A term of one document or none: most rows of its result are padding.
@@ -47,6 +52,19 @@ class Tables:
     def chunks(self) -> DataFrame:
         return self.documents.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("text").alias("content"), F.col("source").alias("project_id"), F.col("lang"))
 
+    @property
+    def index(self) -> KeywordIndex:
+        """A stored keyword index of the documents: built once for a table as it stands, then read by every search."""
+        path = f"{self.dir}/documents.parquet"
+        fs, p = Store(self.spark, path)._fs(path)
+        files = sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in (fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)]))
+        key = (self.spark.sparkContext.applicationId, path, tuple(files))
+        if key not in _INDEXES:
+            index = KeywordIndex(Store(self.spark, f"{shared_folder(self.spark)}/keyword-{uuid.uuid4().hex}"))
+            index.build(self.chunks)
+            _INDEXES[key] = index
+        return _INDEXES[key]
+
     @property
     def turns(self) -> DataFrame:
         return self.conversations.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("chunk_index"), F.col("text").alias("content"), "role")
@@ -78,10 +96,10 @@ _QUEUE = "(SELECT doc_id AS chunk_id, CASE WHEN toxic = 1 THEN 'failed' WHEN qua
 _LINKED = "(SELECT d.doc_id AS chunk_id, d.source AS project_id, d.text AS content, e.vec_id AS vector_id FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id)"
 
 
-def _bm25(words: str) -> str:
+def _bm25(words: str, documents: str = "documents") -> str:
     terms = ", ".join(f"('{w}')" for w in text.tokenize_literal(words))
     return f"""
-tokens AS (SELECT doc_id AS chunk_id, {_TOKENS} AS ts FROM documents),
+tokens AS (SELECT doc_id AS chunk_id, {_TOKENS} AS ts FROM {documents}),
 len AS (SELECT chunk_id, len(ts) AS dl FROM tokens),
 stats AS (SELECT count(*) AS n, sum(dl) * 1.0e0 / count(*) AS avgdl FROM len),
 tf AS (SELECT chunk_id, t AS term, count(*) AS tf FROM (SELECT chunk_id, unnest(ts) AS t FROM tokens) GROUP BY 1, 2),
@@ -90,7 +108,7 @@ idf AS (SELECT term, df, CASE WHEN idf0 >= 0 THEN idf0 ELSE 0.25e0 * (SELECT avg
 q(term) AS (VALUES {terms}),
 part AS (SELECT tf.chunk_id, sum(idf.idf * tf.tf * 2.5e0 / (tf.tf + 1.5e0 * (0.25e0 + 0.75e0 * len.dl / stats.avgdl))) AS s
          FROM q JOIN tf USING (term) JOIN idf USING (term) JOIN len USING (chunk_id), stats GROUP BY tf.chunk_id),
-scored AS (SELECT d.doc_id AS chunk_id, round(coalesce(part.s, 0e0), 6) AS score FROM documents d LEFT JOIN part ON part.chunk_id = d.doc_id)"""
+scored AS (SELECT d.doc_id AS chunk_id, round(coalesce(part.s, 0e0), 6) AS score FROM {documents} d LEFT JOIN part ON part.chunk_id = d.doc_id)"""
 
 
 _COSINE = f"""
@@ -183,19 +201,19 @@ def bm25_term_idf(t: Tables) -> DataFrame:
 
 @query(f"WITH {_bm25(QUERY).strip()} SELECT chunk_id, score FROM scored ORDER BY score DESC, chunk_id LIMIT 40")
 def keyword_search(t: Tables) -> DataFrame:
-    return keyword.search(t.chunks, QUERY, 40).select("chunk_id", "score")
+    return t.index.search(QUERY, 40).select("chunk_id", "score")
 
 
 @query(f"WITH {_bm25(RARE).strip()} SELECT chunk_id, score FROM scored ORDER BY score DESC, chunk_id LIMIT 40")
 def keyword_search_zero_padded(t: Tables) -> DataFrame:
-    return keyword.search(t.chunks, RARE, 40).select("chunk_id", "score")
+    return t.index.search(RARE, 40).select("chunk_id", "score")
 
 
 @query(f"""
 WITH {_bm25(QUERY).strip()}, top AS (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 20)
 SELECT top.chunk_id, top.score, d.lang, d.source, l.quality FROM top JOIN documents d ON d.doc_id = top.chunk_id LEFT JOIN labels l ON l.doc_id = top.chunk_id""")
 def keyword_search_hydrated(t: Tables) -> DataFrame:
-    hits = keyword.search(t.chunks, QUERY, 20).select("chunk_id", "score")
+    hits = t.index.search(QUERY, 20).select("chunk_id", "score")
     labels = t.labels.select(F.col("doc_id").alias("chunk_id"), "quality")
     return hits.join(t.chunks.select("chunk_id", "lang", F.col("project_id").alias("source")), "chunk_id").join(labels, "chunk_id", "left")
 
@@ -233,18 +251,18 @@ def batch_knn(t: Tables) -> DataFrame:
 
 @query(f"WITH {_bm25(QUERY).strip()}, {_COSINE.strip()}, {_RRF.strip()} SELECT chunk_id, score FROM fused")
 def rrf_hybrid(t: Tables) -> DataFrame:
-    c = Collection(t.chunks, t.vectors)
+    c = Collection(t.chunks, t.vectors, index=t.index)
     return fusion.rrf(c.semantic(t.ask(), 20).unionByName(c.keyword(QUERY, 20))).select("chunk_id", "score")
 
 
 @query(f"WITH {_bm25(QUERY).strip()}, {_COSINE.strip()}, {_RRF.strip()} SELECT chunk_id, score FROM fused ORDER BY score DESC, seen, chunk_id LIMIT 10")
 def hybrid_search(t: Tables) -> DataFrame:
-    return search(Collection(t.chunks, t.vectors), SearchRequest(QUERY, 10, rerank=False), t.ask()).select("chunk_id", "score")
+    return search(Collection(t.chunks, t.vectors, index=t.index), SearchRequest(QUERY, 10, rerank=False), t.ask()).select("chunk_id", "score")
 
 
 @query(f"WITH {_bm25(QUERY).strip()}, {_COSINE.strip()}, {_RRF.strip()} SELECT chunk_id, score FROM fused WHERE score >= 0.7")
 def hybrid_threshold_empty(t: Tables) -> DataFrame:
-    return search(Collection(t.chunks, t.vectors), SearchRequest(QUERY, 10, score_threshold=0.7, rerank=False), t.ask()).select("chunk_id", "score")
+    return search(Collection(t.chunks, t.vectors, index=t.index), SearchRequest(QUERY, 10, score_threshold=0.7, rerank=False), t.ask()).select("chunk_id", "score")
 
 
 @query(f"""
@@ -252,7 +270,7 @@ WITH {_bm25(QUERY).strip()}, top AS (SELECT * FROM scored ORDER BY score DESC, c
 SELECT top.chunk_id, round(len(list_intersect(ts, ['and', 'the', 'tion', 'wh'])) / 4e0, 6) AS score
 FROM top JOIN tokens2 USING (chunk_id) ORDER BY 2 DESC, top.score DESC, chunk_id LIMIT 20""")
 def rerank_lexical(t: Tables) -> DataFrame:
-    return fusion.rerank(Collection(t.chunks, t.vectors).keyword(QUERY, 40), fusion.lexical_scorer(QUERY), 20).select("chunk_id", "score")
+    return fusion.rerank(Collection(t.chunks, t.vectors, index=t.index).keyword(QUERY, 40), fusion.lexical_scorer(QUERY), 20).select("chunk_id", "score")
 
 
 _HIER = f"""
@@ -584,6 +602,117 @@ def sync_counters_rollup(t: Tables) -> DataFrame:
     return upkeep.counters(e.select(F.concat(F.lit("p"), F.pmod(F.col("src_path").cast("long"), F.lit(10)).cast("string")).alias("project_id"), change.alias("change")))
 
 
+# --- a collection that changes ------------------------------------------------------------------------------------------
+
+_CHANGED = "(SELECT doc_id, CASE WHEN lang = 'es' THEN text || ' wh the' ELSE text END AS text FROM documents WHERE lang <> 'de')"
+
+
+@query(f"WITH {_bm25(QUERY, _CHANGED).strip()} SELECT chunk_id, score FROM scored ORDER BY score DESC, chunk_id LIMIT 40")
+def index_after_changes(t: Tables) -> DataFrame:
+    """Three segments: all documents, those of one language removed, those of another replaced."""
+    index = KeywordIndex(Store(t.spark, f"{shared_folder(t.spark)}/changing-{uuid.uuid4().hex}"))
+    index.build(t.chunks)
+    index.remove(t.chunks.where("lang = 'de'"))
+    index.add(t.chunks.where("lang = 'es'").withColumn("content", F.concat("content", F.lit(" wh the"))))
+    return index.search(QUERY, 40).select("chunk_id", "score")
+
+
+@query(f"""
+WITH c AS (SELECT d.doc_id, d.source, sha256(coalesce(d.text, '')) AS h, q.status, q.retry_count,
+             EXISTS (SELECT 1 FROM embeddings e JOIN documents o ON o.doc_id = e.vec_id WHERE o.source = d.source AND o.lang IN ('en', 'fr') AND sha256(coalesce(o.text, '')) = sha256(coalesce(d.text, ''))) AS embedded
+           FROM documents d LEFT JOIN {_QUEUE} q ON q.chunk_id = d.doc_id)
+SELECT doc_id AS chunk_id, CASE WHEN embedded THEN 'done' WHEN status <> 'done' THEN status ELSE 'pending' END AS status, CASE WHEN NOT embedded AND status <> 'done' THEN retry_count ELSE 0 END AS retry_count
+FROM c WHERE NOT embedded OR status IS NOT NULL""")
+def queue_after_reingest(t: Tables) -> DataFrame:
+    """Vectors of English and French documents hold their text, the others an older one; copies within a project share a vector."""
+    digest = content_hash(F.col("content"))
+    chunks = t.chunks.withColumns({"content_hash": digest, "vector_id": F.lit(None).cast("long")})
+    known = t.embeddings.join(chunks.withColumnRenamed("chunk_id", "vec_id"), "vec_id")
+    held = F.when(F.col("lang").isin("en", "fr"), F.col("content_hash")).otherwise(F.sha2(F.lit("old"), 256))
+    vectors = known.select(F.col("vec_id").alias("vector_id"), "project_id", "document_id", held.alias("content_hash"), "embedding")
+    queue = t.queue.join(chunks.select("chunk_id", "content_hash"), "chunk_id")
+    stated, _ = with_state(chunks, vectors)
+    return queue_state(queue, stated).select("chunk_id", "status", "retry_count")
+
+
+@query("""
+WITH b AS (SELECT d.doc_id, source || '/' || d.doc_id AS path, d.text, d.lang, coalesce(l.toxic, 0) = 1 AS gone FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)
+SELECT CASE WHEN gone THEN 'deleted' WHEN lang = 'de' THEN 'renamed' WHEN lang = 'fr' THEN 'updated' ELSE 'unchanged' END AS change, doc_id AS document_id, path AS old_path,
+  CASE WHEN gone THEN NULL WHEN lang = 'de' THEN 'moved/' || doc_id ELSE path END AS path FROM b
+UNION ALL SELECT 'created', NULL, NULL, 'pages/' || page_id FROM pages""")
+def rename_detection(t: Tables) -> DataFrame:
+    """Files of one language have moved, those of another changed, toxic ones are gone, pages are new."""
+    path = F.concat_ws("/", "source", "doc_id")
+    stored = t.documents.select(F.col("doc_id").alias("document_id"), path.alias("path"), F.length("text").cast("long").alias("size"), content_hash(F.col("text")).alias("content_hash"))
+    there = t.documents.join(t.labels.where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
+    body = F.when(F.col("lang") == "fr", F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    where = F.when(F.col("lang") == "de", F.concat(F.lit("moved/"), "doc_id")).otherwise(path)
+    found = there.select(where.alias("path"), F.length(body).cast("long").alias("size"), content_hash(body).alias("content_hash"))
+    new = t.pages.select(F.concat(F.lit("pages/"), "page_id").alias("path"), F.length("html").cast("long").alias("size"), content_hash(F.col("html")).alias("content_hash"))
+    return moves.classify(stored, found.unionByName(new))
+
+
+@query("""
+WITH e AS (SELECT event_type AS root, CAST(user_id AS VARCHAR) AS src_path, ts, CASE WHEN lag(ts) OVER w > ts - INTERVAL 60 SECOND THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+b AS (SELECT root, src_path, ts, CAST(sum(fresh) OVER (PARTITION BY root ORDER BY ts) AS BIGINT) AS burst FROM e)
+SELECT root, burst, src_path, max(ts) AS last_ts, count(*) AS n, (SELECT max(o.ts) FROM b o WHERE o.root = b.root AND o.burst = b.burst) + INTERVAL 60 SECOND AS flushed_at FROM b GROUP BY root, burst, src_path""")
+def debounce_global(t: Tables) -> DataFrame:
+    """One timer for all paths of a root; what each path's events amount to is procedural, and held against a simulation in tests."""
+    events = t.events.select(F.col("event_type").alias("root"), F.col("user_id").cast("string").alias("src_path"), F.lit("modified").alias("event_type"), "ts")
+    return debounce.bursts(events, 60.0).drop("event_type")
+
+
+@query("""
+SELECT project_id, points, indexed, project_id || ': ' || points || ' points, none indexed' AS message FROM (
+  SELECT d.lang || '/' || d.source AS project_id, count(*) AS points, count(*) FILTER (l.toxic = 1) AS indexed FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1)
+WHERE points > 10 AND indexed = 0""")
+def unindexed_alarm(t: Tables) -> DataFrame:
+    rows = t.documents.join(t.labels, "doc_id", "left").groupBy(F.concat_ws("/", "lang", "source").alias("project_id"))
+    return upkeep.unindexed(rows.agg(F.count(F.lit(1)).alias("points"), F.count_if(F.col("toxic") == 1).alias("indexed")), 10)
+
+
+@query("SELECT event_id, user_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+def latest_version(t: Tables) -> DataFrame:
+    """Of several rows of a key the latest counts, as in every upsert."""
+    return latest(t.events.select("event_id", "user_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")])
+
+
+@query("""
+SELECT doc_id, quality, toxic FROM labels WHERE toxic = 0 UNION ALL SELECT l.doc_id, l.quality, 2 FROM labels l WHERE toxic = 1
+UNION ALL SELECT doc_id, -1, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def upsert_commit(t: Tables) -> DataFrame:
+    """A table and a log of the change in one commit of a store: toxic labels are replaced, those that were missing added."""
+    store = Store(t.spark, f"{shared_folder(t.spark)}/store-{uuid.uuid4().hex}")
+    labels = t.labels.select("doc_id", "quality", "toxic")
+    store.write("labels", labels)
+    step = store.begin()
+    toxic = labels.where("toxic = 1").withColumn("toxic", F.lit(2).cast(labels.schema["toxic"].dataType))
+    lacking = t.documents.join(labels, "doc_id", "left_anti").select("doc_id", F.lit(-1).cast(labels.schema["quality"].dataType).alias("quality"), F.lit(0).cast(labels.schema["toxic"].dataType).alias("toxic"))
+    step.upsert("labels", toxic.unionByName(lacking), ["doc_id"])
+    step.write("log", lacking.select("doc_id"))
+    step.commit()
+    return store.read("labels")
+
+
+@query("SELECT source || '/' || doc_id || '.' || lang AS path, source = 'src1' OR (lang = 'de' AND source <> 'src2') AS ignored FROM documents")
+def project_ignored(t: Tables) -> DataFrame:
+    """The root's rules, and those of one folder that take files back in."""
+    rows = t.documents.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id"), F.lit("."), F.col("lang")).alias("path"))
+    return ignore.with_ignored(rows, "path", {"": "*.de\nsrc1/\n", "src2": "!*.de\n"})
+
+
+@query(f"""
+WITH e AS (SELECT event_id, user_id, kind, kind = 'moved' AS m, user_id > event_id AS f, event_id % 2 = 0 AS g FROM {_FILE_EVENTS})
+SELECT event_id, CASE WHEN m AND f AND NOT g THEN 'to' || user_id ELSE CAST(user_id AS VARCHAR) END AS src_path, CASE WHEN m AND f AND NOT g THEN 'created' WHEN m AND NOT f AND g THEN 'deleted' ELSE kind END AS event_type
+FROM e WHERE NOT (m AND f AND g)""")
+def boundary_moves(t: Tables) -> DataFrame:
+    """A move out of what is ignored creates its target, one into it deletes its source, one inside it is nothing."""
+    kinds = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "error", "deleted").when(F.col("event_type") == "purchase", "moved").otherwise("modified")
+    events = t.events.select("event_id", F.col("user_id").cast("string").alias("src_path"), F.concat(F.lit("to"), "user_id").alias("dest_path"), kinds.alias("event_type"))
+    user = F.coalesce(F.regexp_extract("src_path", "([0-9]+)", 1).cast("long"), F.lit(0))
+    return watch.across_boundary(events, user > F.col("event_id"), F.col("event_id") % 2 == 0).select("event_id", "src_path", "event_type")
+
+
 # --- procedural operators (tests hold them against plain loops) ---------------------------------------------------------
 
 

@@ -6,16 +6,20 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import comments, paths
+from ..functions.ignore import IgnoreFiles, with_ignored
+from ..session import prepare
 
 #: Encodings in the order in which they are tried; the last accepts any bytes.
 ENCODINGS = ("utf-8", "gbk", "gb2312", "latin-1")
@@ -126,13 +130,21 @@ def listing(spark: SparkSession, folder: str, pattern: str | None = None, recurs
 
 
 def read(spark: SparkSession, folder: str, *, type_of: Callable[[Column], Column] = paths.watch_type, ignore: list[str] | None = None, pattern: str | None = None, ports: dict | None = None) -> DataFrame:
-    """path, doc_type, size, modified_at, text, error for every file that isn't ignored."""
+    """path, doc_type, size, modified_at, text, error for every file that neither the global patterns and ``ignore`` nor the folder's own
+    ignore files (at any depth) exclude."""
+    prepare(spark)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     reader = reader.option("pathGlobFilter", pattern) if pattern else reader
     files = reader.load(folder)
     base = "/" + re.sub(r"^[a-z]+:/+", "", folder).strip("/")
     relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), "^" + re.escape(base) + "/", "")
     files = files.withColumn("doc_type", type_of(paths.suffix(F.col("path")))).where(~paths.ignored(relative, ignore))
+    try:
+        own = IgnoreFiles(folder if re.match(r"^[a-z0-9]+:/", folder) else f"file://{os.path.abspath(folder)}").files
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):  # a store that pyarrow can't list has no ignore files of its own
+        own = {}
+    if own:
+        files = with_ignored(files.withColumn("_relative", relative), "_relative", own, "_ignored").where(~F.col("_ignored")).drop("_relative", "_ignored")
 
     @F.pandas_udf("text string, error string")
     def run(content: pd.Series, kind: pd.Series, path: pd.Series) -> pd.DataFrame:
@@ -163,3 +175,11 @@ def code_comments(spark: SparkSession, folder: str) -> DataFrame:
     small = F.col("length") <= paths.LARGEST_SOURCE_FILE
     out = files.withColumn("markdown", run(F.when(small, F.col("content")), "language", "path"))
     return out.select("path", "language", "markdown", F.when(~small, F.lit("file is larger than 10 MB")).alias("error"))
+
+
+def with_statistics(files: DataFrame) -> tuple[DataFrame, Observation]:
+    """(the same rows, what will be known once they have been computed): total, parsed, failed, characters, of the run itself and not of
+    another pass over the files."""
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("total"), F.count_if(F.col("error").isNull()).alias("parsed"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters")]
+    return files.observe(seen, *counts), seen

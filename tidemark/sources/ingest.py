@@ -63,7 +63,7 @@ def queue_state(queue: DataFrame | None, chunks: DataFrame) -> DataFrame:
     same = F.col("old_hash") == F.col("content_hash")
     goes_on = same & (F.col("old") != "done")
     status = F.when(F.col("embedded"), "done").when(goes_on, F.col("old")).otherwise("pending")
-    count = F.when(goes_on, F.col("retry_count")).otherwise(0).cast("int")
+    count = F.when(goes_on & ~F.col("embedded"), F.col("retry_count")).otherwise(0).cast("int")
     return both.select("chunk_id", "content", "content_hash", status.alias("status"), count.alias("retry_count"))
 
 
@@ -73,13 +73,22 @@ def take_in(t: Transaction, files: DataFrame, project_id: str, chunker) -> None:
 
     # files are read and parsed once; what follows reads this table
     own = files.withColumn("document_id", F.sha2(F.concat_ws("\u0001", F.lit(project_id), "path"), 256))
+    if t.exists("documents"):  # a renamed document has kept the id it was given first
+        known = t.read("documents").where(F.col("project_id") == project_id).select(F.col("filename").alias("path"), F.col("document_id").alias("_known"))
+        new = own.join(known, "path", "left").withColumn("_new", F.col("_known").isNull())
+        # a new file where a renamed one was must not get that one's id
+        taken = known.select(F.col("_known").alias("document_id"), F.lit(True).alias("_taken"))
+        new = new.join(taken, "document_id", "left").withColumn("document_id", F.when(~F.col("_new"), F.col("_known")).when(F.col("_taken"), F.sha2(F.concat_ws("\u0001", "document_id", F.lit("again")), 256)).otherwise(F.col("document_id")))
+        own = new.select(*own.columns)
     ids = t.write("files", latest(own, ["document_id"], [F.desc_nulls_last("modified_at")]))
     fine = ids.where(F.col("error").isNull())
     pieces = chunking.chunk(fine, "document_id", "text", chunker)
     chunks = pieces.select(F.concat_ws("-", "document_id", "chunk_index").alias("chunk_id"), "document_id", F.lit(project_id).alias("project_id"), "content", content_hash(F.col("content")).alias("content_hash"), "chunk_index", "start_line", "end_line", F.lit(None).cast("string").alias("vector_id"))
     chunks = t.write("staged_chunks", chunks)
     status = F.when(F.col("error").isNull(), "completed").otherwise("failed")
-    documents = ids.select("document_id", F.lit(project_id).alias("project_id"), F.col("path").alias("filename"), "doc_type", F.col("size").alias("file_size"), status.alias("status"), F.col("error").alias("error_message"), F.col("modified_at").alias("updated_at"))
+    documents = ids.select("document_id", F.lit(project_id).alias("project_id"), F.col("path").alias("filename"), "doc_type", F.col("size").alias("file_size"), status.alias("status"), F.col("error").alias("error_message"), F.col("modified_at").alias("updated_at"), F.when(F.col("error").isNull(), content_hash(F.col("text"))).alias("content_hash"))
+    if t.exists("documents") and "content_hash" not in t.read("documents").columns:
+        t.write("documents", _hashed(t.read("documents")))
     t.upsert("documents", documents, ["document_id"])
     _settle(t, chunks, ids.select("document_id").distinct())
 
@@ -107,7 +116,7 @@ def _settle(t: Transaction, chunks: DataFrame, taken: DataFrame) -> None:
 def ingest(store: Store, files: DataFrame, project_id: str, chunker) -> dict[str, DataFrame]:
     """Documents, chunks and queue rows of extracted files (see ``files.read``), in one commit.
 
-    A document's id comes from project and path, so taking a file in again replaces it and its chunks.  Chunks whose content
+    A document's id comes from project and first path, so taking a file in again replaces it and its chunks.  Chunks whose content
     didn't change keep their vectors; the others lose them and are queued.  Of several rows of one path the last modified counts.
     """
     prepare(store.spark)

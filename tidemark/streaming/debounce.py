@@ -30,14 +30,15 @@ def bursts(events: DataFrame, gap_seconds: float = 1.0, bucket_seconds: int = 36
     """
     if bucket_seconds < gap_seconds:
         raise ValueError("a bucket holds one gap at least")
-    at = F.col("ts").cast("double")
-    rows = events.select("root", "src_path", "event_type", "ts").withColumn("bucket", F.floor(at / bucket_seconds))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    at, gap = micros("ts"), int(gap_seconds * 1_000_000)
+    rows = events.select("root", "src_path", "event_type", "ts").withColumn("bucket", F.floor(at / (bucket_seconds * 1_000_000)))
     here = Window.partitionBy("root", "bucket").orderBy("ts")
-    fresh = F.coalesce((at - F.lag(at).over(here) >= gap_seconds).cast("long"), F.lit(1))
+    fresh = F.coalesce((at - F.lag(at).over(here) >= gap).cast("long"), F.lit(1))
     rows = rows.withColumn("fresh", fresh).withColumn("local", F.sum("fresh").over(here.rangeBetween(Window.unboundedPreceding, 0)))
     edges = rows.groupBy("root", "bucket").agg(F.min("ts").alias("low"), F.max("ts").alias("high"), F.max("local").alias("bursts"))
     order = Window.partitionBy("root").orderBy("bucket")
-    goes_on = F.coalesce((F.col("low").cast("double") - F.lag(F.col("high").cast("double")).over(order) < gap_seconds).cast("long"), F.lit(0))
+    goes_on = F.coalesce((micros("low") - F.lag(micros("high")).over(order) < gap).cast("long"), F.lit(0))
     edges = edges.withColumn("goes_on", goes_on).withColumn("before", F.coalesce(F.sum(F.col("bursts") - F.col("goes_on")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     told = rows.join(edges.select("root", "bucket", "before", "goes_on"), ["root", "bucket"]).withColumn("burst", F.col("before") + F.col("local") - F.col("goes_on"))
     ends = told.groupBy("root", "burst").agg((F.max("ts") + F.make_dt_interval(secs=F.lit(gap_seconds))).alias("flushed_at"))
