@@ -14,10 +14,11 @@ other terms together could reach what the k-th chunk has by then.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize_cjk, tokenize_cjk_literal
@@ -189,45 +190,62 @@ class KeywordIndex:
         return self.store.read(f"{self.name}.stats").first().n if self.exists else 0
 
     def search(self, query: str, top_k: int = 20, threshold: float = 0.0, *, pad: bool = True) -> DataFrame:
-        """chunk_id, score, content: as ``keyword.search`` over the indexed chunks, in one lazy plan."""
+        """chunk_id, score, content: as ``keyword.search`` over the indexed chunks.
+
+        The blocks of the query's terms come to the driver first (a query's terms times some hundred classes times the segments, whose number
+        grows with the logarithm of the chunks), then one job scores the best of them; the rest is a lazy plan.
+        """
         t = self.store.begin()
         chunks = self._all(t, "chunks")
         wanted = Counter(self.literal(query))
         if not wanted:
             return chunks.select("chunk_id", F.lit(0.0).alias("score"), "content").limit(0)
         chunks = self._live(t, chunks)
-        blocks, postings = (self._all(t, part).where(F.col("term").isin(list(wanted))) for part in ("blocks", "postings"))
-        # one row a term of the query; the blocks of these terms are at most some hundred a term and segment
-        times = t.spark.createDataFrame(list(wanted.items()), "term string, times long")
-        stats = F.broadcast(t.read(f"{self.name}.stats"))
-        raw = F.log(F.col("size") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-        weights = blocks.groupBy("term").agg(F.sum("n").alias("df")).where("df > 0").crossJoin(stats.withColumnRenamed("n", "size"))
-        weights = weights.select("term", F.when(raw >= 0, raw).otherwise(keyword.EPSILON * F.col("mean_idf")).alias("idf"), "avgdl").join(F.broadcast(times), "term")
-        weights = F.broadcast(weights.select("term", (F.col("times") * F.col("idf")).alias("weight"), "avgdl"))
-        bounded = blocks.where("max_tf IS NOT NULL").join(weights, "term").withColumn("bound", _gain(F.col("max_tf"), F.col("min_dl")))
-        tops = bounded.groupBy("term").agg(F.max("bound").alias("top"), F.min("weight").alias("least"))
-        every = F.broadcast(tops.agg(F.sum("top").alias("all"), F.min("least").alias("least")))
-        bounded = bounded.join(F.broadcast(tops.select("term", "top")), "term").crossJoin(every)
-        before = F.sum("n").over(Window.partitionBy("term").orderBy(F.desc("bound"), "segment", "class").rowsBetween(Window.unboundedPreceding, -1))
-        first = bounded.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < _FIRST * top_k)
-        seen = self._scored(t, postings, first).orderBy(F.desc("score")).limit(top_k)
-        reached = seen.agg(F.when(F.count(F.lit(1)) == top_k, F.min("score")).alias("reached"))
-        # nothing is left out if weights can be negative, or if fewer than top_k chunks have been found
-        could = (F.col("least") < 0) | F.col("reached").isNull() | (F.col("reached") <= 0) | (F.col("bound") + F.col("all") - F.col("top") >= F.col("reached") - _SLACK)
-        found = self._scored(t, postings, bounded.crossJoin(F.broadcast(reached)).where(could)).select("chunk_id", F.round("score", 6).alias("score"))
-        if pad and threshold <= 0:
+        stats = t.read(f"{self.name}.stats").first()
+        blocks = self._all(t, "blocks").where(F.col("term").isin(list(wanted))).collect()
+        df: Counter = Counter()
+        for b in blocks:
+            df[b.term] += b.n
+        raw = {term: math.log(stats.n - n + 0.5) - math.log(n + 0.5) for term, n in df.items() if n > 0}
+        weight = {term: wanted[term] * (idf if idf >= 0 else keyword.EPSILON * stats.mean_idf) for term, idf in raw.items()}
+        bounded = [(b, _gain(weight[b.term], b.max_tf, b.min_dl, stats.avgdl)) for b in blocks if b.max_tf is not None and b.term in weight]
+        reached = self._reached(t, bounded, weight, stats.avgdl, top_k)
+        if reached is not None:
+            top: dict[str, float] = {}
+            for b, bound in bounded:
+                top[b.term] = max(top.get(b.term, 0.0), bound)
+            bounded = [(b, bound) for b, bound in bounded if bound + sum(top.values()) - top[b.term] >= reached - _SLACK]
+        found = self._scored(t, [b for b, _ in bounded], weight, stats.avgdl).select("chunk_id", F.round("score", 6).alias("score"))
+        if pad and threshold <= 0 and reached is None:
             # chunks without a term score 0: they count only if the others leave room, in order of chunk_id
             rest = chunks.select("chunk_id").join(found, "chunk_id", "left_anti").orderBy("chunk_id").limit(top_k)
             found = found.unionByName(rest.withColumn("score", F.lit(0.0)))
         best = found.where(F.col("score") >= threshold).orderBy(F.desc("score"), "chunk_id").limit(top_k)
         return chunks.select("chunk_id", "content").join(F.broadcast(best), "chunk_id").select("chunk_id", "score", "content").orderBy(F.desc("score"), "chunk_id")
 
-    def _scored(self, t: Transaction, postings: DataFrame, blocks: DataFrame) -> DataFrame:
+    def _reached(self, t: Transaction, bounded: list, weight: dict[str, float], avgdl: float, top_k: int) -> float | None:
+        """What ``top_k`` chunks have at least, by the best blocks of each term; None if nothing may be left out: all blocks are among the best,
+        too few chunks have been found, or a weight is negative."""
+        if min(weight.values(), default=0.0) < 0:
+            return None
+        first, held = [], Counter()
+        for b, _ in sorted(bounded, key=lambda x: (-x[1], x[0].segment, x[0]["class"])):
+            if held[b.term] < _FIRST * top_k:
+                first.append(b)
+                held[b.term] += b.n
+        if len(first) == len(bounded):
+            return None
+        seen = self._scored(t, first, weight, avgdl).orderBy(F.desc("score")).limit(top_k).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).first()
+        return seen.least if seen.n == top_k and seen.least > 0 else None
+
+    def _scored(self, t: Transaction, blocks: list, weight: dict[str, float], avgdl: float) -> DataFrame:
         """chunk_id, score from the postings of these blocks."""
-        read = postings.join(F.broadcast(blocks.select("segment", "term", "class", "weight", "avgdl")), ["segment", "term", "class"])
-        return self._live(t, read).groupBy("chunk_id").agg(F.sum(_gain(F.col("tf"), F.col("dl"))).alias("score"))
+        postings = self._all(t, "postings")
+        asked = t.spark.createDataFrame([(b.segment, b.term, b["class"], weight[b.term]) for b in blocks], "segment int, term string, class int, weight double")
+        read = postings.where(F.col("term").isin(sorted({b.term for b in blocks}))).join(F.broadcast(asked), ["segment", "term", "class"])
+        return self._live(t, read).groupBy("chunk_id").agg(F.sum(_gain(F.col("weight"), F.col("tf"), F.col("dl"), avgdl)).alias("score"))
 
 
-def _gain(tf: Column, dl: Column) -> Column:
+def _gain(weight, tf, dl, avgdl: float):
     k1, b = keyword.K1, keyword.B
-    return F.col("weight") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
+    return weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
