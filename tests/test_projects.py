@@ -84,3 +84,18 @@ def test_embed(spark):
     zero = [0.0, 0.0]
     assert got == {0: ("ok", [3.0, 1.0]), 1: ("zero", zero), 2: ("zero", zero), 3: ("failed", zero), 4: ("failed", zero), 5: ("zero", zero), 6: ("zero", zero), 7: ("failed", zero), 8: ("ok", [4000.0, 1.0])}
     assert tuple(embedding.statistics(out).first()) == (9, 2, 3, 4)
+
+
+def test_a_dead_service_is_asked_a_few_times_only(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def dead(texts):
+        with open(log, "a") as out:
+            out.write("x")
+        raise OSError("down")
+
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "id int, text string").coalesce(1)
+    out = embedding.embed(df, "text", dead, 2, group=5, attempts=2, wait=0.01)
+    rows = out.collect()
+    assert {r.embed_status for r in rows} == {"failed"} and len(log.read_text()) == 2 * embedding.MOST_DOWN
+    assert rows[-1].embed_error.startswith("not asked") and rows[0].embed_error.endswith("down")

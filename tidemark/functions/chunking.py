@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import prepare
+
 MAX_CHUNK = 4000
 
 # What ends a unit of meaning, and how strongly, in the order in which the rules are tried.
@@ -379,6 +381,7 @@ SCHEMA = "array<struct<content: string, start_char: long, start_line: long, end_
 
 def chunk(df: DataFrame, key: str, text: str, chunker) -> DataFrame:
     """key, chunk_index, content, start_char (-1: not known), start_line, end_line, symbols; null texts give no chunks."""
+    prepare(df.sparkSession)
 
     @F.pandas_udf(SCHEMA)
     def run(texts: pd.Series) -> pd.Series:

@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 Port = Callable[[list[str]], Sequence[Sequence[float] | None]]
 #: Longest text of a search and of the queue, in characters; texts of one call; seconds before another try, least and most.
 SEARCH_LENGTH, QUEUE_LENGTH, GROUP, LEAST_WAIT, MOST_WAIT = 8000, 4000, 10, 2.0, 10.0
+#: So many calls in a row that fail for the network's sake, each after all its attempts, and a task asks no more: the service is down.
+MOST_DOWN, DOWN = 3, "unreachable: "
 
 
 def call(port: Port, texts: list[str], attempts: int, wait: float) -> tuple[list, str | None]:
@@ -28,7 +30,7 @@ def call(port: Port, texts: list[str], attempts: int, wait: float) -> tuple[list
                 raise ValueError(f"{len(texts)} texts, {len(found)} vectors")
             return found, None
         except OSError as e:
-            error = f"{type(e).__name__}: {e}"
+            error = f"{DOWN}{type(e).__name__}: {e}"
             if turn + 1 < attempts:
                 time.sleep(min(wait * 2**turn, MOST_WAIT))
         except Exception as e:  # noqa: BLE001: a port may raise anything; the row says what
@@ -39,20 +41,31 @@ def call(port: Port, texts: list[str], attempts: int, wait: float) -> tuple[list
 def embed(df: DataFrame, column: str, port: Port, dim: int, most: int = QUEUE_LENGTH, group: int = GROUP, attempts: int = 3, wait: float = LEAST_WAIT) -> DataFrame:
     """``df`` with ``embedding`` (array of ``dim`` floats), ``embed_status`` and ``embed_error`` (200 characters at most).
 
-    If a group fails, its texts are asked for one by one, so that one bad text spoils no other.
+    If a group fails, its texts are asked for one by one, so that one bad text spoils no other.  After MOST_DOWN calls in a row that the network
+    failed, the rest of the task's texts are ``failed`` without being asked for, so a dead service costs seconds and not hours.
     """
     schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("embed_status", T.StringType()), T.StructField("embed_error", T.StringType())])
 
     def run(batches):
+        down = 0
+
+        def ask(some: list[str]) -> tuple[list, str | None]:
+            nonlocal down
+            if down >= MOST_DOWN:
+                return [None] * len(some), f"not asked: {down} calls in a row failed"
+            found, error = call(port, some, attempts, wait)
+            down = down + 1 if error is not None and error.startswith(DOWN) else 0
+            return found, error
+
         for batch in batches:
             texts = [(t or "").strip()[:most] for t in batch.column(column).to_pylist()]
             vectors, errors = [None] * len(texts), [None] * len(texts)
             full = [i for i, t in enumerate(texts) if t]
             for at in range(0, len(full), group):
                 some = full[at : at + group]
-                found, error = call(port, [texts[i] for i in some], attempts, wait)
+                found, error = ask([texts[i] for i in some])
                 if error and len(some) > 1:
-                    alone = [call(port, [texts[i]], attempts, wait) for i in some]
+                    alone = [ask([texts[i]]) for i in some]
                     found, failed = [f[0] for f, _ in alone], [e for _, e in alone]
                 else:
                     failed = [error] * len(some)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet
+from ..sources.store import latest
 from . import vectors as V
 
 
@@ -28,8 +29,8 @@ def centroids(vectors: DataFrame, key: str = "document_id") -> DataFrame:
 
 
 def search(summaries: DataFrame, vectors: DataFrame, query: list[float], top_k: int = 20, summary_top_k: int | None = None, chunks_per_doc: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(summaries found, chunks found).  One summary per document counts, so no document's chunks come twice."""
-    one = summaries.dropDuplicates(["document_id"]).withColumnRenamed("document_id", "vector_id")
+    """(summaries found, chunks found).  One summary per document counts (see ``latest``), so no document's chunks come twice."""
+    one = latest(summaries, ["document_id"]).withColumnRenamed("document_id", "vector_id")
     found = V.search(one, query, summary_top_k or min(5, top_k)).withColumnRenamed("vector_id", "document_id")
     ask = F.array(*[F.lit(float(x)) for x in query])
     # at most five documents: their ids are a broadcast of known size
@@ -41,4 +42,4 @@ def search(summaries: DataFrame, vectors: DataFrame, query: list[float], top_k:
 
 def with_summaries(hits: DataFrame, summaries: DataFrame) -> DataFrame:
     """Each hit with its document's summary text, or null."""
-    return hits.join(summaries.select("document_id", "summary").dropDuplicates(["document_id"]), "document_id", "left")
+    return hits.join(latest(summaries.select("document_id", "summary"), ["document_id"]), "document_id", "left")
