@@ -26,7 +26,7 @@ from .common import Scratch, slices
 from .decontaminate import words
 
 #: Bytes of text in a shard, and postings of a term in each tier but the last (the last has the rest).
-SHARD, TIERS = 8_000_000, (8, 64)
+SHARD, TIERS = 4_000_000, (8, 64)
 #: Bytes of query text that are broadcast at once; more are searched for in several rounds.
 MOST_ITEM_BYTES = 4 << 20
 _RAW = "doc_ids binary, sizes binary, terms array<binary>, df array<int>, docs binary, tf binary"
