@@ -1,4 +1,5 @@
-"""Comments of source code: Python by its own tokenizer and syntax tree, other languages by patterns."""
+"""Comments of source code: Python by its own tokenizer and syntax tree, languages with curly brackets by a lexer, others (and what the
+lexer finds to be in error) by patterns."""
 
 from __future__ import annotations
 
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import lexer
+
 # Suffix to language; how comments look.
 LANGUAGES = {
     ".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".c": "c", ".h": "c",
@@ -54,19 +57,61 @@ def python_comments(source: str) -> list[str]:
     return [c for c in docs + lines if c]
 
 
+def _blocks(source: str) -> list[str]:
+    out, at = [], source.find("/*")
+    while at >= 0 and (stop := source.find("*/", at + 2)) >= 0:
+        out.append(source[at : stop + 2])
+        at = source.find("/*", stop + 2)
+    return out
+
+
 def pattern_comments(source: str, language: str) -> list[str]:
     """Line comments, then block comments; those inside strings aren't told apart."""
     if language in _HASHES:
         found = map(_line, re.findall(r"#[^\n]*", source))
     elif language in _SLASHES:
-        found = [*map(_line, re.findall(r"//[^\n]*", source)), *map(_block, re.findall(r"/\*[\s\S]*?\*/", source))]
+        found = [*map(_line, re.findall(r"//[^\n]*", source)), *map(_block, _blocks(source))]
     else:
         found = []
     return [c for c in found if c.strip()]
 
 
+def _short(comment: str) -> str:
+    return comment[:500] + "..." if len(comment) > 500 else comment
+
+
+def _go(raw: str) -> str:
+    """Go's rules: lengths are bytes of UTF-8 (a character that the cut would split goes), bare reminders in capitals only."""
+    body = (raw[2:] if raw.startswith("//") else raw[2:-2]).strip()
+    lines = (line.strip().removeprefix("*").strip() for line in body.split("\n"))
+    kept = [x for x in lines if len(x.encode()) >= 3 and not re.fullmatch(r"[-=_\s*]+|(?:TODO|FIXME)[:\s]*", x)]
+    out = "\n".join(kept).encode()
+    return out[:500].decode(errors="ignore") + "..." if len(out) > 500 else out.decode()
+
+
+def lexed_comments(source: str, language: str) -> list[str]:
+    """Scripts: in the order of the source, blocks of at most 500 characters. Java, C and C++: line comments, then blocks. Go: the package's
+    comments first and marked so, each text once. Source with an error in a literal is left to the patterns."""
+    found = lexer.lex(source, language)
+    if language == "go":
+        if found is None:
+            lines, blocks = re.findall(r"//[^\n]*", source), _blocks(source)
+            return list(dict.fromkeys(filter(None, map(_go, lines + blocks))))
+        package = list(dict.fromkeys(filter(None, (_go(raw) for _, raw, _ in lexer.package_comments(source, found)))))
+        rest = dict.fromkeys(filter(None, (_go(raw) for _, raw, _ in found)))
+        return [f"[Package] {c}" for c in package] + [c for c in rest if c not in set(package)]
+    if found is None:
+        return pattern_comments(source, language)
+    clean = {"line": _line, "block": _block}
+    if language in ("java", "c", "cpp"):
+        return [c for kind in clean for k, raw, _ in found if k == kind and (c := clean[kind](raw))]
+    return [c for k, raw, _ in found if (c := _short(_block(raw)) if k == "block" else _line(raw))]
+
+
 def of(source: str, language: str) -> list[str]:
-    return python_comments(source) if language == "python" else pattern_comments(source, language)
+    if language == "python":
+        return python_comments(source)
+    return lexed_comments(source, language) if language in lexer.LANGUAGES else pattern_comments(source, language)
 
 
 def as_markdown(name: str, comments: list[str]) -> str:

@@ -713,6 +713,37 @@ def boundary_moves(t: Tables) -> DataFrame:
     return watch.across_boundary(events, user > F.col("event_id"), F.col("event_id") % 2 == 0).select("event_id", "src_path", "event_type")
 
 
+_NOTE = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'))"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {_NOTE} AS note, coalesce(lang, '') || ' of ' || coalesce(source, '') AS b, 'last ' || doc_id AS z,
+             (['javascript', 'typescript', 'java', 'c', 'go'])[CAST(doc_id % 5 AS INTEGER) + 1] AS language FROM documents),
+n AS (SELECT *, CASE WHEN length(note) < 3 OR lower(note) IN ('todo', 'fixme') AND (language <> 'go' OR note IN ('TODO', 'FIXME')) THEN NULL
+             WHEN language = 'go' THEN '[Package] ' || CASE WHEN length(note) > 500 THEN left(note, 500) || '...' ELSE note END ELSE note END AS c FROM d)
+SELECT doc_id, language, CASE WHEN language IN ('java', 'c') THEN concat_ws(' | ', c, z, b) WHEN language = 'go' THEN concat_ws(' | ', c, b, z) ELSE concat_ws(' | ', b, c, z) END AS comments,
+       CAST(2 + (c IS NOT NULL)::INT AS INTEGER) AS n FROM n""")
+def comment_lexer(t: Tables) -> DataFrame:
+    """Each document as a source file of one of five languages, its words in comments and, between marks of comments, in literals."""
+    note = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))
+    of = F.concat(F.coalesce("lang", F.lit("")), F.lit(" of "), F.coalesce("source", F.lit("")))
+    names = ["javascript", "typescript", "java", "c", "go"]
+    literals = {
+        "javascript": ["s = `// ", " ${ '/* no' + `${ \"//\" }` } */`; if (s) /[/'\"`]\\/* no/.test(s / 2 / 3);"],
+        "typescript": ["const s: string = '// ", " /* no'; const t = { u: s } / 2; v = s as `/*${string}`;"],
+        "java": ['String s = """\n// ', ' \\""" /* no\n"""; char q = \'"\';'],
+        "c": ['char *s = "// ', ' \\" /* no"; char q = \'"\'; int r = q / *p;'],
+        "go": ["var s = `// ", " \n/* no \\`"],
+    }
+    rows = t.documents.select("doc_id", note.alias("note"), of.alias("b"), F.element_at(F.array(*map(F.lit, names)), (F.col("doc_id") % 5 + 1).cast("int")).alias("language"))
+    literal = F.coalesce(*[F.when(F.col("language") == k, F.concat(F.lit(a), "note", F.lit(z))) for k, (a, z) in literals.items()])
+    last = F.concat(F.lit("\n// last "), "doc_id", F.lit("\n"))
+    plain = F.concat(F.lit("/* "), "b", F.lit(" */\n// "), "note", F.lit("\n"), literal, last)
+    go = F.concat(F.lit("// "), "note", F.lit("\npackage p\n/* "), "b", F.lit(" */\n"), literal, F.lit("\n// "), "note", last)
+    found = rows.select("doc_id", "language", comments.extract(F.when(F.col("language") == "go", go).otherwise(plain), F.col("language")).alias("found"))
+    return found.select("doc_id", "language", F.array_join("found", " | ").alias("comments"), F.size("found").alias("n"))
+
+
 # --- procedural operators (tests hold them against plain loops) ---------------------------------------------------------
 
 
