@@ -19,7 +19,7 @@ from ..operators.keyword_index import KeywordIndex
 from ..session import prepare, shared_folder
 from ..sources.ingest import content_hash, queue_state, with_state
 from ..sources.store import Store, latest
-from ..streaming import debounce, watch
+from ..streaming import debounce, registry, watch
 from .search import Collection, SearchRequest, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -713,6 +713,48 @@ def boundary_moves(t: Tables) -> DataFrame:
     return watch.across_boundary(events, user > F.col("event_id"), F.col("event_id") % 2 == 0).select("event_id", "src_path", "event_type")
 
 
+_WATCH_ROWS = """
+r AS (SELECT 'p' || user_id AS project_id, ts AS tm, CASE WHEN event_id % 7 = 0 THEN 'remove' WHEN event_type = 'signup' THEN 'add' WHEN event_type = 'error' THEN 'pause' WHEN event_type = 'purchase' THEN 'resume' ELSE 'measure' END AS kind,
+           event_id % 200 + CASE WHEN event_id % 3 = 0 THEN 11 ELSE 2 END AS chunks, event_id % 200 AS points, CASE WHEN event_id % 5 = 0 THEN 0 ELSE event_id % 200 END AS indexed FROM events),
+s AS (SELECT *, coalesce(sum(CAST(kind = 'remove' AS INT)) OVER (PARTITION BY project_id ORDER BY tm, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spell FROM r),
+w AS (SELECT *, coalesce(bool_or(kind = 'add') OVER p, false) AS watched FROM s WINDOW p AS (PARTITION BY project_id, spell ORDER BY tm, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+j AS (SELECT *, coalesce(last_value(CASE WHEN watched AND kind IN ('pause', 'resume') THEN kind END IGNORE NULLS) OVER p = 'pause', false) AS paused FROM w WINDOW p AS (PARTITION BY project_id, spell ORDER BY tm, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, CASE kind WHEN 'add' THEN NOT watched WHEN 'remove' THEN watched WHEN 'pause' THEN watched AND NOT paused ELSE watched AND paused END AS ok FROM j WHERE kind <> 'measure'),
+a AS (SELECT * FROM (SELECT *, lead(tm) OVER (PARTITION BY project_id ORDER BY tm, kind) AS e FROM c WHERE ok) WHERE kind IN ('add', 'resume')),
+until AS (SELECT max(ts) AS u FROM events)"""
+
+
+def _watch_rows(t: Tables) -> DataFrame:
+    n, kind = F.col("event_id"), F.when(F.col("event_id") % 7 == 0, "remove").when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "pause").when(F.col("event_type") == "purchase", "resume").otherwise("measure")
+    points = (n % 200).alias("points")
+    return t.events.select(F.concat(F.lit("p"), "user_id").alias("project_id"), kind.alias("kind"), F.col("ts").alias("at"), (n % 200 + F.when(n % 3 == 0, 11).otherwise(2)).alias("chunks"), points, F.when(n % 5 == 0, 0).otherwise(n % 200).alias("indexed"))
+
+
+@query(f"""
+WITH {_WATCH_ROWS},
+d AS (SELECT project_id, spell, 'health' AS kind, unnest(generate_series(tm + INTERVAL 1 HOUR, coalesce(e - INTERVAL 1 MICROSECOND, u), INTERVAL 1 HOUR)) AS tm FROM a, until
+      UNION ALL SELECT project_id, spell, 'consistency', unnest(generate_series(tm + INTERVAL 24 HOUR, coalesce(e - INTERVAL 1 MICROSECOND, u), INTERVAL 24 HOUR)) FROM a, until),
+m AS (SELECT d.project_id, d.kind, d.tm, x.points, x.indexed, x.chunks FROM d ASOF LEFT JOIN (SELECT * FROM j WHERE kind = 'measure' AND watched) x ON d.project_id = x.project_id AND d.spell = x.spell AND d.tm >= x.tm),
+f AS (SELECT *, concat_ws('; ', CASE WHEN points > 100 AND indexed = 0 THEN project_id || ': ' || points || ' points, none indexed' END,
+                          CASE WHEN abs(chunks - points) > 0.05e0 * greatest(chunks, points) THEN project_id || ': ' || chunks || ' chunks, ' || points || ' points' END) AS alarms FROM m)
+SELECT project_id, kind, tm AS "at", ok, CASE WHEN NOT ok THEN project_id || CASE kind WHEN 'add' THEN ' is already watched' WHEN 'remove' THEN ' is not watched' WHEN 'pause' THEN ' is not watched, or paused' ELSE ' is not paused' END END AS message FROM c
+UNION ALL SELECT project_id, kind, tm, CASE WHEN kind = 'consistency' THEN true WHEN points IS NOT NULL THEN alarms = '' END,
+  CASE WHEN kind = 'consistency' THEN 'scan ' || project_id WHEN points IS NULL THEN 'not measured' WHEN alarms <> '' THEN alarms END FROM f""")
+def watch_history(t: Tables) -> DataFrame:
+    """The watch registry's whole history: commands taken or refused, hourly health checks and daily scans while a project is watched."""
+    end = t.events.agg(F.max("ts")).first()[0]
+    return registry.history(_watch_rows(t), F.lit(end), 3600, 24 * 3600)
+
+
+@query(f"""
+WITH {_WATCH_ROWS}
+SELECT project_id, CASE WHEN kind = 'pause' THEN 'paused' ELSE 'active' END AS state, tm AS since
+FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY tm DESC, kind DESC) AS n FROM c WHERE ok) WHERE n = 1 AND kind <> 'remove'""")
+def watch_registry(t: Tables) -> DataFrame:
+    """Which projects are watched, or paused, and since when."""
+    return registry.standing(_watch_rows(t))
+
+
 _NOTE = "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'))"
 
 
