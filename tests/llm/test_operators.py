@@ -320,6 +320,10 @@ def test_decontamination(spark, docs, rows, empty, monkeypatch, most):
     assert clean.columns == docs.columns and clean.count() == sum(not w[5] for w in want)
     cut = decontaminate(spark, docs, bench, 10, "span")
     assert cut.count() == len(rows) and contamination(spark, cut.where("doc_id = 0"), bench, 10).first().n_words == 0
+    texts = {(r.doc_id, r.text) for r in cut.collect()}
+    for i, t in rows:  # all hits are found in the text as it came, then cut
+        n, hit, _, _ = brute_hits(t, items, 10)
+        assert any(a == i and len(words(b)) == n - hit and (t is None) == (b is None) for a, b in texts)
     assert contamination(spark, empty, bench).count() == 0 and contamination(spark, docs, bench.limit(0)).where("contaminated").count() == 0
 
 

@@ -135,6 +135,24 @@ def test_windows_of_items_and_cutting():
     assert D.cut("q, a - b; c d. z", np.asarray([False, True, True, False, False, False])) == "q, ; c d. z"
 
 
+def test_windows_with_colliding_hashes(monkeypatch):
+    monkeypatch.setattr(D, "window_hashes", lambda ids, size: np.full(max(0, len(ids) - size + 1), 7, np.uint64))
+    found = D.WindowSet([(1, "a b c a b"), (2, "b c a"), (3, "c b"), (1, "a b c")], 3)
+    ids = found.ids(D.words("a b c b b c a"))
+    hit, items = D.find(ids, np.zeros(len(ids), np.int64), found)
+    assert hit.tolist() == [True] * 7 and items[0] == {1, 2, 3}  # c b stands in the middle
+
+
+def test_pieces_have_all_windows():
+    rng = np.random.default_rng(1)
+    for size in (1, 5, 300):
+        text = " ".join(str(x) for x in rng.integers(0, 50, size))
+        every = {tuple(D.words(text)[k : k + 4]) for k in range(max(1, size - 3))}
+        cut = D.pieces(text, 4, 40)
+        assert {tuple(w[k : k + 4]) for p in cut for w in [D.words(p)] for k in range(max(1, len(w) - 3))} == every
+        assert size < 300 or (len(cut) > 20 and max(map(len, cut)) < 80)
+
+
 def test_digest_array_confirms_strings(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda k: len(k))  # every key of a length collides
     (tmp_path / "d").write_bytes(url_filter.DigestArray.build([(b"aa", True), (b"bb", False), (b"bb", True), (b"c", False)]))
