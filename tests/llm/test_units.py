@@ -244,3 +244,21 @@ def test_likeness_brings_related_documents_together():
     agree = [any(x == y for x, y in zip(packing.likeness(a), packing.likeness(b))) for a, b in zip(base, near)]
     apart = [any(x == y for x, y in zip(packing.likeness(a), packing.likeness(b))) for a, b in zip(base, base[1:])]
     assert np.mean(agree) > 0.9 and np.mean(apart) < 0.05
+
+
+def test_lines_without_places(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.line_dedup import without
+
+    rng = np.random.default_rng(3)
+    rows = [(0, "a", [0]), (1, "a\nb\nc", [1]), (2, "a\nb\nc", [2, 0]), (3, "a\nb", []), (4, "\n\n", [1])]
+    for k in range(30):
+        lines = [str(x) for x in rng.integers(0, 9, int(rng.integers(1, 40)))]
+        rows.append((10 + k, "\n".join(lines), [int(x) for x in rng.permutation(len(lines))[: rng.integers(0, len(lines) + 1)]]))
+    rows.append((99, "\n".join(map(str, range(200_000))), list(range(0, 200_000, 2))))  # half of very many
+    df = spark.createDataFrame(rows, "id int, text string, cut array<int>")
+    got = {r.id: r.kept for r in df.select("id", without(F.split("text", "\n"), F.col("cut")).alias("kept")).collect()}
+    for i, text, cut in rows:
+        gone = set(cut)
+        assert got[i] == [x for k, x in enumerate(text.split("\n")) if k not in gone]

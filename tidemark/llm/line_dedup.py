@@ -199,6 +199,18 @@ def line_components(scratch: Scratch, lines: DataFrame, k: int, similarity: floa
     return grouped.where("n > 1 OR component IS NOT NULL").select("k1", "k2", F.coalesce("component", "id").alias("part"))
 
 
+def without(lines: Column, places: Column) -> Column:
+    """An array without its elements at the given places (from 0, each once): the runs between them, so that the work grows with the array's length."""
+
+    def rest(s: Column) -> Column:
+        begin = lambda j: F.when(j == 0, 1).otherwise(F.get(s["at"], j - 1) + 2)
+        end = lambda j: F.coalesce(F.get(s["at"], j), F.size(s["all"]))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(s["at"])), lambda j: F.slice(s["all"], begin(j), end(j) - begin(j) + 1)))
+
+    # bound as one element, both arrays are made once and not for each run
+    return F.get(F.transform(F.array(F.struct(lines.alias("all"), F.array_sort(places).alias("at"))), rest), F.lit(0))
+
+
 def line_dedup(
     spark: SparkSession,
     docs: DataFrame,
@@ -242,7 +254,7 @@ def line_dedup(
     other = cuts.select(F.col("doc").alias(doc), F.col("tag").alias(tag), F.col("cut").alias(cut))
     out = marked.where(F.col(touched)).join(other, [doc, tag], "left").unionByName(marked.where(~F.col(touched)).withColumn(cut, F.lit(None).cast("array<int>")))
     old = F.split("text", "\n")
-    new = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(F.filter(old, lambda x, i: ~F.array_contains(F.col(cut), i)), "\n"))
+    new = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(without(old, F.col(cut)), "\n"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     columns = [(new if c == "text" else F.col(f"`{c}`")).alias(c) for c in names]
     out = out.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(F.size(old)).cast("long").alias("n_lines"), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_removed"))
