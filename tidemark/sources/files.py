@@ -179,7 +179,7 @@ def code_comments(spark: SparkSession, folder: str) -> DataFrame:
 
 def with_statistics(files: DataFrame) -> tuple[DataFrame, Observation]:
     """(the same rows, what will be known once they have been computed): total, parsed, failed, characters, of the run itself and not of
-    another pass over the files."""
+    another pass over the files. Write the rows as they come: a sort after this may run its input twice and count double."""
     seen = Observation()
     counts = [F.count(F.lit(1)).alias("total"), F.count_if(F.col("error").isNull()).alias("parsed"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters")]
     return files.observe(seen, *counts), seen
