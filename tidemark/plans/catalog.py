@@ -13,10 +13,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import chunking, comments, ignore, markup, paths, text
-from ..operators import export, fusion, hierarchical, keyword, moves, projects, upkeep
+from ..operators import export, folders, fusion, hierarchical, keyword, moves, projects, summaries, upkeep
 from ..operators import vectors as V
 from ..operators.keyword_index import KeywordIndex
 from ..session import prepare, shared_folder
+from ..sources import uploads
 from ..sources.ingest import content_hash, queue_state, with_state
 from ..sources.store import Store, latest
 from ..streaming import debounce, registry, watch
@@ -307,6 +308,22 @@ def summary_prompts(t: Tables) -> DataFrame:
     return hierarchical.summary_prompt(t.turns)
 
 
+@query("""
+WITH p AS (SELECT conv_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (turn < 10), '') AS p FROM conversations GROUP BY conv_id),
+now AS (SELECT conv_id, sha256(CASE WHEN length(p) > 4000 THEN left(p, 4000) || '...' ELSE p END) AS h FROM p),
+old AS (SELECT l.doc_id, CASE WHEN l.quality = 1 THEN now.h ELSE 'old' END AS h, toxic = 1 AS stand_in FROM labels l LEFT JOIN now ON now.conv_id = l.doc_id)
+SELECT coalesce(now.conv_id, old.doc_id) AS document_id,
+  CASE WHEN now.conv_id IS NULL THEN 'gone' WHEN old.doc_id IS NULL THEN 'new' WHEN now.h IS DISTINCT FROM old.h OR old.stand_in THEN 'changed' ELSE 'kept' END AS change
+FROM now FULL JOIN old ON now.conv_id = old.doc_id""")
+def summary_changes(t: Tables) -> DataFrame:
+    """Stored summaries are those of the rated rows: good ones hold the present prompt, the others an older one, toxic ones stand in for a failed one."""
+    now = summaries.sources(t.turns)
+    held = t.labels.join(now.select(F.col("document_id").alias("doc_id"), "source_hash"), "doc_id", "left")
+    digest = F.when(F.col("quality") == 1, F.col("source_hash")).otherwise("old")
+    stored = held.select(F.col("doc_id").alias("document_id"), digest.alias("source_hash"), F.when(F.col("toxic") == 1, "failed").otherwise("ok").alias("summary_status"))
+    return summaries.changes(now, stored)
+
+
 # --- projects and documents ---------------------------------------------------------------------------------------------
 
 
@@ -375,6 +392,29 @@ def hit_projection(t: Tables) -> DataFrame:
     return projects.hit_fields(hits, payload).select("chunk_id", "score", "content", "document_id", "filename")
 
 
+@query("""
+WITH f AS (SELECT source, lang, n_chars, doc_id FROM documents),
+up AS (SELECT '' AS folder, n_chars, doc_id FROM f UNION ALL SELECT source, n_chars, doc_id FROM f UNION ALL SELECT source || '/' || lang, n_chars, doc_id FROM f)
+SELECT folder, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes, max(n_chars) AS largest, max(doc_id) AS newest FROM up GROUP BY folder""")
+def folder_sizes(t: Tables) -> DataFrame:
+    path = F.concat_ws("/", F.lit(""), "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    return folders.sizes(t.documents.select(path.alias("path"), F.col("n_chars").alias("size"), F.col("doc_id").alias("modified_at")))
+
+
+_ABOUT = """(SELECT doc_id, CASE lang WHEN 'de' THEN '{"source": "' || source || '"' WHEN 'fr' THEN '["' || source || '"]' ELSE ' {"source": "' || source || '", "n": ' || n_chars || ', "more": {"lang": "' || lang || '"}}' END AS about FROM documents)"""
+
+
+@query(f"""
+SELECT doc_id, CAST(CASE WHEN ok THEN len(json_keys(about)) ELSE 0 END AS BIGINT) AS members, CASE WHEN ok THEN about->>'$.source' END AS source, CASE WHEN ok THEN CAST(about->>'$.n' AS BIGINT) END AS n
+FROM (SELECT doc_id, CASE WHEN json_valid(about) THEN about ELSE '{{}}' END AS about, json_valid(about) AND json_type(CASE WHEN json_valid(about) THEN about ELSE '{{}}' END) = 'OBJECT' AS ok FROM {_ABOUT})""")
+def upload_metadata(t: Tables) -> DataFrame:
+    """What is told of an upload: German documents have broken JSON, French ones an array, the others an object."""
+    whole = F.format_string(' {"source": "%s", "n": %d, "more": {"lang": "%s"}}', "source", "n_chars", "lang")
+    about = F.when(F.col("lang") == "de", F.format_string('{"source": "%s"', "source")).when(F.col("lang") == "fr", F.format_string('["%s"]', "source")).otherwise(whole)
+    told = t.documents.select("doc_id", uploads.metadata(about).alias("m"))
+    return told.select("doc_id", F.size("m").cast("long").alias("members"), F.col("m")["source"].alias("source"), F.col("m")["n"].cast("long").alias("n"))
+
+
 # --- coverage and consistency -------------------------------------------------------------------------------------------
 
 
@@ -395,19 +435,29 @@ def missing_vectors(t: Tables) -> DataFrame:
     return upkeep.missing(t.documents.select(F.col("doc_id").alias("vector_id")), t.vectors)
 
 
-@query("SELECT vec_id AS vector_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+@query("""
+SELECT 'missing' AS kind, doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT vec_id * 3 FROM embeddings)
+UNION ALL SELECT 'orphan' AS kind, vec_id * 3 AS chunk_id FROM embeddings WHERE vec_id * 3 NOT IN (SELECT doc_id FROM documents)""")
+def payload_gaps(t: Tables) -> DataFrame:
+    """Missing and orphaned by the chunk_id that a vector's payload holds, which isn't the vector's own id."""
+    payload = t.embeddings.select((F.col("vec_id") * 3).alias("chunk_id"))
+    lacking = upkeep.missing(t.chunks.select("chunk_id"), payload, "chunk_id").select(F.lit("missing").alias("kind"), "chunk_id")
+    return lacking.unionAll(upkeep.orphans(payload, t.chunks.select("chunk_id"), "chunk_id").select(F.lit("orphan").alias("kind"), "chunk_id"))
+
+
+@query("SELECT vec_id AS vector_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
 def orphan_vectors(t: Tables) -> DataFrame:
-    return upkeep.orphans(t.vectors, t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("vector_id"))).select("vector_id", "label")
+    return upkeep.orphans(t.vectors, t.labels.select(F.col("doc_id").alias("vector_id"))).select("vector_id", "label")
 
 
-@query("SELECT vec_id AS vector_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+@query("SELECT vec_id AS vector_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)")
 def valid_vectors(t: Tables) -> DataFrame:
-    return upkeep.valid(t.vectors, t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("vector_id"))).select("vector_id")
+    return upkeep.valid(t.vectors, t.labels.select(F.col("doc_id").alias("vector_id"))).select("vector_id")
 
 
 _VERDICT = """
 db AS (SELECT 'p' || (doc_id % 10) AS project_id, count(*) AS n FROM documents GROUP BY 1),
-vec AS (SELECT 'p' || label AS project_id, count(*) * 2 AS n FROM embeddings WHERE label < 9 GROUP BY 1),
+vec AS (SELECT 'p' || label AS project_id, count(*) * 2 AS n FROM embeddings GROUP BY 1),
 counts AS (SELECT coalesce(db.project_id, vec.project_id) AS project_id, coalesce(db.n, 0) AS db_count, coalesce(vec.n, 0) AS vector_count FROM db FULL JOIN vec USING (project_id)),
 verdicts AS (SELECT project_id, db_count, vector_count, greatest(db_count - vector_count, 0) AS missing, greatest(vector_count - db_count, 0) AS orphan,
   CASE WHEN db_count > vector_count THEN 'sync_missing' WHEN vector_count > db_count THEN 'clean_orphans' ELSE 'none' END AS action,
@@ -416,7 +466,7 @@ verdicts AS (SELECT project_id, db_count, vector_count, greatest(db_count - vect
 
 def _verdicts(t: Tables) -> DataFrame:
     chunks = t.documents.select(F.concat(F.lit("p"), F.pmod("doc_id", F.lit(10)).cast("string")).alias("project_id"))
-    vectors = t.embeddings.where("label < 9").select(F.concat(F.lit("p"), F.col("label").cast("string")).alias("project_id"))
+    vectors = t.embeddings.select(F.concat(F.lit("p"), F.col("label").cast("string")).alias("project_id"))
     return upkeep.verdict(chunks, vectors.unionAll(vectors))
 
 
@@ -488,9 +538,9 @@ def failed_by_project(t: Tables) -> DataFrame:
     return failed.groupBy("project_id").agg(F.count(F.lit(1)).alias("failed")).orderBy(F.desc("failed"), "project_id")
 
 
-@query(f"SELECT q.chunk_id, q.retry_count, coalesce(d.source, 'unknown') AS filename FROM {_QUEUE} q LEFT JOIN documents d ON d.doc_id = q.chunk_id AND d.doc_id % 2 = 0 WHERE q.status = 'failed' ORDER BY q.retry_count DESC, q.chunk_id LIMIT 30")
+@query(f"SELECT q.chunk_id, q.retry_count, coalesce(d.source, 'unknown') AS filename FROM {_QUEUE} q LEFT JOIN (SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)) d ON d.doc_id = q.chunk_id WHERE q.status = 'failed' ORDER BY q.retry_count DESC, q.chunk_id LIMIT 30")
 def failed_list(t: Tables) -> DataFrame:
-    names = t.chunks.where("chunk_id % 2 = 0").select("chunk_id", F.col("project_id").alias("filename"))
+    names = t.linked.where("vector_id IS NOT NULL").select("chunk_id", F.col("project_id").alias("filename"))
     joined = t.queue.where("status = 'failed'").join(names, "chunk_id", "left").select("chunk_id", "retry_count", F.coalesce("filename", F.lit("unknown")).alias("filename"))
     return joined.orderBy(F.desc("retry_count"), "chunk_id").limit(30)
 
@@ -548,13 +598,35 @@ def export_document(t: Tables) -> DataFrame:
 
 @query("""
 WITH each AS (SELECT 'p' || (conv_id % 5) AS project_id, conv_id, lpad(CAST(conv_id AS VARCHAR), 8, '0') AS filename,
-    string_agg('[片段 ' || (turn + 1) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations WHERE conv_id % 7 <> 0 GROUP BY conv_id)
+    string_agg('[片段 ' || (turn + 1) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS body FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY conv_id)
 SELECT project_id, string_agg('# ' || filename || chr(10) || chr(10) || body, chr(10) || chr(10) ORDER BY filename) AS text FROM each GROUP BY project_id""")
 def export_project(t: Tables) -> DataFrame:
-    ids = t.conversations.select("conv_id").distinct()
-    status = F.when(F.pmod("conv_id", F.lit(7)) != 0, "completed").otherwise("failed")
-    documents = ids.select(F.col("conv_id").alias("document_id"), F.concat(F.lit("p"), F.pmod("conv_id", F.lit(5)).cast("string")).alias("project_id"), F.lpad(F.col("conv_id").cast("string"), 8, "0").alias("filename"), status.alias("status"))
-    return export.project_text(t.turns, documents)
+    return export.project_text(t.turns, _conversation_documents(t))
+
+
+@query("""
+SELECT 'p' || (conv_id % 5) AS project_id, lpad(CAST(conv_id AS VARCHAR), 8, '0') AS filename, conv_id AS document_id,
+  '# ' || lpad(CAST(conv_id AS VARCHAR), 8, '0') || chr(10) || chr(10) || string_agg('[片段 ' || (turn + 1) || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS text
+FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY conv_id""")
+def export_project_rows(t: Tables) -> DataFrame:
+    return export.project_rows(t.turns, _conversation_documents(t))
+
+
+def _conversation_documents(t: Tables) -> DataFrame:
+    """Conversations as documents of five projects; those rated toxic have failed."""
+    ids = t.conversations.select(F.col("conv_id").alias("document_id")).distinct()
+    toxic = t.labels.where("toxic = 1").select(F.col("doc_id").alias("document_id"), F.lit("failed").alias("failed")).distinct()
+    named = ids.join(toxic, "document_id", "left")
+    project = F.concat(F.lit("p"), F.pmod("document_id", F.lit(5)).cast("string"))
+    return named.select("document_id", project.alias("project_id"), F.lpad(F.col("document_id").cast("string"), 8, "0").alias("filename"), F.coalesce("failed", F.lit("completed")).alias("status"))
+
+
+@query("""
+SELECT 'p' || (conv_id % 5) AS project_id, lpad(CAST(conv_id AS VARCHAR), 8, '0') AS filename, conv_id AS document_id, count(*) AS chunks,
+  to_json(list({'chunk_index': turn, 'content': text} ORDER BY turn)) AS json
+FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY conv_id""")
+def export_project_json(t: Tables) -> DataFrame:
+    return export.project_json(t.turns, _conversation_documents(t))
 
 
 # --- events -------------------------------------------------------------------------------------------------------------
@@ -584,11 +656,11 @@ def debounce_coalesced(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT doc_id AS path, doc_id % 11 AS modified_at FROM documents WHERE doc_id % 4 <> 0), d AS (SELECT doc_id AS path, doc_id % 7 AS updated_at FROM labels)
+WITH f AS (SELECT vec_id AS path, vec_id % 11 AS modified_at FROM embeddings), d AS (SELECT doc_id AS path, doc_id % 7 AS updated_at FROM labels)
 SELECT coalesce(f.path, d.path) AS path, CASE WHEN d.path IS NULL THEN 'created' WHEN f.path IS NULL THEN 'deleted' WHEN f.modified_at > d.updated_at THEN 'updated' ELSE 'unchanged' END AS change
 FROM f FULL JOIN d ON f.path = d.path""")
 def sync_classify(t: Tables) -> DataFrame:
-    files = t.documents.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("path"), (F.col("doc_id") % 11).alias("modified_at"))
+    files = t.embeddings.select(F.col("vec_id").alias("path"), (F.col("vec_id") % 11).alias("modified_at"))
     return upkeep.classify(files, t.labels.select(F.col("doc_id").alias("path"), (F.col("doc_id") % 7).alias("updated_at")))
 
 

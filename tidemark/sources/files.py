@@ -6,8 +6,11 @@
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
+import subprocess
+import tempfile
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable
@@ -122,6 +125,64 @@ def extract(data: bytes, doc_type: str, name: str = "", ports: dict[str, Callabl
     return decode(data)
 
 
+def paged(pages_of: Callable[[bytes], list[str | None]]) -> Callable[[bytes, str], str]:
+    """A port from a function that gives a file's pages: those with text, an empty line between; a file without any text is an error."""
+
+    def port(data: bytes, name: str) -> str:
+        text = "\n\n".join(t for t in (p.strip() for p in pages_of(data) if p) if t)
+        if not text:
+            raise ValueError(f"no text found in {name}")
+        return text
+
+    return port
+
+
+def command(argv: list[str], timeout: float = 120.0, suffix: str = ".pdf") -> Callable[[bytes, str], str]:
+    """A port that runs a program on a file: ``argv`` and the path of a copy in the task's own folder, which goes afterwards.
+
+    The last line of the output that is a JSON object counts: its ``text``, or its ``error`` as an error.  Other lines are the
+    program's talk.  A program that takes longer than ``timeout`` seconds is stopped, which is an error as well.
+    """
+
+    def port(data: bytes, name: str) -> str:
+        with tempfile.TemporaryDirectory() as folder:
+            path = os.path.join(folder, f"input{suffix}")
+            with open(path, "wb") as f:
+                f.write(data)
+            try:
+                done = subprocess.run([*argv, path], capture_output=True, timeout=timeout, check=False)
+            except subprocess.TimeoutExpired:
+                raise ValueError(f"{name}: the parser took over {timeout:g} seconds") from None
+        for line in reversed(done.stdout.decode("utf-8", "replace").splitlines()):
+            try:
+                answer = json.loads(line)
+            except ValueError:
+                continue
+            if isinstance(answer, dict):
+                if answer.get("error"):
+                    raise ValueError(f"{name}: {answer['error']}")
+                if not str(answer.get("text") or "").strip():
+                    raise ValueError(f"no text found in {name}")
+                return str(answer["text"])
+        raise ValueError(f"{name}: exit {done.returncode} without a result: {done.stderr.decode('utf-8', 'replace').strip()[-100:]}")
+
+    return port
+
+
+def first_of(*ports: Callable[[bytes, str], str]) -> Callable[[bytes, str], str]:
+    """A port that asks others in turn until one gives a text; the last one's error is told."""
+
+    def port(data: bytes, name: str) -> str:
+        for p in ports[:-1]:
+            try:
+                return p(data, name)
+            except Exception:  # noqa: BLE001, S112: a parser may raise anything; the next is asked
+                continue
+        return ports[-1](data, name)
+
+    return port
+
+
 def listing(spark: SparkSession, folder: str, pattern: str | None = None, recursive: bool = True) -> DataFrame:
     """path, size, modified_at of the files of a folder; contents aren't read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
