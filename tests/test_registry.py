@@ -97,3 +97,16 @@ def test_checks_as_a_stream(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert sorted(got, key=str) == simulated(rows, far - timedelta(seconds=30), 5, 20)
+
+
+def test_tasks_grow_with_the_rows_and_checks_are_not_sorted(spark, monkeypatch):
+    rows, until = some_rows(200, 5)
+    frame = spark.createDataFrame(rows, ROWS)
+    alike = sorted([tuple(r) for r in registry.history(frame, F.lit(until), 20, 60).collect()], key=str)
+    monkeypatch.setattr(registry, "_TASK_ROWS", 4)
+    out = registry.history(frame, F.lit(until), 20, 60)
+    assert sorted([tuple(r) for r in out.collect()], key=str) == alike == simulated(rows, until, 20, 60)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and plan.index("Window") > plan.rindex("Generate")  # the outermost step is named first
+    assert plan.count("RepartitionByExpression") == 1 and "Union" not in plan
+    assert {r.project_id for r in registry.standing(frame).collect()} <= set("abc")

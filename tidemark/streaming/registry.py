@@ -28,6 +28,8 @@ RESULT = "project_id string, kind string, at timestamp, ok boolean, message stri
 HEALTH, CONSISTENCY = 300.0, 3600.0
 #: A project with more points than this of which none is indexed is an alarm, and so is a difference of over a twentieth between chunks and points.
 LEAST_POINTS, TOLERANCE = 100, 0.05
+#: So many rows, about, are put in order by one task.
+_TASK_ROWS = 250_000
 _VALUES = ["chunks", "points", "indexed"]
 _REFUSED = {"add": "is already watched", "remove": "is not watched", "pause": "is not watched, or paused", "resume": "is not paused"}
 
@@ -53,7 +55,12 @@ def _found(project: str, chunks, points, indexed) -> str:
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """The rows in order, with ``spell`` (how often the project was removed before), ``watched`` (before the row) and, of commands, ``ok``."""
+    """The rows in order, with ``spell`` (how often the project was removed before), ``watched`` (before the row) and, of commands, ``ok``.
+
+    Many rows are dealt to as many tasks as they need."""
+    tasks = -(-rows.count() // _TASK_ROWS)
+    if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        rows = rows.repartition(tasks, "project_id")
     order = ["at", "kind", *_VALUES]
     before = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     kind = F.col("kind")
@@ -67,29 +74,39 @@ def _judged(rows: DataFrame) -> DataFrame:
 
 
 def history(rows: DataFrame, until: Column, health_seconds: float = HEALTH, consistency_seconds: float = CONSISTENCY) -> DataFrame:
-    """All results up to ``until`` (included). A project's rows are ordered within one task, on its disk where they are many; no task holds them."""
+    """All results up to ``until`` (included). A project's rows are ordered within one task, on its disk where they are many; no task holds them.
+
+    From one row of a project to the next nothing changes, so each row tells which checks are due until the next one and what they find: the
+    checks, far more than the rows, are made last and never sorted or sent.
+    """
     known = rows.select("project_id", "kind", F.col("at").cast("timestamp").alias("at"), *[F.col(c).cast("long").alias(c) for c in _VALUES])
-    judged = _judged(known.where(F.col("project_id").isNotNull() & (F.col("at") <= until) & F.col("kind").isin(*_REFUSED, "measure")))
-    commands = judged.where(F.col("kind") != "measure")
-    refused = F.concat(F.col("project_id"), F.lit(" "), F.coalesce(*[F.when(F.col("kind") == k, F.lit(m)) for k, m in _REFUSED.items()]))
-    told = commands.select("project_id", "kind", "at", "ok", F.when(~F.col("ok"), refused).alias("message"))
-    # commands that changed something alternate between starts and ends
-    changed = commands.where("ok").withColumn("end", F.lead("at").over(Window.partitionBy("project_id").orderBy("at", "kind", *_VALUES)))
-    start = changed.where(F.col("kind").isin("add", "resume"))
-    span = F.when(F.col("end").isNull(), _micros(until) - _micros(F.col("at"))).otherwise(_micros(F.col("end")) - _micros(F.col("at")) - 1)
+    known = known.where(F.col("project_id").isNotNull() & (F.col("at") <= until) & F.col("kind").isin(*_REFUSED, "measure"))
+    kind, at = F.col("kind"), _micros(F.col("at"))
+    judged = _judged(known).where((kind != "measure") | F.col("watched"))
     # an add belongs to the spell that it opens, as all rows do up to and with the remove that ends it
-    every = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(int(s * 1_000_000)).alias("step")) for k, s in (("consistency", consistency_seconds), ("health", health_seconds))])
-    due = start.select("project_id", "spell", "at", span.alias("span"), F.explode(every).alias("e")).withColumn("n", F.floor(F.col("span") / F.col("e.step")).cast("long")).where("n >= 1")
-    due = due.select("project_id", "spell", F.col("e.kind").alias("kind"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"), "at", "e.step")
-    due = due.select("project_id", "spell", "kind", F.timestamp_micros(_micros(F.col("at")) + F.col("k") * F.col("step")).alias("at"))
-    measures = judged.where((F.col("kind") == "measure") & F.col("watched")).select("project_id", "spell", "kind", "at", F.struct(*_VALUES).alias("m"))
-    seen = Window.partitionBy("project_id", "spell").orderBy("at", F.col("kind") != "measure", *[F.col("m")[c] for c in _VALUES]).rowsBetween(Window.unboundedPreceding, 0)
-    checks = measures.unionByName(due, True).withColumn("m", F.last("m", True).over(seen)).where("kind <> 'measure'")
-    alarms = findings(F.col("project_id"), *[F.col("m")[c] for c in _VALUES])
-    healthy = F.col("kind") == "health"
-    ok = F.when(~healthy, True).when(F.col("m").isNotNull(), alarms == "")
-    message = F.when(~healthy, F.concat(F.lit("scan "), "project_id")).when(F.col("m").isNull(), F.lit("not measured")).when(alarms != "", alarms)
-    return told.unionByName(checks.select("project_id", "kind", "at", ok.alias("ok"), message.alias("message")))
+    spell = Window.partitionBy("project_id", "spell").orderBy("at", "kind", *_VALUES)
+    so_far = spell.rowsBetween(Window.unboundedPreceding, 0)
+    turned = F.last(F.when(F.col("ok"), F.struct(kind.isin("add", "resume").alias("active"), at.alias("since"))), True).over(so_far)
+    measured = F.last(F.when(kind == "measure", F.struct(*_VALUES)), True).over(so_far)
+    stood = judged.select("project_id", "kind", "at", "ok", turned.alias("turned"), measured.alias("m"), F.coalesce(F.lead(at).over(spell) - 1, _micros(until)).alias("to"))
+    since = F.when(F.col("turned.active"), F.col("turned.since"))
+
+    def due(name: str, seconds: float) -> Column:
+        """The numbers of the checks from this row's moment to the one before the next row."""
+        step = F.lit(int(seconds * 1_000_000))
+        first = F.greatest(F.lit(1).cast("long"), F.ceil((at - since) / step).cast("long"))
+        return F.struct(F.lit(name).alias("check"), step.cast("long").alias("step"), first.alias("first"), F.floor((F.col("to") - since) / step).cast("long").alias("last"))
+
+    command = F.when(kind != "measure", F.struct(F.lit(None).cast("string").alias("check"), *[F.lit(0).cast("long").alias(c) for c in ("step", "first", "last")]))
+    told = stood.select("*", since.alias("since"), F.inline(F.filter(F.array(command, due("consistency", consistency_seconds), due("health", health_seconds)), lambda x: x["first"] <= x["last"])))
+    told = told.select("*", F.explode(F.sequence("first", "last")).alias("k"))
+    check, m = F.col("check"), F.col("m")
+    refused = F.concat(F.col("project_id"), F.lit(" "), F.coalesce(*[F.when(kind == k, F.lit(text)) for k, text in _REFUSED.items()]))
+    alarms = findings(F.col("project_id"), *[m[c] for c in _VALUES])
+    ok = F.when(check.isNull(), F.col("ok")).when(check == "consistency", True).when(m.isNotNull(), alarms == "")
+    message = F.when(check.isNull(), F.when(~F.col("ok"), refused)).when(check == "consistency", F.concat(F.lit("scan "), "project_id")).when(m.isNull(), F.lit("not measured")).when(alarms != "", alarms)
+    moment = F.when(check.isNull(), F.col("at")).otherwise(F.timestamp_micros(F.col("since") + F.col("k") * F.col("step")))
+    return told.select("project_id", F.coalesce(check, kind).alias("kind"), moment.alias("at"), ok.alias("ok"), message.alias("message"))
 
 
 class Registry(StatefulProcessor):
