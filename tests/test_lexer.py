@@ -75,3 +75,16 @@ def test_time_grows_with_length():
         for language in lexer.LANGUAGES:
             comments.of(unit * 20_000, language)
     assert time.perf_counter() - began < 20
+
+
+def test_a_batch_is_told_in_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    sources, sizes, plain = [f"// note {k}\nx = 1;" if k % 4 else None for k in range(40)], [], comments.of
+    monkeypatch.setattr(comments, "_PART_CHARS", 60)
+    array = pa.array
+    monkeypatch.setattr(comments.pa, "array", lambda values, *kind: sizes.append(len(values)) or array(values, *kind))
+    found = comments._found(array(sources), array(["javascript"] * 40))
+    assert found.to_pylist() == [None if s is None else plain(s, "javascript") for s in sources]
+    assert len(sizes) > 5 and max(sizes) < 10  # no more than a part's comments are held as objects
+    assert comments._found(array([], pa.string()), array([], pa.string())).to_pylist() == []
