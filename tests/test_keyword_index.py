@@ -119,3 +119,19 @@ def test_requests_use_the_index(spark, chunks, tmp_path):
     request = SearchRequest("人工智能有哪些分支", 3, mode="keyword", rerank=False)
     stored, anew = (search(Collection(chunks, vectors, index=i), request).collect() for i in (index, None))
     assert stored == anew and {r.chunk_id for r in stored[:2]} == {1, 3}
+
+
+def test_each_text_is_cut_once_and_tasks_grow_with_the_words(spark, chunks, tmp_path, monkeypatch):
+    from tidemark.operators import keyword_index
+
+    monkeypatch.setattr(keyword_index, "_TASK_WORDS", 1)
+    monkeypatch.setattr(keyword_index, "_BATCH_CHARS", 20)  # several batches for a task
+    index = KeywordIndex(Store(spark, f"file://{tmp_path}/s"))
+    index.build(chunks)
+    held = {r.chunk_id: (r.dl, {c.term: c.tf for c in r.counts}) for r in index.store.read("keyword.1.chunks").collect()}
+    plain = {i: text.tokenize_cjk_literal(c or "") for i, c in ROWS}
+    assert held == {i: (len(t), {x: t.count(x) for x in t}) for i, t in plain.items()}
+    assert index.store.read("keyword.1.postings").select(F.input_file_name()).distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    index.remove(chunks.where("chunk_id IN (3, 8)"))
+    assert "content" not in index.store.read("keyword.2.dead").columns  # what is removed is known by its counts
+    assert [(r.chunk_id, r.score) for r in index.search("english weather", 5).collect()] == counted(chunks.where("chunk_id NOT IN (3, 8)"), "english weather", top_k=5)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +23,9 @@ def tokenize_literal(text: str) -> list[str]:
 
 #: Scripts written without spaces between words.
 _UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
+#: The first of their characters is U+1100: a comparison that most texts need no script lookup after.
+_FAR = "[\u1100-\U0010ffff]"
+_WORDS, _IS_FAR = re.compile(r"[^\W_]{2,}"), re.compile(_FAR)  # the letters and digits of ``re`` are those of L and N
 
 
 def tokenize_cjk(text: Column) -> Column:
@@ -31,12 +36,14 @@ def tokenize_cjk(text: Column) -> Column:
     words = F.filter(F.regexp_extract_all(low, F.lit(rf"[[\p{{L}}\p{{N}}]&&[^{_UNSPACED}]]+"), F.lit(0)), lambda t: F.length(t) > 1)
     pairs = F.regexp_extract_all(low, F.lit(rf"(?=([{_UNSPACED}]{{2}}))"), F.lit(1))
     single = F.regexp_extract_all(low, F.lit(rf"(?<![{_UNSPACED}])[{_UNSPACED}](?![{_UNSPACED}])"), F.lit(0))
-    return F.when(text.rlike(f"[{_UNSPACED}]"), F.concat(words, pairs, single)).otherwise(tokenize(text))
+    return F.when(text.rlike(_FAR) & text.rlike(f"[{_UNSPACED}]"), F.concat(words, pairs, single)).otherwise(tokenize(text))
 
 
 def tokenize_cjk_literal(text: str) -> list[str]:
     """``tokenize_cjk`` of a string that the plan is built from."""
     low, unspaced = text.lower(), _UNSPACED.replace("Is", "Script=")
+    if not _IS_FAR.search(low):
+        return _WORDS.findall(low)
     words = [t for t in regex.findall(rf"(?V1)[[\p{{L}}\p{{N}}]--[{unspaced}]]+", low) if len(t) > 1]
     return words + regex.findall(rf"[{unspaced}]{{2}}", low, overlapped=True) + regex.findall(rf"(?<![{unspaced}])[{unspaced}](?![{unspaced}])", low)
 

@@ -4,8 +4,11 @@
 and the dead left out, when there are several.  Scores are those of ``keyword.search`` over the live chunks, whatever the
 order of changes.
 
-Tables of a ``Store``, for segment n: ``<name>.<n>.postings`` (term, class, chunk_id, tf, dl; in order of term), ``.blocks`` (term, class, n,
-max_tf, min_dl), ``.chunks`` (chunk_id, dl, content), ``.dead`` (chunk_id: dead in segments before n); and ``<name>.stats`` (one row).
+Tables of a ``Store``, for segment n: ``<name>.<n>.postings`` (key, term, class, chunk_id, tf, dl; dealt by term and class, each file in
+order of key, a hash of the term, which takes no comparison of strings), ``.blocks`` (term, class, n, max_tf, min_dl), ``.chunks`` (chunk_id, dl, content, counts: its terms and how often each occurs),
+``.dead`` (chunk_id, dl, counts: dead in segments before n); and ``<name>.stats`` (one row).
+
+A text is cut into terms once, when its chunk is written; whatever follows reads the chunk's counts.
 
 A block is the postings of a term whose tf and dl are of one class; its greatest tf and least dl bound what any of its chunks
 can gain.  A search scores the most promising blocks first; a block is read only if its bound and the best blocks of the
@@ -16,12 +19,16 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.text import tokenize_cjk, tokenize_cjk_literal
+from ..functions.text import tokenize_cjk_literal
+from ..session import prepare
 from ..sources.store import Store, Transaction, latest
 from . import keyword
 
@@ -32,6 +39,9 @@ FAN = 4
 _SLACK = 1e-5
 #: A first look at each term's best blocks ends when they hold so many times top_k postings.
 _FIRST = 4
+#: A task that sorts postings gets about so many words of text, a batch of counted chunks about so many characters.
+_TASK_WORDS, _BATCH_CHARS = 4_000_000, 4_000_000
+_COUNTED = "dl int, content string, counts array<struct<term: string, tf: bigint>>"
 
 
 def block_class(tf: Column, dl: Column) -> Column:
@@ -40,9 +50,46 @@ def block_class(tf: Column, dl: Column) -> Column:
     return (often * 256 + F.floor(2 * F.log2(dl + 1))).cast("int")
 
 
+def _key(term: Column) -> Column:
+    return F.xxhash64(term)
+
+
+def counted(chunks: DataFrame, tokens: Callable[[str], list[str]]) -> DataFrame:
+    """chunk_id, dl, content, counts. Each row by itself; a task holds some texts at a time."""
+    prepare(chunks.sparkSession)
+    schema = StructType([*chunks.select("chunk_id").schema, *StructType.fromDDL(_COUNTED)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int64())]))
+
+        def told(batch: pa.RecordBatch, lengths: list[int], counts: list[Counter]) -> pa.RecordBatch:
+            offsets = [0]
+            for c in counts:
+                offsets.append(offsets[-1] + len(c))
+            terms, tfs = pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([terms, tfs], ["term", "tf"])).cast(kind)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int32()), batch.column(1), lists], schema.names)
+
+        for batch in batches:
+            first, chars, lengths, counts = 0, 0, [], []
+            for at, content in enumerate(batch.column(1)):
+                text = content.as_py() or ""
+                words = tokens(text)
+                lengths.append(len(words))
+                counts.append(Counter(words))
+                chars += len(text)
+                if chars >= _BATCH_CHARS:
+                    yield told(batch.slice(first, at + 1 - first), lengths, counts)
+                    first, chars, lengths, counts = at + 1, 0, [], []
+            if counts:
+                yield told(batch.slice(first), lengths, counts)
+
+    return chunks.select("chunk_id", F.col("content").cast("string").alias("content")).mapInArrow(run, schema)
+
+
 class KeywordIndex:
-    def __init__(self, store: Store, name: str = "keyword", tokens=tokenize_cjk, literal=tokenize_cjk_literal):
-        self.store, self.name, self.tokens, self.literal = store, name, tokens, literal
+    def __init__(self, store: Store, name: str = "keyword", literal: Callable[[str], list[str]] = tokenize_cjk_literal):
+        self.store, self.name, self.literal = store, name, literal
 
     # tables
 
@@ -64,10 +111,20 @@ class KeywordIndex:
         last = dead.groupBy(F.col("chunk_id").alias("_dead")).agg(F.max("segment").alias("_until"))
         return rows.join(last, (F.col("chunk_id") == F.col("_dead")) & (F.col("segment") < F.col("_until")), "left_anti")
 
-    def _posted(self, chunks: DataFrame) -> DataFrame:
-        rows = keyword.postings(chunks, self.tokens)
+    @staticmethod
+    def _posted(chunks: DataFrame) -> DataFrame:
+        rows = chunks.select("chunk_id", "dl", F.inline("counts"))
         return rows.select("term", block_class(F.col("tf"), F.col("dl")).alias("class"), "chunk_id", "tf", "dl")
 
+    def _dealt(self, postings: DataFrame, chunks: DataFrame) -> DataFrame:
+        """Postings by term and class, in order within each of so many tasks as the words of ``chunks`` need; no other pass over them."""
+        spark = postings.sparkSession
+        words = chunks.agg(F.sum("dl")).first()[0] or 0
+        tasks = -(-words // _TASK_WORDS)
+        number = [tasks] if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else []  # else Spark may join small ones
+        dealt = postings.select("term", "class", "chunk_id", "tf", "dl").repartition(*number, "term", "class")
+        return dealt.select(_key(F.col("term")).alias("key"), "*").sortWithinPartitions("key")
+
     @staticmethod
     def _blocks(postings: DataFrame) -> DataFrame:
         return postings.groupBy("term", "class").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"))
@@ -83,20 +140,20 @@ class KeywordIndex:
         n = 1 + max(segments, default=0)
         if gone is not None and segments:
             known = self._live(t, self._all(t, "chunks")).join(gone.select("chunk_id").distinct(), "chunk_id", "left_semi")
-            dead = t.write(f"{self.name}.{n}.dead", known.select("chunk_id", "dl", "content"))
+            dead = t.write(f"{self.name}.{n}.dead", known.select("chunk_id", "dl", "counts"))
             lost = self._lost(dead)
         if chunks is not None:
             rows = chunks.select("chunk_id", "content")
             if not rows.groupBy("chunk_id").count().where("count > 1").isEmpty():
                 rows = latest(rows, ["chunk_id"])
-            rows = t.write(f"{self.name}.{n}.chunks", rows.select("chunk_id", F.coalesce(F.size(self.tokens(F.col("content"))), F.lit(0)).alias("dl"), "content"))
-            postings = t.write(f"{self.name}.{n}.postings", self._posted(rows).repartitionByRange("term", "class", "chunk_id").sortWithinPartitions("term", "class"))
+            rows = t.write(f"{self.name}.{n}.chunks", counted(rows, self.literal))
+            postings = t.write(f"{self.name}.{n}.postings", self._dealt(self._posted(rows), rows))
             blocks = self._blocks(postings)
             if gone is not None and segments:
                 blocks = blocks.unionByName(lost)
-            t.write(f"{self.name}.{n}.blocks", blocks.sort("term"))
+            t.write(f"{self.name}.{n}.blocks", blocks.sortWithinPartitions("term"))
         elif gone is not None and segments:
-            t.write(f"{self.name}.{n}.blocks", lost.sort("term"))
+            t.write(f"{self.name}.{n}.blocks", lost.sortWithinPartitions("term"))
         self._counted(t)
         self._merge(t)
         t.commit()
@@ -129,20 +186,20 @@ class KeywordIndex:
         last, staged = run[-1], {}
         chunks, postings, dead = (self._all(t, part, run) for part in ("chunks", "postings", "dead"))
         if chunks is not None:
-            staged["chunks"] = self._live(t, chunks, run).select("chunk_id", "dl", "content")
-            staged["postings"] = self._live(t, postings, run).select("term", "class", "chunk_id", "tf", "dl").repartitionByRange("term", "class", "chunk_id").sortWithinPartitions("term", "class")
+            staged["chunks"] = self._live(t, chunks, run).select("chunk_id", "dl", "content", "counts")
+            staged["postings"] = self._dealt(self._live(t, postings, run), chunks)
         if dead is not None and run[0] != self._segments(t)[0]:
             marks = dead
             if chunks is not None:  # a mark that follows a row of its chunk in this run has met that row
                 met = dead.join(chunks.select("chunk_id", F.col("segment").alias("_of")), "chunk_id").where("_of < segment").select("chunk_id", "segment").distinct()
                 marks = dead.join(met, ["chunk_id", "segment"], "left_anti")
-            staged["dead"] = marks.select("chunk_id", "dl", "content")
+            staged["dead"] = marks.select("chunk_id", "dl", "counts")
         tables = {part: t.write(f"{self.name}.merged.{part}", df) for part, df in staged.items()}
         blocks = [self._blocks(tables["postings"])] if "postings" in tables else []
         if "dead" in tables:
             blocks.append(self._lost(tables["dead"]))
         if blocks:
-            tables["blocks"] = t.write(f"{self.name}.merged.blocks", reduce(DataFrame.unionByName, blocks).sort("term"))
+            tables["blocks"] = t.write(f"{self.name}.merged.blocks", reduce(DataFrame.unionByName, blocks).sortWithinPartitions("term"))
         for n in run:
             for part in PARTS:
                 t.drop(f"{self.name}.{n}.{part}")
@@ -242,7 +299,8 @@ class KeywordIndex:
         """chunk_id, score from the postings of these blocks."""
         postings = self._all(t, "postings")
         asked = t.spark.createDataFrame([(b.segment, b.term, b["class"], weight[b.term]) for b in blocks], "segment int, term string, class int, weight double")
-        read = postings.where(F.col("term").isin(sorted({b.term for b in blocks}))).join(F.broadcast(asked), ["segment", "term", "class"])
+        terms = sorted({b.term for b in blocks})
+        read = postings.where(F.col("key").isin([_key(F.lit(x)) for x in terms]) & F.col("term").isin(terms)).join(F.broadcast(asked), ["segment", "term", "class"])
         return self._live(t, read).groupBy("chunk_id").agg(F.sum(_gain(F.col("weight"), F.col("tf"), F.col("dl"), avgdl)).alias("score"))
 
 
