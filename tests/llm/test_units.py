@@ -184,6 +184,20 @@ def test_ordinal_model_learns_an_order():
     assert quality.fit([], np.empty(0, np.int64), 2).thresholds.shape == (2,)
 
 
+def test_fitting_holds_little_beside_its_sample():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, quality.BUCKETS, 700)).astype("<i4") for _ in range(3000)]
+    grades = rng.integers(0, 3, 3000)
+    tracemalloc.start()
+    quality.fit(rows, grades, 2, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 4 bytes a feature, what a round's step looks at (some 20 bytes a feature) and the buckets; not five arrays of 8 bytes a feature
+    assert peak < 4 * sum(map(len, rows)) + 96 * quality.BUCKETS
+
+
 def test_packing_keeps_every_id():
     rnd = random.Random(2)
     docs = [np.asarray([rnd.randrange(50) for _ in range(rnd.choice([1, 3, 40, 200, 700]))], np.uint16) for _ in range(60)]

@@ -71,35 +71,49 @@ class Model:
         return 1.0 / (1.0 + np.exp(np.clip(self.thresholds[None, :] - x[:, None], -30, 30)))
 
 
+#: Features that a step of a round looks at together: the driver holds 4 bytes for each feature of the sample, and more only for these.
+_TOGETHER = 1 << 18
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, top: int, *, rounds: int = 100, rate: float = 0.3, decay: float = 1e-5) -> Model:
     """Full-batch Adam on the likelihood; thresholds stay ordered as a first one plus positive steps."""
-    sizes = np.asarray([len(r) for r in rows], np.int64)
-    flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
-    values = np.repeat(np.asarray([scale(n) for n in sizes], np.float64), sizes)
-    starts = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(rows)), sizes)
     share = np.asarray([(grades > j).mean() if len(rows) else 0.5 for j in range(top)]).clip(0.01, 0.99)
     first = -np.log(share / (1 - share))
     steps = np.log(np.maximum(np.diff(first), 1e-2))
-    params = [np.zeros(BUCKETS), first[:1].copy(), steps]
     if not rows:
-        return Model(params[0], np.sort(first))
+        return Model(np.zeros(BUCKETS), np.sort(first))
+    sizes = np.asarray([len(r) for r in rows], np.int64)
+    ends = np.cumsum(sizes)
+    scales = np.asarray([scale(n) for n in sizes], np.float64)
+    present = np.zeros(BUCKETS, bool)
+    for r in rows:
+        present[r] = True
+    used = np.flatnonzero(present)
+    place = np.cumsum(present, dtype=np.int32) - np.int32(1)
+    local = np.empty(int(ends[-1]), np.int32)
+    for r, end in zip(rows, ends.tolist()):
+        local[end - len(r) : end] = place[r]
+    # runs of whole rows
+    cuts, n = [0], len(rows)
+    while cuts[-1] < n:
+        before = ends[cuts[-1]] - sizes[cuts[-1]]
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, before + _TOGETHER, side="right"))))
+    runs = [(a, b, local[ends[a] - sizes[a] : ends[b - 1]]) for a, b in zip(cuts, cuts[1:])]
+    params = [np.zeros(len(used)), first[:1].copy(), steps]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in params]
-    used = np.unique(flat)
-    local = np.searchsorted(used, flat)
-    params[0] = params[0][used]
-    moments[0] = [np.zeros(len(used)), np.zeros(len(used))]
-    n = len(rows)
     for t in range(1, rounds + 1):
         thresholds = params[1][0] + np.concatenate([[0.0], np.cumsum(np.exp(params[2]))])
-        x = np.add.reduceat(params[0][local] * values, starts)
+        x = np.concatenate([np.add.reduceat(params[0][at] * np.repeat(scales[a:b], sizes[a:b]), ends[a:b] - sizes[a:b] - (ends[a] - sizes[a])) for a, b, at in runs])
         below = 1 / (1 + np.exp(-np.clip(np.concatenate([np.full((1, n), -40.0), thresholds[:, None] - x[None, :], np.full((1, n), 40.0)]), -40, 40)))
         high, low = below[grades + 1, np.arange(n)], below[grades, np.arange(n)]
         p = np.maximum(high - low, 1e-9)
         dh, dl = high * (1 - high) / p, low * (1 - low) / p  # of log p by its upper and lower threshold
         gx = -(dh - dl) / n  # of log p by x
         g_threshold = np.asarray([(dh[grades == j].sum() - dl[grades == j + 1].sum()) / n for j in range(top)])
-        g = [np.bincount(local, gx[owner] * values, len(used)) - decay * params[0], np.asarray([g_threshold.sum()]), np.asarray([g_threshold[j + 1 :].sum() for j in range(top - 1)]) * np.exp(params[2])]
+        g_weights = -decay * params[0]
+        for a, b, at in runs:
+            g_weights += np.bincount(at, np.repeat(gx[a:b] * scales[a:b], sizes[a:b]), len(used))
+        g = [g_weights, np.asarray([g_threshold.sum()]), np.asarray([g_threshold[j + 1 :].sum() for j in range(top - 1)]) * np.exp(params[2])]
         for k in range(3):
             m, v = moments[k]
             m += 0.1 * (g[k] - m)
@@ -140,7 +154,7 @@ def train(spark: SparkSession, docs: DataFrame, ratings: DataFrame, top: int = 2
         for r in got.toLocalIterator():
             seen[r.doc_id] = max(bytes(r.f), seen.get(r.doc_id, b""))  # repeated rows: one of them, whatever their order
         for doc in sorted(seen):
-            rows.append(np.frombuffer(seen[doc], "<i4").astype(np.int64))
+            rows.append(np.frombuffer(seen[doc], "<i4"))
             grades.append(picked[doc])
     model = fit(rows, np.asarray(grades, np.int64), top)
     if not rows:
