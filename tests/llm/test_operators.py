@@ -202,6 +202,36 @@ def test_line_dedup_of_a_template(spark):
     assert sum(got[120 + i] for i in range(120)) >= 0.95 * 120
 
 
+def test_line_dedup_compares_few_lines_of_a_template(spark, monkeypatch):
+    """Lines of one template that are less similar are told apart before their texts meet; similar ones never are."""
+    from tidemark.llm import line_dedup as module
+
+    rng = np.random.default_rng(37)
+    words = [sentence(rng, 1) for _ in range(4000)]
+    fixed = " ".join(rng.choice(words, 24))
+    lines = [f"{fixed} {' '.join(rng.choice(words, 9))}" for _ in range(150)]
+    compared = []
+
+    class Counted(module.Scratch):
+        def table(self, df, name):
+            out = super().table(df, name)
+            if name == "tried":
+                compared.append(out.count())
+            return out
+
+    monkeypatch.setattr(module, "Scratch", Counted)
+    line_dedup(spark, spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert sum(compared) < 150  # of 11,175 pairs
+
+    near = [x[:60] + "#" * int(rng.integers(1, 9)) + x[60:] for x in lines]
+    texts = spark.createDataFrame(list(enumerate(x.lower() for x in lines + near)), "id long, line string")
+    told = module._maps(texts, 8)
+    sides = [told.select(*[F.col(c).alias(c + e) for c in told.columns]) for e in ("_u", "_v")]
+    kept = {(r.id_u, r.id_v) for r in sides[0].where("id_u < 150").join(sides[1], F.col("id_u") + 150 == F.col("id_v")).where(module._near("_u", "_v", 0.8)).collect()}
+    alike = {(n, n + 150) for n in range(150) if shingle_jaccard(lines[n].lower(), near[n].lower()) >= 0.8}
+    assert len(alike) > 100 and alike <= kept
+
+
 def test_line_dedup_recall(spark):
     rng = np.random.default_rng(11)
     lines = [sentence(rng, int(rng.integers(6, 40))) for _ in range(150)]

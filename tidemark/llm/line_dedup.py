@@ -5,13 +5,16 @@ shingles are hashed by generated code.  The hash circle is cut into ``bands * ro
 smallest of its hashes there (of the next bucket that has one, if there is none), so the stretches of a line, and all copies
 of a line, meet in one map-side combined aggregation of fixed-size minima: no text is shuffled for signatures.  A band packs
 16 bits of each of its min-hashes; lines that agree in a whole band are candidates.  Candidates that agree in too few of all
-min-hashes are dropped (four standard deviations below what the least similarity gives), the others are compared by the
+min-hashes are dropped (four standard deviations below what the least similarity gives), and so are those that must differ
+in too many shingles: a line's parity map has for each bit whether an odd number of its shingles falls on it, so two lines
+differ in as many shingles at least as their maps do in bits.  The others are compared by the
 Jaccard similarity of *all* their character shingles; links are joined to components by distributed union-find, and of each
 component the first line (by doc_id, then text, then place) stays.
 
 Rounds whose work is linear in the rows of a band unite most of a crowded band: each line first meets the first line of each of its
 bands; then, while a crowded band's lines are not one component yet, the others meet a member chosen by hash.  In bands that
 hold several components even then, all members of different components meet, in bounded blocks: no candidate is left out.
+There the maps tell most pairs apart within the join, which gives a row for hardly more than the pairs that are similar.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .components import components
 _LAST = (1 << 63) - 1
 #: Shingle starts of a stretch; members of a band that meet others of it in one block.
 _STRETCH, _BLOCK = 64, 1024
+#: The columns of a line's parity map, of 64 bits each.
+_MAP = [f"p{w}" for w in range(16)]
 
 
 def _once(value: Column, use) -> Column:
@@ -107,18 +112,36 @@ def _agreement(a: str, b: str, bands: int, rows: int) -> Column:
     return F.lit(bands * rows) - reduce(lambda x, y: x + y, [differing(i) for i in range(bands)])
 
 
-def _similar(pairs: DataFrame, a: str, b: str, k: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` whose lines ``a`` and ``b`` have similar enough sets of all k-character shingles (as 64-bit hashes).
-
-    A line of up to k characters is one shingle.  Each set is a column that is read twice, so Spark makes it once.
-    """
+def _shingles(line: str, k: int) -> Column:
+    """The set of a line's k-character shingles, as 64-bit hashes.  A line of up to k characters is one shingle."""
     width = 4 * k
     starts = lambda u: F.sequence(F.lit(1), F.greatest(F.octet_length(u) - width + 1, F.lit(1)), F.lit(4))
+    return F.array_distinct(_once(F.encode(F.col(line), "UTF-32"), lambda u: F.transform(starts(u), lambda i: F.xxhash64(F.substring(u, i, F.lit(width))))))
+
+
+def _maps(texts: DataFrame, k: int) -> DataFrame:
+    """id, size (distinct shingles) and the parity map of every line of ``texts`` (id, line)."""
+    each = texts.select("id", F.explode(_shingles("line", k)).alias("h"))
+    word, bit = F.shiftrightunsigned("h", 60), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned("h", 54).bitwiseAND(F.lit(63)).cast("int"))
+    marked = each.select("id", word.alias("word"), bit.alias("bit"))
+    return marked.groupBy("id").agg(F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(p) for w, p in enumerate(_MAP)])
+
 
-    def shingles(c: str) -> Column:
-        return F.array_distinct(_once(F.encode(F.col(c), "UTF-32"), lambda u: F.transform(starts(u), lambda i: F.xxhash64(F.substring(u, i, F.lit(width))))))
+def _near(u: str, v: str, similarity: float) -> Column:
+    """False only for lines whose sets are surely not similar enough (columns size and map with the endings ``u`` and ``v``).
 
-    sets = pairs.select("u", "v", shingles(a).alias("a"), shingles(b).alias("b"))
+    |a ^ b| <= (|a| + |b|) * (1 - t) / (1 + t) holds if |both| >= t * |either|; what is added is less than a shingle and more than rounding.
+    """
+    differing = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{p}{u}").bitwiseXOR(F.col(f"{p}{v}"))) for p in _MAP])
+    return differing <= (F.col(f"size{u}") + F.col(f"size{v}")) * ((1 - similarity) / (1 + similarity)) + 1e-3
+
+
+def _similar(pairs: DataFrame, a: str, b: str, k: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` whose lines ``a`` and ``b`` have similar enough sets of shingles.
+
+    Each set is a column that is read twice, so Spark makes it once.
+    """
+    sets = pairs.select("u", "v", _shingles(a, k).alias("a"), _shingles(b, k).alias("b"))
     counts = sets.select("u", "v", F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("sizes"))
     # |both| >= t * |either|, with |either| = sizes - |both|; what is added is less than a shingle and more than rounding
     return counts.where(F.col("both") * (1 + similarity) + 1e-6 >= F.col("sizes") * similarity).select("u", "v")
@@ -128,9 +151,10 @@ def _across(open_: DataFrame, fit) -> DataFrame:
     """All fitting pairs (u > v) of one band and different components; a hot band's members meet in blocks of two cuts of it."""
     cuts = open_.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("cuts"))
     dealt = open_.join(cuts, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    a = dealt.select("band", F.col("own").alias("i"), F.col("other").alias("j"), *[F.col(c).alias(f"{c}_u") for c in ("id", "part", "sketch")])
-    b = dealt.select("band", F.col("other").alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"{c}_v") for c in ("id", "part", "sketch")])
-    met = a.join(b, ["band", "i", "j"]).where((F.col("id_u") > F.col("id_v")) & (F.col("part_u") != F.col("part_v"))).where(fit("sketch_u", "sketch_v"))
+    names = ["id", "part", "sketch", "size", *_MAP]
+    a = dealt.select("band", F.col("own").alias("i"), F.col("other").alias("j"), *[F.col(c).alias(f"{c}_u") for c in names])
+    b = dealt.select("band", F.col("other").alias("i"), F.col("own").alias("j"), *[F.col(c).alias(f"{c}_v") for c in names])
+    met = a.join(b, ["band", "i", "j"]).where((F.col("id_u") > F.col("id_v")) & (F.col("part_u") != F.col("part_v"))).where(fit("_u", "_v"))
     return met.select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
 
 
@@ -147,18 +171,20 @@ def line_components(scratch: Scratch, lines: DataFrame, k: int, similarity: floa
 
     # sketches and texts of candidates, these by the first of a line's copies that comes
     candidates = scratch.table(signatures.select("k1", "k2", "id", "sketch").join(held.select("id").distinct(), "id"), "candidates")
-    sketches, wanted = candidates.select("id", "sketch"), candidates.select("k1", "k2", "id")
+    wanted = candidates.select("k1", "k2", "id")
     likely = Filter(wanted, "k1").mark(_keyed(lines.select("line")), "likely", "k1").where("likely").drop("likely")
     texts = scratch.table(likely.groupBy("k1", "k2").agg(F.first("line").alias("line")).join(wanted, ["k1", "k2"]).select("id", "line"), "texts")
+    told = scratch.table(_maps(texts, k).join(candidates.select("id", "sketch"), "id"), "maps")
+    scratch.drop(candidates)
 
     total = bands * rows
     least = int(total * similarity - 4 * (total * similarity * (1 - similarity)) ** 0.5)
-    # (the second term, always true, keeps this long condition out of whole-stage code; see _apart)
-    fit = lambda a, b: (_agreement(a, b, bands, rows) >= least) & F.exists(F.array(F.col(a)), lambda x: x.isNotNull())
+    # (the last term, always true, keeps this long condition out of whole-stage code, see _apart; it names both sides, so that a join holds it too)
+    fit = lambda u, v: _near(u, v, similarity) & (_agreement(f"sketch{u}", f"sketch{v}", bands, rows) >= least) & F.exists(F.array(f"sketch{u}", f"sketch{v}"), lambda x: x.isNotNull())
 
     def fitting(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sketches.select(F.col("id").alias("u"), F.col("sketch").alias("su")), "u").join(sketches.select(F.col("id").alias("v"), F.col("sketch").alias("sv")), "v")
-        return both.where(fit("su", "sv")).select("u", "v")
+        named = lambda x: told.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("sketch", "size", *_MAP)])
+        return pairs.join(named("u"), "u").join(named("v"), "v").where(fit("_u", "_v")).select("u", "v")
 
     tried: list[DataFrame] = []
 
@@ -191,9 +217,9 @@ def line_components(scratch: Scratch, lines: DataFrame, k: int, similarity: floa
         parts = scratch.table(components(links, scratch), "parts")
         open_ = opened(parts)
     # at last, in bands that hold several components even now, all members of different ones that can fit
-    links = links.unionByName(similar(_across(open_.join(sketches, "id"), fit)))
+    links = links.unionByName(similar(_across(open_.join(told, "id"), fit)))
     parts = scratch.table(components(links, scratch), "parts")
-    scratch.drop(held, texts, candidates)
+    scratch.drop(held, texts, told)
     scratch.release()
     grouped = signatures.select("k1", "k2", "id", "n").join(parts.select(F.col("node").alias("id"), "component"), "id", "left")
     return grouped.where("n > 1 OR component IS NOT NULL").select("k1", "k2", F.coalesce("component", "id").alias("part"))
