@@ -474,3 +474,22 @@ def test_every_query_is_registered():
 
     names = set(e.queries())
     assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)} and "pipeline" in names
+
+
+def test_repeats_let_go_of_stretches_before_texts_are_sent(spark, monkeypatch):
+    import glob
+
+    from tidemark.llm import repeats as module
+
+    made = []
+
+    class Seen(module.Scratch):
+        def __init__(self, *a):
+            super().__init__(*a)
+            made.append(self.root.removeprefix("file://"))
+
+    monkeypatch.setattr(module, "Scratch", Seen)
+    out = remove_repeats(spark, spark.createDataFrame([(1, "ab cd " * 30), (2, "x" + "ab cd " * 30)], "doc_id long, text string"), 50)
+    left = {p.rpartition("-")[2] for p in glob.glob(f"{made[0]}/*")}
+    assert "places" in left and not left & {"stretches", "windows"}
+    assert out.where("n_removed > 0").count() == 1

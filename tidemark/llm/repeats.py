@@ -420,6 +420,10 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, window: int = 50, keep_
     scratch.release(wait=1.0)
     covered = found.select("c1", "c2", "chunk", "row", "doc_id", "start").join(windows, ["c1", "c2"]).where(F.col("doc_id") > F.col("least"))
     none = F.lit(None)
-    places = covered.select("chunk", none.cast("binary").alias("data"), "row", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + window).alias("b"))
+    spots = scratch.table(covered.select("chunk", "row", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b") + window).alias("b")), "places")
+    # what the places came from goes before the texts are sent to them
+    scratch.drop(found, windows)
+    scratch.release(wait=1.0)
+    places = spots.select("chunk", none.cast("binary").alias("data"), "row", "a", "b")
     whole = bodies.select("chunk", "data", none.cast("int").alias("row"), none.cast("long").alias("a"), none.cast("long").alias("b"))
     return _cut(whole.unionByName(places), keep_text)
