@@ -1,9 +1,11 @@
 """The operators' inner parts against plain versions."""
 
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -69,6 +71,43 @@ def test_suffix_arrays():
                 assert common[b] == c
 
 
+def test_suffix_arrays_end_comparisons_at_separators():
+    """Separators count as characters of their own, in the order of their places; long and short strings."""
+    rnd = random.Random(8)
+    for n in [1, 2, 3, 5] * 20 + [40, 900, 1500]:
+        words = [bytes(rnd.choices(b"abc ", k=rnd.randint(1, 25))) for _ in range(40)]
+        raw = b"\0".join(b"".join(rnd.choices(words, k=rnd.randint(1, 5))) for _ in range(n)) + b"\0"
+        text = np.frombuffer(raw, np.uint8).astype(np.int16)
+        ends = np.flatnonzero(text == 0)
+        end = ends[np.searchsorted(ends, np.arange(len(text)))].tolist()
+        order = suffix_array(text, 257, separator=0).tolist()
+        assert order == sorted(range(len(text)), key=lambda i: (raw[i : end[i]] + b"\0", end[i] if end[i] < len(raw) - 1 else -1))
+        common = permuted_lcp(text, np.asarray(order), 0)
+        for a, b in zip(order, order[1:]):
+            x, y = raw[a : end[a]], raw[b : end[b]]
+            assert common[b] == next((k for k, (i, j) in enumerate(zip(x, y)) if i != j), min(len(x), len(y)))
+
+
+def test_only_contents_that_meet_others_are_sorted(monkeypatch):
+    """A content alone under its key is told without sorting; the others of several runs are sorted together."""
+    rnd = random.Random(9)
+    text = lambda: bytes(rnd.choices(b"abcdef ", k=70))
+    alone, twice, one_doc = [text() for _ in range(30)], [text() for _ in range(30)], [text() for _ in range(30)]
+    rows = []
+    for k in range(30):
+        rows += [(3 * k, k, 1, 10, alone[k]), (3 * k, k, 1, 4, None), (3 * k + 1, k, 2, 9, twice[k]), (3 * k + 1, k, 3, 7, b"x" + twice[k][:60]), (3 * k + 2, k, 4, 5, one_doc[k]), (3 * k + 2, k, 5, 5, one_doc[k][1:])]
+    table = pa.table(dict(zip(("key", "c1", "c2", "doc_id", "bytes"), map(list, zip(*rows)))))
+    calls, plain = [], repeats.shard_windows
+    monkeypatch.setattr(repeats, "SHARD", 1000)
+    monkeypatch.setattr(repeats, "shard_windows", lambda lo, spans, window: calls.append(spans) or plain(lo, spans, window))
+    ran = SimpleNamespace(mapInArrow=lambda f, schema: [r for b in f(table.to_batches(7)) for r in b.to_pylist()])
+    frame = SimpleNamespace(repartition=lambda key: SimpleNamespace(sortWithinPartitions=lambda key: ran))
+    monkeypatch.setattr(repeats, "STEP", 7)
+    got = {(r["c1"], r["c2"], r["a"], r["b"], r["least"]) for r in repeats._windows(frame, 50)}
+    assert got == {(k, 1, 0, 20, 4) for k in range(30)} | {(k, 2, 0, 10, 7) for k in range(30)}
+    assert sorted(x for c in calls for x in c) == sorted(y for x in twice for y in (x, b"x" + x[:60])) and 1 < len(calls) < 6
+
+
 def test_anchors_belong_to_windows():
     raw = np.frombuffer(bytes(random.Random(5).choices(b"ab ", k=3000)), np.uint8)
     doc_of = np.repeat([0, 1, 2], [1000, 40, 1960])

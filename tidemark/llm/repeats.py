@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -31,6 +32,8 @@ PART = 1 << 20
 GRAM = 16
 #: Bytes of text in a chunk (one text at least), of text whose 33-grams one range of hash space holds, of stretches in one suffix array.
 CHUNK, RANGE, SHARD = 8 << 20, 18 << 20, 4_000_000
+#: Rows that are looked at for the end of a key at once.
+STEP = 4096
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -286,16 +289,15 @@ def shard_windows(lo: np.ndarray, spans: list[bytes], window: int) -> tuple[np.n
     inside = np.ones(len(text), bool)
     inside[ends] = False
     text[inside] += 1  # so that a byte of zero is no separator
-    order = suffix_array(text, 257)
+    order = suffix_array(text, 257, separator=0)
     common = permuted_lcp(text, order, 0)
-    owner = np.repeat(np.arange(len(spans)), sizes + 1)
+    owner = np.repeat(np.arange(len(spans), dtype=np.int32), sizes + 1)
     edge = np.flatnonzero(common[order] < window)
     edge = edge if len(edge) and edge[0] == 0 else np.concatenate([[0], edge])
     least = np.minimum.reduceat(lo[owner[order]], edge)
     smallest = np.empty(len(text), np.int64)
     smallest[order] = np.repeat(least, np.diff(np.concatenate([edge, [len(order)]])))
-    place = np.arange(len(text))
-    valid = np.flatnonzero(place + window <= ends[owner])
+    valid = np.flatnonzero(np.arange(window, len(text) + window) <= ends[owner])
     of, low = owner[valid], smallest[valid]
     run = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (low[1:] != low[:-1])])) if len(valid) else np.empty(0, np.int64)
     stop = np.concatenate([run[1:], [len(valid)]]).astype(np.int64) - 1 if len(valid) else run
@@ -306,7 +308,12 @@ def shard_windows(lo: np.ndarray, spans: list[bytes], window: int) -> tuple[np.n
 def _windows(told: DataFrame, window: int) -> DataFrame:
     """c1, c2, a, b, least: the windows that start at a to b in a stretch occur first in document ``least``."""
 
-    def found(t: pa.Table):
+    def told_batch(c1, c2, a, b, least):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (c1, c2, a, b, least)], ["c1", "c2", "a", "b", "least"])
+
+    def contents(t: pa.Table):
+        """Of keys that several documents have: the batch for those of one content, in which there is nothing to sort (equal windows
+        have equal keys, so all of its windows occur first in its smallest document), and the contents of the others."""
         key, c1, c2, doc = (np.asarray(t.column(c)) for c in ("key", "c1", "c2", "doc_id"))
         has = t.column("bytes").is_valid().to_numpy()
         order = np.lexsort((~has, c2, c1, key))
@@ -315,33 +322,54 @@ def _windows(told: DataFrame, window: int) -> DataFrame:
         lo, hi = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)  # hi > lo if and only if there are two documents
         source, key, c1, c2 = order[head], key[head], c1[head], c2[head]
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.concatenate([edge, [len(key)]]))
         several = np.minimum.reduceat(lo, edge) < np.maximum.reduceat(hi, edge)
-        at = np.flatnonzero(np.repeat(several, np.diff(np.concatenate([edge, [len(key)]]))))
-        if not len(at):
-            return None
-        of, a, b, least = shard_windows(lo[at], t.column("bytes").take(pa.array(source[at])).to_pylist(), window)
-        useful = least < hi[at][of]
-        of, a, b, least = at[of[useful]], a[useful], b[useful], least[useful]
-        return pa.RecordBatch.from_arrays([pa.array(c1[of]), pa.array(c2[of]), pa.array(a), pa.array(b), pa.array(least)], ["c1", "c2", "a", "b", "least"])
+        alone, others = edge[several & (n == 1)], np.flatnonzero(np.repeat(several & (n > 1), n))
+        length = np.asarray(pc.binary_length(t.column("bytes").take(pa.array(source[alone]))), np.int64)
+        whole = told_batch(c1[alone], c2[alone], np.zeros(len(alone), np.int64), length - window, lo[alone]) if len(alone) else None
+        return whole, (lo[others], hi[others], c1[others], c2[others]), t.column("bytes").take(pa.array(source[others])).to_pylist()
+
+    def sort(columns: list, spans: list[bytes]):
+        lo, hi, c1, c2 = (np.concatenate(x) for x in zip(*columns))
+        of, a, b, least = shard_windows(lo, spans, window)
+        useful = least < hi[of]
+        of = of[useful]
+        return told_batch(c1[of], c2[of], a[useful], b[useful], least[useful])
 
     def run(batches):
         held: list = []
-        size = 0
+        columns: list = []
+        spans: list[bytes] = []
+        size = waiting = 0
+
+        def look(pieces: list):
+            nonlocal columns, spans, waiting
+            whole, more, texts = contents(pa.Table.from_batches(pieces))
+            if whole is not None:
+                yield whole
+            columns.append(more)
+            spans += texts
+            waiting += sum(map(len, texts))
+            if waiting > SHARD:
+                yield sort(columns, spans)
+                columns, spans, waiting = [], [], 0
+
         for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                piece = batch.slice(k, 4096)
-                if size > SHARD:  # a shard ends where its last key does; only the new rows are looked at for that
+            for k in range(0, batch.num_rows, STEP):
+                piece = batch.slice(k, STEP)
+                if size > SHARD:  # what is looked at ends where its last key does; only the new rows are compared for that
                     before = held[-1].column("key")[-1].as_py()
                     other = np.flatnonzero(np.asarray(piece.column("key")) != before)
                     if len(other):
                         cut = int(other[0])
-                        if (out := found(pa.Table.from_batches([*held, piece.slice(0, cut)]))) is not None:
-                            yield out
+                        yield from look([*held, piece.slice(0, cut)])
                         held, size, piece = [], 0, piece.slice(cut)
                 held.append(piece)
                 size += piece.column("bytes").nbytes
-        if held and (out := found(pa.Table.from_batches(held))) is not None:
-            yield out
+        if held:
+            yield from look(held)
+        if spans:
+            yield sort(columns, spans)
 
     return told.repartition("key").sortWithinPartitions("key").mapInArrow(run, "c1 long, c2 long, a long, b long, least long")
 

@@ -17,12 +17,15 @@ import numpy as np
 def types(text: np.ndarray) -> np.ndarray:
     """True where the suffix is S-type; the last one is L-type (an end smaller than all follows)."""
     n = len(text)
-    step = np.zeros(n, np.int8)
-    step[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1])
-    step[-1] = -1
-    at = np.where(step != 0, np.arange(n), n)
-    nearest = np.minimum.accumulate(at[::-1])[::-1]
-    return step[nearest] > 0
+    step = np.full(n, -1, np.int8)
+    step[:-1] = (text[1:] > text[:-1]).view(np.int8) - (text[1:] < text[:-1]).view(np.int8)
+    at = np.where(step != 0, np.arange(n, dtype=_place(n)), n)
+    return step[np.minimum.accumulate(at[::-1])[::-1]] > 0
+
+
+def _place(n: int) -> type:
+    """The kind of number that places in a string of length n take."""
+    return np.int32 if n < 2**31 - 1 else np.int64
 
 
 def _induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
@@ -31,71 +34,55 @@ def _induce(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, size: int) ->
     counts = np.bincount(text, minlength=size)
     ends = np.cumsum(counts)
     starts = ends - counts
-    smalls = np.bincount(text[s_type], minlength=size)
-    split = ends - smalls  # where a bucket's S part begins
-    out = np.full(n, -1, np.int64)
+    split = (ends - np.bincount(text[s_type], minlength=size)).tolist()  # where a bucket's S part begins
+    out = np.full(n, -1, _place(n))
+    after_l, after_s = np.zeros(n, bool), np.zeros(n, bool)
+    after_l[1:], after_s[1:] = ~s_type[:-1], s_type[:-1]
 
     # the given positions at the ends of their buckets, in order
     first = np.bincount(text[lms], minlength=size)
-    by_bucket = np.argsort(text[lms], kind="stable")
-    seeds = lms[by_bucket]
-    seed_end = np.cumsum(first)
+    seeds = lms[np.argsort(text[lms], kind="stable")]
+    seed_end = np.cumsum(first).tolist()
 
-    head = starts.copy()
-
-    def push(found: np.ndarray) -> None:
-        """Append to the fronts of their buckets, in the order given."""
+    def put(edge: np.ndarray, found: np.ndarray, step: int) -> None:
+        """Add to what their buckets hold, in the order given: behind it (1) from ``edge`` on, or before it (-1)."""
         chars = text[found]
         order = np.argsort(chars, kind="stable")
         found, chars = found[order], chars[order]
-        edge = np.flatnonzero(np.concatenate([[True], chars[1:] != chars[:-1]]))
-        sizes = np.diff(np.concatenate([edge, [len(chars)]]))
-        heads = chars[edge]
-        out[np.repeat(head[heads] - edge, sizes) + np.arange(len(chars))] = found
-        head[heads] += sizes
-
+        if 8 * len(chars) < size:
+            before = np.searchsorted(chars, chars)
+        else:
+            sizes = np.bincount(chars, minlength=size)
+            before = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        at = edge[chars] + step * (np.arange(len(chars)) - before)
+        out[at] = found
+        edge[chars] = at + step  # of equal ones the last counts
+
+    used = np.flatnonzero(counts).tolist()
+    head = starts.copy()
     if not s_type[n - 1]:
-        push(np.asarray([n - 1]))
-    for c in np.flatnonzero(counts):
-        at = starts[c]
-        while at < head[c]:
-            now, at = out[at : head[c]], head[c]
-            before = now[now > 0] - 1
-            before = before[~s_type[before]]
-            if len(before):
-                push(before)
+        put(head, np.asarray([n - 1], out.dtype), 1)
+    for c, at in zip(used, starts[used].tolist()):
+        while at < (to := int(head[c])):
+            now, at = out[at:to], to
+            now = now[after_l[now]]
+            if len(now):
+                put(head, now - 1, 1)
         here = seeds[seed_end[c] - first[c] : seed_end[c]]
         if len(here):
-            before = here[here > 0] - 1
-            if len(before):
-                push(before)
-
-    tail = ends.copy()
-
-    def pull(found: np.ndarray) -> None:
-        """Put before the filled ends of their buckets, the first one given last."""
-        chars = text[found]
-        order = np.argsort(chars, kind="stable")
-        found, chars = found[order], chars[order]
-        edge = np.flatnonzero(np.concatenate([[True], chars[1:] != chars[:-1]]))
-        sizes = np.diff(np.concatenate([edge, [len(chars)]]))
-        heads = chars[edge]
-        out[np.repeat(tail[heads] - 1 + edge, sizes) - np.arange(len(chars))] = found
-        tail[heads] -= sizes
-
-    for c in np.flatnonzero(counts)[::-1]:
-        at = ends[c]
-        while at > tail[c]:
-            now, at = out[tail[c] : at][::-1], tail[c]
-            before = now[now > 0] - 1
-            before = before[s_type[before]]
-            if len(before):
-                pull(before)
-        now = out[starts[c] : split[c]][::-1]
-        before = now[now > 0] - 1
-        before = before[s_type[before]]
-        if len(before):
-            pull(before)
+            put(head, here - 1, 1)  # an LMS position comes after an L-type one
+
+    tail = ends - 1
+    for c, low, at in zip(used[::-1], starts[used].tolist()[::-1], ends[used].tolist()[::-1]):
+        while at > (to := int(tail[c]) + 1):
+            now, at = out[to:at][::-1], to
+            now = now[after_s[now]]
+            if len(now):
+                put(tail, now - 1, -1)
+        now = out[low : split[c]][::-1]
+        now = now[after_s[now]]
+        if len(now):
+            put(tail, now - 1, -1)
     return out
 
 
@@ -132,21 +119,25 @@ def _induce_singly(text: np.ndarray, s_type: np.ndarray, lms: np.ndarray, size:
     return np.asarray(out, np.int64)
 
 
-def suffix_array(text: np.ndarray, size: int, longer: int = 1 << 62) -> np.ndarray:
+def suffix_array(text: np.ndarray, size: int, longer: int = 1 << 62, separator: int | None = None) -> np.ndarray:
     """The suffixes of ``text`` (integers below ``size``) in order.
 
     A long string over a large alphabet is sorted as the string of its characters' two digits, unless it came from a
-    string of digits that was not much longer (``longer``)."""
+    string of digits that was not much longer (``longer``).  A ``separator``, smaller than all other characters, counts as another
+    character wherever it stands (in the order of their places, one at the end first), so that no comparison goes beyond it; none
+    stands in front or beside another.
+    """
     n = len(text)
-    if n > 1 << 13 and size * 64 > n and 4 * n < 3 * longer:
+    if n > 1 << 13 and size * 64 > n and 4 * n < 3 * longer and separator is None:
         base = int(np.ceil(np.sqrt(size)))
-        digits = np.stack([text // base, text % base], axis=1).reshape(-1)
+        kind = np.int16 if base < 2**15 else np.int64  # short numbers are dealt to buckets faster
+        digits = np.stack(np.divmod(text, base), axis=1).astype(kind).reshape(-1)
         order = _sorted(digits, base, 2 * n)
         return order[order % 2 == 0] // 2
-    return _sorted(text, size, longer)
+    return _sorted(text, size, longer, separator)
 
 
-def _sorted(text: np.ndarray, size: int, longer: int) -> np.ndarray:
+def _sorted(text: np.ndarray, size: int, longer: int, separator: int | None = None) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n)
@@ -161,28 +152,56 @@ def _sorted(text: np.ndarray, size: int, longer: int) -> np.ndarray:
     order = order[is_lms[order]]
 
     # names: neighbours in order have one name if their substrings, up to the next LMS position, are equal
-    length = np.empty(n, np.int64)
+    length = np.empty(n, _place(n))
     length[lms[:-1]] = np.diff(lms) + 1
     length[lms[-1]] = n - lms[-1] + 1  # past the end: equal to no other
+    if separator is not None:
+        at_one = text[lms] == separator
+        order[: at_one.sum()] = lms[at_one]
     a, b = order[:-1], order[1:]
-    differs = length[a] != length[b]
+    differs = (length[a] != length[b]) | (a == lms[-1]) | (b == lms[-1])
+    if separator is not None:  # the induction left those that end with one in the order of their places
+        differs |= (text[b] == separator) | (text[np.minimum(b + length[b], n) - 1] == separator)
     left = np.flatnonzero(~differs)
+    a, b, most = a[left], b[left], length[a[left]]
     k = 0
     while len(left):
-        left = left[k < length[a[left]]]
-        stop = (a[left] + k >= n) | (b[left] + k >= n)
-        unequal = stop.copy()
-        go = ~stop
-        unequal[go] = text[a[left[go]] + k] != text[b[left[go]] + k]
+        unequal = text[a + k] != text[b + k]
         differs[left[unequal]] = True
-        left = left[~unequal]
         k += 1
+        go = np.flatnonzero(~unequal & (k < most))
+        left, a, b, most = left[go], a[go], b[go], most[go]
     name = np.empty(n, np.int64)
     name[order] = np.concatenate([[0], np.cumsum(differs)])
     names = name[lms]
     kinds = int(names.max()) + 1
-    sorted_lms = order if kinds == len(lms) else lms[suffix_array(names, kinds, longer)]
-    return induce(text, s_type, sorted_lms, size)
+    out = induce(text, s_type, order if kinds == len(lms) else lms[_sorted_names(names, kinds, longer)], size)
+    if separator is not None:
+        places = np.flatnonzero(text == separator)
+        out[: len(places)] = np.roll(places, int(len(places) and places[-1] == n - 1))
+    return out
+
+
+def _sorted_names(names: np.ndarray, kinds: int, longer: int) -> np.ndarray:
+    """The suffixes of a string of names in order.
+
+    No comparison goes beyond a name that occurs once, so such a name is left out where it follows another one, and its suffix
+    lies where the name tells."""
+    count = np.bincount(names, minlength=kinds)
+    once = count[names] == 1
+    kept = ~once
+    kept[1:] |= ~once[:-1]
+    at = np.flatnonzero(kept)
+    used = np.zeros(kinds, bool)
+    used[names[at]] = True
+    order = at[suffix_array((np.cumsum(used) - 1)[names[at]], int(used.sum()), longer)]
+    single = np.flatnonzero(once)
+    place = (np.cumsum(count) - count)[names[single]]
+    free = np.ones(len(names), bool)
+    free[place] = False
+    out = np.empty(len(names), np.int64)
+    out[place], out[free] = single, order[~once[order]]
+    return out
 
 
 def permuted_lcp(text: np.ndarray, order: np.ndarray, separator: int | None = None) -> np.ndarray:
@@ -192,7 +211,7 @@ def permuted_lcp(text: np.ndarray, order: np.ndarray, separator: int | None = No
     before; only the other, irreducible values are found by comparing.
     """
     n = len(order)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, _place(n))
     before[order[1:]] = order[:-1]
     hard = before <= 0
     hard[0] = True
@@ -200,22 +219,19 @@ def permuted_lcp(text: np.ndarray, order: np.ndarray, separator: int | None = No
     hard[rest] = text[rest - 1] != text[before[rest] - 1]
     if separator is not None:
         hard[1:] |= text[:-1] == separator
-    padded = np.concatenate([text, [-1]])
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, before.dtype)
     left = np.flatnonzero(hard & (before >= 0))
-    k = 0
+    here, there = left, before[left].astype(np.int64)
     while len(left):
-        here, there = left + k, before[left] + k
         fine = (here < n) & (there < n)
         left, here, there = left[fine], here[fine], there[fine]
-        mine = padded[here]
-        same = mine == padded[there]
+        mine = text[here]
+        same = mine == text[there]
         if separator is not None:
             same &= mine != separator
-        left = left[same]
-        k += 1
-        out[left] = k
-    position = np.arange(n)
+        left, here, there = left[same], here[same] + 1, there[same] + 1
+        out[left] += 1
+    position = np.arange(n, dtype=before.dtype)
     head = np.maximum.accumulate(np.where(hard, position, 0))
     value = np.maximum(out[head] - (position - head), 0)
     value[before < 0] = 0
