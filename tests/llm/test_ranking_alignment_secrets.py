@@ -1,6 +1,7 @@
 """The tiered index, cross-tokenizer alignment and the secret scan on small tables with awkward rows, against brute force."""
 
 import base64
+import glob
 import hashlib
 import math
 import re
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -82,6 +84,33 @@ def test_tiered_index_of_nothing(spark, rows):
     assert tiered_index.ranked_search(spark, frame(spark, rows), items.limit(0)).count() == 0
 
 
+def test_few_shards_are_held_at_once(spark, rows):
+    """However many shards one task reads and writes, files and batches have few of them; the caller's session stays as it is."""
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    settings = {"spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}  # many small files in a task
+    before = {k: spark.conf.get(k, None) for k in (*settings, name)}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        index = tiered_index.build(spark, frame(spark, rows, 30))
+        files = glob.glob(index.shards.scratch_path.removeprefix("file://") + "/*.parquet")
+        held = [pq.ParquetFile(f).metadata.num_rows for f in files]
+        assert sum(held) > 20 and max(held) <= tiered_index.SHARDS_IN_FILE
+        got = [r.n for r in index.shards.coalesce(1).mapInArrow(sizes, "n long").collect()]
+        assert sum(got) == sum(held) and max(got) <= tiered_index.SHARDS_IN_FILE
+        assert spark.conf.get(name, None) == before[name]
+    finally:
+        for k in settings:
+            spark.conf.set(k, before[k]) if before[k] is not None else spark.conf.unset(k)
+
+
 TEXTS = [
     "Plain words, here and there.", "  two  spaces \n\n and\tTabs\r\nnext;\r\nline ", "<|endoftext|> and <s> </s> <0x41> [UNK]", "héllo wörld — “quotes” 数字と日本語 한국어", "emoji 👩‍👩‍👧 done", "a▁b", "▁", "　wide\xa0no em", " ", "\n",
     None, "", "x", "é combining", "don't we'll I'M", "0123456789" * 30, "ab" * 400, "trailing space ", "\x00\x01 control \x1c\x1f", "été " * 50,

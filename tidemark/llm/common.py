@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import prepare, with_settings
 
 _LOCAL_ROOTS: dict[str, str] = {}
 #: Bits of the largest filter (16 MB): past some 10^8 keys it lets through ever more, never too little.
@@ -58,11 +58,16 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and give back a reader of it; ``.scratch_path`` has its place."""
+    def table(self, df: DataFrame, name: str, rows_in_file: int = 0) -> DataFrame:
+        """Write ``df`` as Parquet and give back a reader of it; ``.scratch_path`` has its place.
+
+        Rows of megabytes need a bound on ``rows_in_file``: Parquet's writer looks at what it holds after a hundred rows first, and
+        Spark's reader takes some thousand of a file's rows at once.  Python workers get as many of them in a batch, in a session
+        of the table's own."""
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        df.write.option("compression", "zstd").option("maxRecordsPerFile", rows_in_file).parquet(path)
+        spark = with_settings(self.spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows_in_file)}) if rows_in_file else self.spark
+        out = spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 

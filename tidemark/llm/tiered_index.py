@@ -27,6 +27,8 @@ from .decontaminate import words
 
 #: Bytes of text in a shard, and postings of a term in each tier but the last (the last has the rest).
 SHARD, TIERS = 4_000_000, (8, 64)
+#: Shards in a file: what a task reads of them, or holds to be written, at once.
+SHARDS_IN_FILE = 4
 #: Bytes of query text that are broadcast at once; more are searched for in several rounds.
 MOST_ITEM_BYTES = 4 << 20
 _RAW = "doc_ids binary, sizes binary, terms array<binary>, df array<int>, docs binary, tf binary"
@@ -51,11 +53,11 @@ def build(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None)
     Rows without a doc_id or without terms (null and empty texts) take no part; each of several rows of a doc_id is a document.
     """
     scratch = scratch or Scratch(spark, "tiered-index")
-    raw = scratch.table(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_inverted, _RAW), "raw")
+    raw = scratch.table(docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_inverted, _RAW), "raw", SHARDS_IN_FILE)
     pairs = raw.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).select("x.terms", "x.df")
     vocabulary = scratch.table(pairs.groupBy(F.col("terms").alias("term")).agg(F.sum("df").alias("df")), "vocabulary")
     n, length = _totals(raw)
-    shards = scratch.table(raw.mapInArrow(_tiered(n, length), _INDEX), "shards")
+    shards = scratch.table(raw.mapInArrow(_tiered(n, length), _INDEX), "shards", SHARDS_IN_FILE)
     scratch.drop(raw)
     return TieredIndex(shards, vocabulary, n, length)
 

@@ -20,6 +20,17 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def with_settings(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session of the same application with the given one's settings but for these; the given session keeps its own."""
+    out = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            out.conf.set(name, value)
+    for name, value in settings.items():
+        out.conf.set(name, value)
+    return out
+
+
 _FOLDERS: dict[str, str] = {}
 
 
