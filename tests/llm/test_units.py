@@ -106,6 +106,7 @@ def test_only_contents_that_meet_others_are_sorted(monkeypatch):
     got = {(r["c1"], r["c2"], r["a"], r["b"], r["least"]) for r in repeats._windows(frame, 50)}
     assert got == {(k, 1, 0, 20, 4) for k in range(30)} | {(k, 2, 0, 10, 7) for k in range(30)}
     assert sorted(x for c in calls for x in c) == sorted(y for x in twice for y in (x, b"x" + x[:60])) and 1 < len(calls) < 6
+    assert max(sum(map(len, c)) for c in calls) <= 1000
 
 
 def test_anchors_belong_to_windows():

@@ -347,12 +347,13 @@ def _windows(told: DataFrame, window: int) -> DataFrame:
             whole, more, texts = contents(pa.Table.from_batches(pieces))
             if whole is not None:
                 yield whole
-            columns.append(more)
-            spans += texts
-            waiting += sum(map(len, texts))
-            if waiting > SHARD:
+            new = sum(map(len, texts))
+            if spans and waiting + new > SHARD:  # no more is sorted at once than what was looked at
                 yield sort(columns, spans)
                 columns, spans, waiting = [], [], 0
+            columns.append(more)
+            spans += texts
+            waiting += new
 
         for batch in batches:
             for k in range(0, batch.num_rows, STEP):
